@@ -14,10 +14,11 @@ from ..functions.values import (
     case_map,
     convert_currency,
     first_match,
-    fixed_avg,
     fixed_sum,
+    fixed_units,
     flag,
     safe_divide,
+    total_units,
 )
 from ..operators.dedup import keep_first
 
@@ -200,14 +201,27 @@ def order_item_summary(items: DataFrame) -> DataFrame:
 
 
 def customer_orders(orders: DataFrame) -> DataFrame:
-    done = F.when(F.col("order_status") == "COMPLETED", F.col("order_id"))
-    return orders.groupBy("customer_id").agg(
-        F.count_distinct("order_id").alias("total_orders"),
-        fixed_sum("total_amount_usd", 4).alias("total_revenue_usd"),
-        fixed_avg("total_amount_usd", 4).alias("avg_order_value_usd"),
-        F.min("order_date").alias("first_order_date"),
-        F.max("order_date").alias("last_order_date"),
-        F.count_distinct(done).alias("completed_orders"),
+    """Per customer: orders, completed orders, revenue, first and last date.
+
+    One row per order comes first (no further shuffle after the deduplication by order), so
+    the distinct order counts are plain counts.
+    """
+    usd = F.col("total_amount_usd")
+    per_order = orders.groupBy("customer_id", "order_id").agg(
+        F.sum(fixed_units(usd, 4)).alias("units"),
+        F.count(usd).alias("valued"),
+        F.min("order_date").alias("first_date"),
+        F.max("order_date").alias("last_date"),
+        F.max(F.col("order_status") == "COMPLETED").alias("completed"),
+    )
+    revenue = total_units(F.col("units")) / 1e4
+    return per_order.groupBy("customer_id").agg(
+        F.count("order_id").alias("total_orders"),
+        revenue.alias("total_revenue_usd"),
+        (safe_divide(total_units(F.col("units")), F.sum("valued")) / 1e4).alias("avg_order_value_usd"),
+        F.min("first_date").alias("first_order_date"),
+        F.max("last_date").alias("last_order_date"),
+        F.count_if("completed").alias("completed_orders"),
     )
 
 
