@@ -69,7 +69,8 @@ def distance_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column
     a = F.pow(F.sin((p2 - p1) / 2), F.lit(2.0)) + F.cos(p1) * F.cos(p2) * F.pow(
         F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0)
     )
-    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    # Not least(): that skips NULL, and a missing point must give a missing distance.
+    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.when(a > 1, F.lit(1.0)).otherwise(a)))
 
 
 def snap(value: Column | str, size: float = 0.01) -> Column:

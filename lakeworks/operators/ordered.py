@@ -88,22 +88,55 @@ class GroupOrder:
     def numbered(self, name: str = "seq") -> DataFrame:
         """``ROW_NUMBER() OVER (PARTITION BY group ORDER BY order)``."""
         local = self.df.withColumn("_rn", F.row_number().over(self._local))
+        return self._lift_numbers(local, name)
+
+    def _lift_numbers(self, local: DataFrame, name: str) -> DataFrame:
         out = local.join(self._carry(F.count("*"), "_base"), [PART, *self.group])
         return out.withColumn(name, (F.col("_base") + F.col("_rn")).cast("long")).drop("_base", "_rn")
 
-    def with_next(self, values: Sequence[str], prefix: str = "next_") -> DataFrame:
-        """``LEAD`` of the named columns; NULL on the last row of a group."""
+    def with_next(self, values: Sequence[str], prefix: str = "next_", number: str | None = None) -> DataFrame:
+        """``LEAD`` of the named columns, NULL on the last row of a group; ``number`` adds the row number."""
         packed = F.struct(*values)
-        firsts = self.df.groupBy(PART, *self.group).agg(
-            F.min_by(packed, F.struct(*self.order)).alias("_first")
-        )
+        firsts = self.df.groupBy(PART, *self.group).agg(F.min_by(packed, F.struct(*self.order)).alias("_first"))
         later = Window.partitionBy(*self.group).orderBy(PART)
         edge = firsts.select(PART, *self.group, F.lead("_first").over(later).alias("_edge"))
-        out = self.df.withColumn("_lead", F.lead(packed).over(self._local)).join(edge, [PART, *self.group])
+        local = self.df.withColumn("_lead", F.lead(packed).over(self._local))
+        kept = list(self.df.columns)
+        if number:
+            local = self._lift_numbers(local.withColumn("_rn", F.row_number().over(self._local)), number)
+            kept.append(number)
+        out = local.join(edge, [PART, *self.group])
         nxt = F.coalesce(F.col("_lead"), F.col("_edge"))
-        kept = [c for c in self.df.columns]
         return out.select(*kept, *[nxt[v].alias(prefix + v) for v in values])
 
+    def sum_before(self, rows: DataFrame, value: str, name: str) -> DataFrame:
+        """Sum of ``value`` over the earlier rows of the group, for rows made by this object."""
+        totals = rows.groupBy(PART, *self.group).agg(F.sum(value).alias("_sum"))
+        over_parts = Window.partitionBy(*self.group).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+        carry = totals.select(PART, *self.group, F.coalesce(F.sum("_sum").over(over_parts), F.lit(0)).alias("_carry"))
+        inner = F.coalesce(F.sum(value).over(self._local.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return (
+            rows.withColumn("_inner", inner)
+            .join(carry, [PART, *self.group])
+            .withColumn(name, F.col("_carry") + F.col("_inner"))
+            .drop("_carry", "_inner")
+        )
+
+
+def ordered_lists(
+    numbered: DataFrame, group: Sequence[str], number: str, value: Column, size: int, name: str = "items"
+) -> DataFrame:
+    """``ARRAY_AGG(value ORDER BY number)`` in parts of at most ``size`` elements.
+
+    ``part`` counts from 0; a group no larger than ``size`` has one part. No array can outgrow
+    a task, whatever the group size.
+    """
+    part = div(F.col(number) - 1, size)
+    lists = numbered.groupBy(*group, part.alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(number).alias("_n"), value.alias("v")))).alias("_sorted")
+    )
+    return lists.select(*group, "part", F.transform("_sorted", lambda x: x["v"]).alias(name))
+
 
 def lead_by_chunk(
     df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], values: Sequence[str], prefix: str = "next_"

@@ -532,8 +532,8 @@ def _(t):
 
 
 def dist(a: str, b: str) -> str:
-    return f"""2 * {G.EARTH_RADIUS_M} * asin(sqrt(least(1, pow(sin((radians({b}.lat) - radians({a}.lat)) / 2), 2)
-    + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2))))"""
+    return f"""2 * {G.EARTH_RADIUS_M} * asin(sqrt(pow(sin((radians({b}.lat) - radians({a}.lat)) / 2), 2)
+    + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2)))"""
 
 
 NEAR = (
