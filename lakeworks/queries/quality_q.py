@@ -274,11 +274,36 @@ def _(t):
     return Q.ns_fidelity(exact, lossy, "event_id", "ns")
 
 
+def _rel(x: str, tolerance: float) -> str:
+    return f"(SELECT abs(a.x - b.x) <= {tolerance} * abs(a.x) FROM (SELECT {x} AS x FROM orders) a, (SELECT {x} AS x FROM other) b)"
+
+
+def _null_share(c: str, tolerance: float, of: str = "1") -> str:
+    x = f"COUNT(*) FILTER (WHERE {c} IS NULL)::DOUBLE / {of}"
+    return f"(SELECT abs(a.x - b.x) <= {tolerance} FROM (SELECT {x} AS x FROM orders) a, (SELECT {x} AS x FROM other) b)"
+
+
+DECISION_ROWS = [
+    ("CRITICAL", _rel("COUNT(*)", 0.001)),
+    ("CRITICAL", _rel("SUM(o_totalprice)", 0.001)),
+    ("HIGH", _rel("COUNT(DISTINCT o_custkey)", 0)),
+    ("HIGH", _null_share("o_custkey", 0)),
+    ("HIGH", _null_share("o_orderstatus", 0)),
+    *[("HIGH", _null_share(c, 0.05, "COUNT(*)")) for c in ("o_orderstatus", "o_custkey", "o_orderdate")],
+]
+
+
 @query(
     "parity_decision",
     with_sql(
         OTHER,
-        body="SELECT 0::BIGINT AS critical_failed, ROUND(1 - 1 / 6::DOUBLE, 4) AS high_share, 'NOT READY' AS decision FROM (SELECT COUNT(*) FROM other)",
+        ("r", " UNION ALL ".join(f"SELECT '{p}' AS priority, {x} AS passed" for p, x in DECISION_ROWS)),
+        (
+            "d",
+            """SELECT COUNT(*) FILTER (WHERE priority = 'CRITICAL' AND NOT passed) AS critical_failed,
+  ROUND(COUNT(*) FILTER (WHERE priority = 'HIGH' AND passed)::DOUBLE / COUNT(*) FILTER (WHERE priority = 'HIGH'), 4) AS high_share FROM r""",
+        ),
+        body="SELECT *, CASE WHEN critical_failed = 0 AND high_share > 0.9 THEN 'APPROVED' ELSE 'NOT READY' END AS decision FROM d",
     ),
 )
 def _(t):
