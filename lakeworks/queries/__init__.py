@@ -3,7 +3,6 @@
 from .registry import ORACLES, QUERIES, Tables  # noqa: F401
 from . import (  # noqa: F401
     models_q,
-    basics_q,
     aggregates_q,
     events_q,
     places_q,
