@@ -21,7 +21,7 @@ from lakeworks.session import build_session, scratch_path
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
-LONG = 8.0  # seconds; a longer query is measured once
+LONG = 8.0  # seconds; a longer query is repeated once
 
 HEADLINE = [
     "daily_revenue",
@@ -79,9 +79,8 @@ def noop(df) -> None:
 
 def measure(run) -> float:
     first = seconds(run)
-    if first > LONG:
-        return first
-    return statistics.median(seconds(run) for _ in range(REPEATS))
+    repeats = 1 if first > LONG else REPEATS
+    return statistics.median(seconds(run) for _ in range(repeats))
 
 
 def stream_throughput(spark) -> dict:

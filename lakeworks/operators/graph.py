@@ -145,18 +145,20 @@ def group_closure(memberships: DataFrame) -> DataFrame:
     ``memberships`` holds (group_email, member_email, is_group). Groups are resolved first; the
     much longer list of people is joined once at the end.
     """
-    nested = settle(memberships.filter("is_group").select("group_email", F.col("member_email").alias("sub")).distinct())
+    nested = memberships.filter("is_group").select("group_email", F.col("member_email").alias("sub")).distinct()
     frontier = settle(nested.filter("group_email <> sub"))
     reach = _Parts(frontier)
+    # The newest pairs are extended by all pairs known, so path lengths double every round.
     while not frontier.isEmpty():
+        known = reach.all()
         ahead = (
             frontier.select("group_email", F.col("sub").alias("_via"))
-            .join(nested.withColumnRenamed("group_email", "_via"), "_via")
+            .join(known.withColumnRenamed("group_email", "_via"), "_via")
             .select("group_email", "sub")
-            .distinct()
             .filter("group_email <> sub")
+            .distinct()
         )
-        frontier = settle(ahead.join(reach.all(), ["group_email", "sub"], "left_anti"))
+        frontier = settle(ahead.join(known, ["group_email", "sub"], "left_anti"))
         reach.add(frontier)
     people = memberships.filter("NOT is_group").select("group_email", "member_email").distinct()
     inherited = reach.all().join(people.withColumnRenamed("group_email", "sub"), "sub").select("group_email", "member_email")

@@ -16,6 +16,12 @@ from ..functions.values import div
 from ..session import settle
 
 PART = "_part"
+SMALL_BYTES = 8 * 2**20
+SMALL_ROWS = 50_000
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def into_ranges(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> DataFrame:
@@ -23,7 +29,13 @@ def into_ranges(df: DataFrame, order: Sequence[str], ranges: int | None = None)
 
     The result is settled in the shared folder: range numbers come from sampled bounds and
     must read back the same in every later pass. ``order`` has to be unique per row.
+    A few rows make one range and skip the sampling; the planner's estimate suggests it, a
+    count of the settled rows decides it.
     """
+    if ranges is None and _estimated_bytes(df) <= SMALL_BYTES:
+        df = settle(df)
+        if df.count() <= SMALL_ROWS:
+            return df.withColumn(PART, F.lit(0))
     n = ranges or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return settle(df.repartitionByRange(n, *order).withColumn(PART, F.spark_partition_id()))
 

@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import fixed_sum, safe_divide
+from ..session import settle
 from .dedup import schema_diff
-from .ordered import into_ranges, with_global_rank
+from .ordered import GroupOrder, into_ranges, with_global_rank
 
 # Fixed thresholds.
 ROW_TOLERANCE = 0.001
@@ -233,7 +234,8 @@ def decision(results: DataFrame) -> DataFrame:
 
 # --- result comparison -------------------------------------------------------------------
 
-_FLOATS = (T.FloatType, T.DoubleType, T.DecimalType)
+_FRACTIONS = (T.FloatType, T.DoubleType, T.DecimalType)
+LARGEST_WINDOW = 1_000_000
 
 
 def result_compare(
@@ -241,33 +243,33 @@ def result_compare(
 ) -> DataFrame:
     """Rows compared, rows that differ beyond the tolerance and rows only on one side.
 
-    Without ``order`` the rows are multisets: both sides are sorted, exact columns before
-    fractional ones, numbered and paired by number, so a value may be off by the tolerance.
-    With ``order`` (a unique one) rows pair in that order. Columns pair by position.
+    Without ``order`` the rows are multisets: rows that agree in every exact column pair up
+    along their sorted fractions, so a fraction may be off by the tolerance. With ``order`` (a
+    unique one) rows pair by position. Columns pair by position too.
     """
     names = [f"c{i}" for i in range(len(base.columns))]
-    fractions = {n for n, f in zip(names, base.schema.fields) if isinstance(f.dataType, _FLOATS)}
-    fractions |= {n for n, f in zip(names, other.schema.fields) if isinstance(f.dataType, _FLOATS)}
+    fractions = [
+        n
+        for n, f, g in zip(names, base.schema.fields, other.schema.fields, strict=True)
+        if isinstance(f.dataType, _FRACTIONS) or isinstance(g.dataType, _FRACTIONS)
+    ]
+    exact = [n for n in names if n not in fractions]
 
-    def side(df: DataFrame) -> DataFrame:
-        cols = []
-        for n, source in zip(names, df.columns, strict=True):
-            c = F.col(f"`{source}`")
-            cols.append((c.cast("double") if n in fractions else c.cast("string")).alias(n))
-        # The id only separates equal rows, so that many copies of one row still spread out.
-        return df.select(*cols).withColumn("_id", F.monotonically_increasing_id())
-
-    sort = sorted(names, key=lambda n: n in fractions)
-    if order is not None:
+    def plain(df: DataFrame) -> DataFrame:
+        cols = [F.col(f"`{c}`").cast("double" if n in fractions else "string").alias(n) for n, c in zip(names, df.columns)]
+        return df.select(*cols)
+
+    if order is None:
+        sides = [_hashed(plain(df), exact, fractions) for df in (base, other)]
+        numbered, keys, compared = _numbered_groups(sides, fractions), [*_HASH, "_rank"], fractions
+    else:
         by_name = dict(zip(base.columns, names))
         sort = [by_name[c] for c in order]
-    sort = [*sort, "_id"]
-
-    def numbered(df: DataFrame, tag: str) -> DataFrame:
-        ranked = with_global_rank(into_ranges(side(df), sort), sort, "_rank")
-        return ranked.select("_rank", F.struct(*names).alias(tag))
-
-    pairs = numbered(base, "a").join(numbered(other, "b"), "_rank", "full")
+        numbered = [with_global_rank(into_ranges(plain(df), sort), sort, "_rank") for df in (base, other)]
+        keys, compared = ["_rank"], names
+    packed = [F.struct(F.lit(True).alias("here"), *compared) for _ in range(2)]
+    left, right = (df.select(*keys, p.alias(tag)) for df, p, tag in zip(numbered, packed, ("a", "b")))
+    pairs = left.join(right, keys, "full")
 
     def same(n: str) -> Column:
         a, b = F.col(f"a.{n}"), F.col(f"b.{n}")
@@ -277,7 +279,7 @@ def result_compare(
         return F.coalesce(near, F.lit(False)) | a.eqNullSafe(b)
 
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    equal = reduce(lambda x, y: x & y, [same(n) for n in names])
+    equal = reduce(lambda x, y: x & y, [same(n) for n in compared], F.lit(True))
     return pairs.agg(
         F.count_if(both).alias("compared"),
         F.count_if(both & ~equal).alias("different"),
@@ -286,6 +288,30 @@ def result_compare(
     ).withColumn("equal", (F.col("different") == 0) & (F.col("base_only") == 0) & (F.col("other_only") == 0))
 
 
+_HASH = ["_h1", "_h2"]
+
+
+def _hashed(rows: DataFrame, exact: Sequence[str], fractions: Sequence[str]) -> DataFrame:
+    """128 bits that stand for the exact columns, and the fractions."""
+    # A marker per column keeps a NULL apart from a value moved to its neighbour.
+    marked = [x for n in exact for x in (F.col(n).isNull(), F.col(n))]
+    return settle(rows.select(F.xxhash64(F.lit(1), *marked).alias("_h1"), F.xxhash64(F.lit(2), *marked).alias("_h2"), *fractions))
+
+
+def _numbered_groups(sides: Sequence[DataFrame], fractions: Sequence[str]) -> list[DataFrame]:
+    """Row numbers along the fractions among rows of equal hash.
+
+    A window per group, unless a group is too large for one task; then rows are numbered by
+    ranges of the order.
+    """
+    sizes = [df.groupBy(*_HASH).count().agg(F.max("count")).first()[0] or 0 for df in sides]
+    if max(sizes) <= LARGEST_WINDOW:
+        window = Window.partitionBy(*_HASH).orderBy(*(fractions or _HASH))
+        return [df.withColumn("_rank", F.row_number().over(window)) for df in sides]
+    with_id = [df.withColumn("_id", F.monotonically_increasing_id()) for df in sides]
+    return [GroupOrder(df, _HASH, [*fractions, "_id"]).numbered("_rank") for df in with_id]
+
+
 # --- profiles ----------------------------------------------------------------------------
 
 

@@ -310,8 +310,15 @@ def _(t):
     return GR.lineage_summary(GR.lineage_levels(e, 1), projects(t), e, "home")
 
 
-# No SQL check: which counter a node keeps depends on the walk (tested against a plain walk).
-@query("lineage_foreign_limit")
+FOREIGN = "CASE WHEN e.upstream % 3 = 0 THEN 1 ELSE 0 END"
+LIMITED = f"""WITH RECURSIVE edges AS ({EDGES[1]}),
+walk(node, level, away) USING KEY (node) AS (SELECT 1::BIGINT, 0, 0
+  UNION SELECT e.upstream, MAX(w.level) + 1, MIN(w.away + {FOREIGN}) FROM walk w JOIN edges e ON w.node = e.node
+  WHERE e.upstream NOT IN (SELECT node FROM recurring.walk) AND w.away + {FOREIGN} <= 2 GROUP BY e.upstream)
+SELECT node, level, away AS levels_since_foreign FROM walk"""
+
+
+@query("lineage_foreign_limit", LIMITED)
 def _(t):
     return GR.limited_lineage(edges(t), projects(t), 1, "home", 2)
 

@@ -21,6 +21,8 @@ RUNTIME_CONF = {
 def build_session(app: str = "lakeworks", master: str | None = None, **conf: str) -> SparkSession:
     """Create (or reuse) a session; pass ``master`` only for local runs."""
     builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    # Settled data goes when nothing refers to it any more.
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     for key, value in {**RUNTIME_CONF, **conf}.items():

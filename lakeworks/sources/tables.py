@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..session import settle
 from . import files
 
-ROWS_PER_FILE = 5_000_000
+CELLS_PER_FILE = 12_000_000
 MOST_TOUCHED = 10_000
 DAY = "_day"
 
@@ -24,12 +24,18 @@ class DuplicateKeys(ValueError):
     """A merge source holds a key more than once."""
 
 
-def by_partition(df: DataFrame, column: str, rows_per_file: int = ROWS_PER_FILE, spread_by: Sequence[str] | None = None) -> DataFrame:
+def file_rows(df: DataFrame) -> int:
+    """Rows of one file: fewer for wide tables, so that a file is a fair share of work."""
+    return max(1, CELLS_PER_FILE // len(df.columns))
+
+
+def by_partition(df: DataFrame, column: str, rows_per_file: int | None = None, spread_by: Sequence[str] | None = None) -> DataFrame:
     """Shuffle for a partitioned write: one file per partition value, more for a large one.
 
     Rows of a large value are split by a hash over as many tasks as it has files. The counts
     have one row per partition value.
     """
+    rows_per_file = rows_per_file or file_rows(df)
     sizes = df.groupBy(column).agg(F.ceil(F.count("*") / F.lit(rows_per_file)).cast("int").alias("_files"))
     sized = df.join(sizes.withColumnRenamed(column, "_value"), F.col(column).eqNullSafe(F.col("_value")))
     spread = F.pmod(F.xxhash64(*(spread_by or _hashable(df))), F.col("_files"))
@@ -49,7 +55,7 @@ class ParquetTable:
         root: str,
         partition_by: str | None = None,
         sort_by: Sequence[str] = (),
-        rows_per_file: int = ROWS_PER_FILE,
+        rows_per_file: int | None = None,
     ):
         self.spark, self.root = spark, root.rstrip("/")
         self.partition_by, self.sort_by, self.rows_per_file = partition_by, list(sort_by), rows_per_file
@@ -91,7 +97,7 @@ class ParquetTable:
             df = by_partition(df, lead[0], self.rows_per_file)
         if self.sort_by:
             df = df.sortWithinPartitions(*lead, *self.sort_by)
-        writer = df.write.mode(mode).option("compression", "snappy").option("maxRecordsPerFile", self.rows_per_file)
+        writer = df.write.mode(mode).option("compression", "snappy").option("maxRecordsPerFile", self.rows_per_file or file_rows(df))
         if lead:
             replace = "dynamic" if only_touched else "static"
             writer = writer.option("partitionOverwriteMode", replace).partitionBy(*lead)
@@ -171,11 +177,12 @@ class ParquetTable:
             files.delete(self.spark, f"{self.root}/v{number}")
 
 
-def export_days(df: DataFrame, path: str, day: str, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+def export_days(df: DataFrame, path: str, day: str, rows_per_file: int | None = None) -> DataFrame:
     """Write one folder per day, snappy, files of bounded length; then compare row counts per day.
 
     Returns (day, rows). Raises when a day read back differs from the source.
     """
+    rows_per_file = rows_per_file or file_rows(df)
     by_partition(df, day, rows_per_file).write.mode("overwrite").option("compression", "snappy").option(
         "maxRecordsPerFile", rows_per_file
     ).partitionBy(day).parquet(path)
