@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import METRES_PER_DEGREE, distance_m
-from .skew import spread_join
+from .skew import hot_keys, spread_join
 
 STEPS = 4  # grid steps per radius
 MAX_LATITUDE = 80.0
@@ -87,9 +87,10 @@ def radius_totals(
     per_spot = per_spot.select("*", *grid.keys(F.col("lat"), F.col("lon")))
     near = grid.near(centers, id_col)
     cell = ["_ci", "_cj"]
-    per_cell = per_spot.groupBy(*cell).agg(*[F.sum(n).alias(n) for n in names])
+    per_cell = per_spot.groupBy(*cell).agg(*[F.sum(n).alias(n) for n in names], F.count("*").alias("_spots"))
+    hot = hot_keys(per_cell, cell, "_spots")
     whole = near.filter("_inside").select(id_col, *cell).join(per_cell, cell).select(id_col, *names)
-    rim = spread_join(per_spot, near.filter("NOT _inside"), cell, ["lat", "lon"])
+    rim = spread_join(per_spot, near.filter("NOT _inside"), cell, ["lat", "lon"], hot=hot)
     rim = rim.filter(distance_m(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")) <= radius_m)
     both = whole.unionByName(rim.select(id_col, *names))
     return both.groupBy(id_col).agg(*[F.sum(n).alias(n) for n in names])

@@ -208,7 +208,8 @@ def _(t):
 def _(t):
     warehouse, early = scratch_path(t.spark, "warehouse"), scratch_path(t.spark, "early")
     t.orders.filter(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")).write.parquet(f"{early}/orders.parquet")
-    t.customer.filter("c_custkey < 700").withColumn("c_mktsegment", F.lit("OLD")).write.parquet(f"{early}/customer.parquet")
+    half = t.customer.agg(F.max("c_custkey") / 2).scalar()
+    t.customer.filter(F.col("c_custkey") < half).withColumn("c_mktsegment", F.lit("OLD")).write.parquet(f"{early}/customer.parquet")
     t.part.write.parquet(f"{early}/part.parquet")
     out = None
     for name in ("customer", "orders", "part"):
@@ -246,7 +247,7 @@ DAYS = "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, COUNT(*) AS rows
 
 @query("parquet_export_partition", DAYS.format(""))
 def _(t):
-    return TB.export_days(dated_events(t), scratch_path(t.spark, "days"), "event_date", 200)
+    return TB.export_days(dated_events(t), scratch_path(t.spark, "days"), "event_date")
 
 
 @query(

@@ -106,8 +106,37 @@ class ChangeTable:
             return
         self.state().write.mode("overwrite").parquet(f"{self.root}/base/upto{newest}")
 
-    def start(self, changes: DataFrame, checkpoint: str, available_now: bool = False, every: str = "1 minute") -> StreamingQuery:
-        """Feed the table from a streaming DataFrame; any order and any split of batches will do."""
-        writer = changes.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint)
+    def prune(self) -> None:
+        """Delete what the newest base replaces; call it when no reader uses the older state."""
+        base = self._base()
+        if base is None:
+            return
+        for number in files.finished_numbers(self.spark, f"{self.root}/base", "upto")[:-1]:
+            files.delete(self.spark, f"{self.root}/base/upto{number}")
+        for number in files.finished_numbers(self.spark, f"{self.root}/deltas", "batch="):
+            # The newest folded batch stays, so a repeated delivery finds its folder.
+            if number < base:
+                files.delete(self.spark, f"{self.root}/deltas/batch={number}")
+
+    def start(
+        self,
+        changes: DataFrame,
+        checkpoint: str,
+        available_now: bool = False,
+        every: str = "1 minute",
+        compact_every: int | None = None,
+    ) -> StreamingQuery:
+        """Feed the table from a streaming DataFrame; any order and any split of batches will do.
+
+        Batches come one after the other, so with ``compact_every`` each n-th one also folds the
+        batches before it.
+        """
+
+        def feed(rows: DataFrame, batch: int) -> None:
+            if compact_every and batch and batch % compact_every == 0:
+                self.compact()
+            self.apply(rows, batch)
+
+        writer = changes.writeStream.foreachBatch(feed).option("checkpointLocation", checkpoint)
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
         return writer.start()

@@ -56,8 +56,12 @@ def test_stream(spark, folder):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
     table = cdc.ChangeTable(spark, f"{folder}/table", ["id"])
     for _ in range(2):  # the second run finds nothing new
-        table.start(stream, f"{folder}/checkpoint", available_now=True).awaitTermination()
+        table.start(stream, f"{folder}/checkpoint", available_now=True, compact_every=2).awaitTermination()
         assert rows(table.snapshot()) == EXPECTED
+    assert table._base() is not None
+    table.compact()
+    table.prune()
+    assert rows(table.snapshot()) == EXPECTED
 
 
 def test_unknown_fields_are_dropped(spark):

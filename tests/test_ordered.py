@@ -3,7 +3,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakeworks.operators import ordered as O
-from lakeworks.operators.skew import spread_join
+from lakeworks.operators.skew import hot_keys, spread_join
 
 
 def same(a, b):
@@ -60,6 +60,11 @@ def test_spread_join(rows, spark):
     names = rows.select("g").distinct().withColumn("name", F.concat(F.lit("n"), "g"))
     got = spread_join(rows, names, ["g"], ["id"])
     assert same(got, rows.join(names, "g"))
+    many = rows.unionByName(spark.range(600, 3000).select("id", F.col("id").alias("g"), F.lit(0).cast("long").alias("v")))
+    hot = hot_keys(many.groupBy("g").agg(F.count("*").alias("n")), ["g"], "n")
+    assert -1 in {r["g"] for r in hot.collect()} and hot.count() == 18
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert same(spread_join(many, names, ["g"], ["id"], how, hot=hot), many.join(names, "g", how))
     assert same(spread_join(rows, names.filter("g > 3"), ["g"], ["id"], "left_anti"), rows.join(names.filter("g > 3"), "g", "left_anti"))
     with pytest.raises(ValueError):
         spread_join(rows, names, ["g"], ["id"], "right")
