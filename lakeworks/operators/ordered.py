@@ -24,20 +24,20 @@ def _estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def into_ranges(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> DataFrame:
+def into_ranges(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> tuple[DataFrame, bool]:
     """Add ``_part``, the number of the range a row falls in; ranges follow the order.
 
     The result is settled in the shared folder: range numbers come from sampled bounds and
     must read back the same in every later pass. ``order`` has to be unique per row.
     A few rows make one range and skip the sampling; the planner's estimate suggests it, a
-    count of the settled rows decides it.
+    count of the settled rows decides it. The second value tells whether there is one range.
     """
     if ranges is None and _estimated_bytes(df) <= SMALL_BYTES:
         df = settle(df)
         if df.count() <= SMALL_ROWS:
-            return df.withColumn(PART, F.lit(0))
+            return df.withColumn(PART, F.lit(0)), True
     n = ranges or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return settle(df.repartitionByRange(n, *order).withColumn(PART, F.spark_partition_id()))
+    return settle(df.repartitionByRange(n, *order).withColumn(PART, F.spark_partition_id())), n == 1
 
 
 def _range_sizes(ranged: DataFrame) -> DataFrame:
@@ -51,15 +51,19 @@ def _range_sizes(ranged: DataFrame) -> DataFrame:
     )
 
 
-def with_global_rank(ranged: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame:
+def with_global_rank(df: DataFrame, order: Sequence[str], name: str = "rank", ranges: int | None = None) -> DataFrame:
     """Row number over the whole order, with ``_total`` rows alongside."""
-    local = F.row_number().over(Window.partitionBy(PART).orderBy(*order))
+    ranged, single = into_ranges(df, order, ranges)
+    local = Window.partitionBy(PART).orderBy(*order)
+    if single:
+        total = F.count("*").over(Window.partitionBy(PART))
+        return ranged.withColumns({name: F.row_number().over(local).cast("long"), "_total": total}).drop(PART)
     # One row per range, so the broadcast is bounded by the shuffle partition count.
     return (
-        ranged.withColumn("_local", local)
+        ranged.withColumn("_local", F.row_number().over(local))
         .join(F.broadcast(_range_sizes(ranged)), PART)
         .withColumn(name, F.col("_before") + F.col("_local"))
-        .drop("_before", "_local")
+        .drop("_before", "_local", PART)
     )
 
 
@@ -74,8 +78,8 @@ def tile_of(rank: Column, total: Column, tiles: int) -> Column:
 
 def ntile(df: DataFrame, tiles: int, order: Sequence[str], name: str = "tile", ranges: int | None = None) -> DataFrame:
     """``NTILE(tiles) OVER (ORDER BY order)`` without a single-task sort."""
-    ranked = with_global_rank(into_ranges(df, order, ranges), order, "_rank")
-    return ranked.withColumn(name, tile_of(F.col("_rank"), F.col("_total"), tiles)).drop("_rank", "_total", PART)
+    ranked = with_global_rank(df, order, "_rank", ranges)
+    return ranked.withColumn(name, tile_of(F.col("_rank"), F.col("_total"), tiles)).drop("_rank", "_total")
 
 
 class GroupOrder:
@@ -84,7 +88,7 @@ class GroupOrder:
     def __init__(self, df: DataFrame, group: Sequence[str], order: Sequence[str], ranges: int | None = None):
         self.group, self.order = list(group), list(order)
         self.sort = self.group + self.order
-        self.df = into_ranges(df, self.sort, ranges)
+        self.df, self.single = into_ranges(df, self.sort, ranges)
         self._local = Window.partitionBy(PART, *self.group).orderBy(*self.order)
 
     def _carry(self, value: Column, name: str) -> DataFrame:
@@ -103,30 +107,36 @@ class GroupOrder:
         return self._lift_numbers(local, name)
 
     def _lift_numbers(self, local: DataFrame, name: str) -> DataFrame:
+        if self.single:
+            return local.withColumnRenamed("_rn", name).withColumn(name, F.col(name).cast("long"))
         out = local.join(self._carry(F.count("*"), "_base"), [PART, *self.group])
         return out.withColumn(name, (F.col("_base") + F.col("_rn")).cast("long")).drop("_base", "_rn")
 
     def with_next(self, values: Sequence[str], prefix: str = "next_", number: str | None = None) -> DataFrame:
         """``LEAD`` of the named columns, NULL on the last row of a group; ``number`` adds the row number."""
         packed = F.struct(*values)
-        firsts = self.df.groupBy(PART, *self.group).agg(F.min_by(packed, F.struct(*self.order)).alias("_first"))
-        later = Window.partitionBy(*self.group).orderBy(PART)
-        edge = firsts.select(PART, *self.group, F.lead("_first").over(later).alias("_edge"))
         local = self.df.withColumn("_lead", F.lead(packed).over(self._local))
         kept = list(self.df.columns)
         if number:
             local = self._lift_numbers(local.withColumn("_rn", F.row_number().over(self._local)), number)
             kept.append(number)
-        out = local.join(edge, [PART, *self.group])
-        nxt = F.coalesce(F.col("_lead"), F.col("_edge"))
-        return out.select(*kept, *[nxt[v].alias(prefix + v) for v in values])
+        nxt = F.col("_lead")
+        if not self.single:
+            firsts = self.df.groupBy(PART, *self.group).agg(F.min_by(packed, F.struct(*self.order)).alias("_first"))
+            later = Window.partitionBy(*self.group).orderBy(PART)
+            edge = firsts.select(PART, *self.group, F.lead("_first").over(later).alias("_edge"))
+            local = local.join(edge, [PART, *self.group])
+            nxt = F.coalesce(nxt, F.col("_edge"))
+        return local.select(*kept, *[nxt[v].alias(prefix + v) for v in values])
 
     def sum_before(self, rows: DataFrame, value: str, name: str) -> DataFrame:
         """Sum of ``value`` over the earlier rows of the group, for rows made by this object."""
+        inner = F.coalesce(F.sum(value).over(self._local.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        if self.single:
+            return rows.withColumn(name, inner)
         totals = rows.groupBy(PART, *self.group).agg(F.sum(value).alias("_sum"))
         over_parts = Window.partitionBy(*self.group).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
         carry = totals.select(PART, *self.group, F.coalesce(F.sum("_sum").over(over_parts), F.lit(0)).alias("_carry"))
-        inner = F.coalesce(F.sum(value).over(self._local.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         return (
             rows.withColumn("_inner", inner)
             .join(carry, [PART, *self.group])

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions.values import fixed_sum, safe_divide
 from ..session import settle
 from .dedup import schema_diff
-from .ordered import GroupOrder, into_ranges, with_global_rank
+from .ordered import GroupOrder, with_global_rank
 
 # Fixed thresholds.
 ROW_TOLERANCE = 0.001
@@ -265,7 +265,7 @@ def result_compare(
     else:
         by_name = dict(zip(base.columns, names))
         sort = [by_name[c] for c in order]
-        numbered = [with_global_rank(into_ranges(plain(df), sort), sort, "_rank") for df in (base, other)]
+        numbered = [with_global_rank(plain(df), sort, "_rank") for df in (base, other)]
         keys, compared = ["_rank"], names
     packed = [F.struct(F.lit(True).alias("here"), *compared) for _ in range(2)]
     left, right = (df.select(*keys, p.alias(tag)) for df, p, tag in zip(numbered, packed, ("a", "b")))

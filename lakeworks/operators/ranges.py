@@ -44,7 +44,7 @@ def _sweep(distinct: DataFrame, ranges: DataFrame, key: str, low: str, high: str
     # One lower bound keeps its highest upper bound, so the order below is unique.
     starts = ranges.groupBy(F.col(low).alias("_v")).agg(F.lit(0).alias("_is_key"), F.max(high).alias("_high"))
     order = ["_v", "_is_key"]
-    ranged = into_ranges(starts.unionByName(points.withColumn("_high", F.col("_high").cast(starts.schema["_high"].dataType))), order)
+    ranged, _ = into_ranges(starts.unionByName(points.withColumn("_high", F.col("_high").cast(starts.schema["_high"].dataType))), order)
     tops = ranged.groupBy(PART).agg(F.max("_high").alias("_top"))
     # One row per partition: bounded by the shuffle partition count.
     earlier = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)

@@ -23,13 +23,16 @@ def rows(spark):
 
 @pytest.mark.parametrize("tiles", [1, 7, 10, 599, 600, 1000])
 def test_ntile(rows, tiles):
-    got = O.ntile(rows, tiles, ["v", "id"], "t", ranges=5).select("id", F.col("t").cast("int"))
-    assert same(got, rows.select("id", F.ntile(tiles).over(Window.orderBy("v", "id")).alias("t")))
+    for ranges in (5, None):
+        got = O.ntile(rows, tiles, ["v", "id"], "t", ranges=ranges).select("id", F.col("t").cast("int"))
+        assert same(got, rows.select("id", F.ntile(tiles).over(Window.orderBy("v", "id")).alias("t")))
 
 
-def test_group_order(rows):
+@pytest.mark.parametrize("ranges", [None, 1, 7])
+def test_group_order(rows, ranges):
     w = Window.partitionBy("g").orderBy("v", "id")
-    order = O.GroupOrder(rows, ["g"], ["v", "id"], ranges=7)
+    order = O.GroupOrder(rows, ["g"], ["v", "id"], ranges=ranges)
+    assert order.single == (ranges != 7)
     got = order.with_next(["id", "v"], number="seq")
     expected = rows.select(
         "*", F.row_number().over(w).cast("long").alias("seq"), F.lead("id").over(w).alias("next_id"), F.lead("v").over(w).alias("next_v")
