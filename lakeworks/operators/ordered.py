@@ -28,7 +28,8 @@ def into_ranges(df: DataFrame, order: Sequence[str], ranges: int | None = None)
     """Add ``_part``, the number of the range a row falls in; ranges follow the order.
 
     The result is settled in the shared folder: range numbers come from sampled bounds and
-    must read back the same in every later pass. ``order`` has to be unique per row.
+    must read back the same in every later pass. Rows of equal ``order`` come in any order, so
+    give one that is unique wherever they differ.
     A few rows make one range and skip the sampling; the planner's estimate suggests it, a
     count of the settled rows decides it. The second value tells whether there is one range.
     """
@@ -37,7 +38,9 @@ def into_ranges(df: DataFrame, order: Sequence[str], ranges: int | None = None)
         if df.count() <= SMALL_ROWS:
             return df.withColumn(PART, F.lit(0)), True
     n = ranges or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return settle(df.repartitionByRange(n, *order).withColumn(PART, F.spark_partition_id())), n == 1
+    # Copies of one row spread by the partition they come from, which a retry does not change.
+    tied = df.withColumn("_tie", F.spark_partition_id()).repartitionByRange(n, *order, "_tie").drop("_tie")
+    return settle(tied.withColumn(PART, F.spark_partition_id())), n == 1
 
 
 def _range_sizes(ranged: DataFrame) -> DataFrame:

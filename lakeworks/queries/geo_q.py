@@ -479,7 +479,7 @@ def _(t):
     f"SELECT zone_id, COUNT(*) AS stops, MAX(stop_number) AS last_number, ROUND(SUM(leg_km), 2) AS km FROM ({NEAREST}) GROUP BY ALL",
 )
 def _(t):
-    walked = R.greedy_routes(zoned(t), near=40)
+    walked = R.greedy_routes(zoned(t))
     km = F.round(F.col("leg_m") / 1000, 4)
     return walked.groupBy("zone_id").agg(
         F.count("*").alias("stops"), F.max("stop_number").alias("last_number"), F.round(F.sum(km), 2).alias("km")

@@ -37,9 +37,11 @@ def by_partition(df: DataFrame, column: str, rows_per_file: int | None = None, s
     """
     rows_per_file = rows_per_file or file_rows(df)
     sizes = df.groupBy(column).agg(F.ceil(F.count("*") / F.lit(rows_per_file)).cast("int").alias("_files"))
-    sized = df.join(sizes.withColumnRenamed(column, "_value"), F.col(column).eqNullSafe(F.col("_value")))
-    spread = F.pmod(F.xxhash64(*(spread_by or _hashable(df))), F.col("_files"))
-    return sized.withColumn("_file", spread).repartition(column, "_file").drop("_file", "_files", "_value")
+    # The source partition goes into the hash, so that copies of one row spread out too.
+    marked = df.withColumn("_spread", F.xxhash64(F.spark_partition_id(), *(spread_by or _hashable(df))))
+    sized = marked.join(sizes.withColumnRenamed(column, "_value"), F.col(column).eqNullSafe(F.col("_value")))
+    filed = sized.withColumn("_file", F.pmod("_spread", "_files"))
+    return filed.repartition(column, "_file").drop("_file", "_files", "_value", "_spread")
 
 
 def _hashable(df: DataFrame) -> list[str]:

@@ -171,6 +171,17 @@ def test_large_days_get_several_files(spark, folder):
     assert TB.day_shards(spark, folder, "day", "2024-01-02", "2024-01-09").count() == 100
 
 
+def test_copies_of_one_row_spread_over_files(spark, folder):
+    same = spark.range(0, 4000, 1, 8).select(F.lit("x").alias("v"), F.lit(1).alias("day"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # it would join these few rows again
+    try:
+        TB.by_partition(same, "day", 1000).write.partitionBy("day").parquet(folder)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sizes = [r["count"] for r in spark.read.parquet(folder).groupBy("_metadata.file_path").count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) >= 2 and max(sizes) < 4000
+
+
 def test_runs_load_only_new_rows(spark, folder):
     cluster = {
         "source_name": "s",

@@ -71,3 +71,12 @@ def test_spread_join(rows, spark):
     assert same(spread_join(rows, names.filter("g > 3"), ["g"], ["id"], "left_anti"), rows.join(names.filter("g > 3"), "g", "left_anti"))
     with pytest.raises(ValueError):
         spread_join(rows, names, ["g"], ["id"], "right")
+
+
+def test_copies_of_one_row_spread_over_ranges(spark):
+    same = spark.range(0, 4000, 1, 8).select(F.lit(1).alias("v"))
+    ranged, single = O.into_ranges(same, ["v"], ranges=4)
+    sizes = [r["count"] for r in ranged.groupBy(O.PART).count().collect()]
+    assert not single and sum(sizes) == 4000 and max(sizes) < 3000
+    ranks = O.with_global_rank(same, ["v"], "rank", ranges=4)
+    assert ranks.agg(F.count_distinct("rank"), F.min("rank"), F.max("rank")).first()[:] == (4000, 1, 4000)
