@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -52,7 +53,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     current = sc.getCheckpointDir()
     if current is None:
-        if not sc.master.startswith("local"):
+        if re.fullmatch(r"local(\[.*\])?", sc.master) is None:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lakeworks-"))
         current = sc.getCheckpointDir()
