@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..queries.registry import Tables
-from . import bpe, exact_dedup, fertility, mixing, sharding, simhash
+from . import bpe, chat, exact_dedup, fertility, language, mixing, quality_fm, sharding, simhash, toxicity
+from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,11 +45,37 @@ def op3(t: Tables) -> DataFrame:
     return bpe.encode(t.documents, RANKS, PATTERN, with_ids=False)
 
 
+@query("op4_toxicity")
+def op4(t: Tables) -> DataFrame:
+    docs = t.documents.withColumn("held_out", held_out(1, 3))
+    training = t.labels.filter(~held_out(1, 3)).select("doc_id", F.col("toxic").alias("label"))
+    found = toxicity.toxicity(docs, training, "held_out")
+    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 @query("op5_fertility")
 def op5(t: Tables) -> DataFrame:
     return fertility.measures(t.documents, RANKS, PATTERN, PIECES)
 
 
+@query("op6_language")
+def op6(t: Tables) -> DataFrame:
+    docs = t.documents.withColumn("held_out", held_out(2, 4))
+    return language.predict(docs, language.learn(docs.filter("not held_out")), "held_out")
+
+
+@query("op7_chat")
+def op7(t: Tables) -> DataFrame:
+    return chat.repair(t.conversations)
+
+
+@query("op8_quality_fm")
+def op8(t: Tables) -> DataFrame:
+    docs = t.documents.withColumn("held_out", held_out(0, 5))
+    labels = t.labels.filter(~held_out(0, 5)).select("doc_id", F.col("quality").alias("label"))
+    return quality_fm.score(docs, quality_fm.learn(docs, labels), "held_out").withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 @query("op9_mixing")
 def op9(t: Tables) -> DataFrame:
     return mixing.mixed(t.documents)
