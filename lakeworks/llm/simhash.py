@@ -88,14 +88,16 @@ class Ring:
             j = (i + 1) % self.segments
             mine = (bits >> np.uint64(self.low[i])) & np.uint64((1 << self.width[i]) - 1)
             next_ = (bits >> np.uint64(self.low[j])) & np.uint64((1 << self.width[j]) - 1)
-            head = np.uint64(i << 56) | mine << np.uint64(self.width[j])
-            keys.append(head | next_)
+            head = mine << np.uint64(self.width[j])
+            own = [head | next_]
             owners.append(bits)
             for b in range(self.width[j]):
                 bit = np.uint64(1 << b)
                 has = (next_ & bit) != 0
-                keys.append((head | next_ ^ bit)[has])
+                own.append((head | next_ ^ bit)[has])
                 owners.append(bits[has])
+            # Two segments of a small distance may take more than the 56 bits left; more pairs meet then.
+            keys += [np.uint64(i << 56) | k & np.uint64((1 << 56) - 1) for k in own]
         return np.concatenate(keys), np.concatenate(owners)
 
     def linked(self, segment: int, difference: np.ndarray) -> np.ndarray:
