@@ -254,8 +254,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
     classes = written(found.groupBy("bits").agg(F.min("doc_id").alias("first_id")), "classes")
     joined = components(links(classes, most)).select(F.col("node").alias("bits"), "component")
     placed = written(classes.join(joined, "bits", "left"), "placed")
-    firsts = placed.filter("component is not null").groupBy("component").agg(F.min("first_id").alias("component_id"))
-    placed = placed.join(firsts, "component", "left").select("bits", F.coalesce("component_id", "first_id").alias("component_id"))
+    # Only classes with links have a component to look up; without them no key is hot.
+    linked, alone = placed.filter("component is not null"), placed.filter("component is null")
+    firsts = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    placed = linked.join(firsts, "component").select("bits", "component_id").unionByName(
+        alone.select("bits", F.col("first_id").alias("component_id"))
+    )
     digits = F.lpad(F.lower(F.hex("bits")), 16, "0")
     return found.join(placed, "bits").select("doc_id", digits.alias("fingerprint"), "component_id")
 
