@@ -12,8 +12,8 @@ none twice.
 Default weights are the square roots of the sources' row counts (temperature 2), as whole numbers that
 add up to about ``PERIOD``. Only row counts per source reach the driver.
 
-A null source is a source of its own. Ties and repeated rows are placed one by one; a null doc_id comes
-first in the hash order. An empty table gives an empty result.
+A null source is a source of its own. Ties and repeated rows are placed one by one; a null doc_id is
+hashed like an empty one. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def tempered(rows: Mapping[str | None, int], temperature: float = TEMPERATURE, t
 
 
 def mixed(
-    docs: DataFrame, weights: Mapping[str | None, int] | None = None, block_rows: int = BLOCK_ROWS, seed: int = 17
+    docs: DataFrame, weights: Mapping[str | None, int] | None = None, block_rows: int = BLOCK_ROWS, seed: str = "17"
 ) -> DataFrame:
     """Per row: doc_id, source, weight, block, phase, release, deadline, slot and position.
 
@@ -90,7 +90,8 @@ def mixed(
     bound that slot. ``position`` orders the rows of the whole mix. ``weights`` names every source.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "source", F.xxhash64(F.lit(seed), "doc_id").alias("turn"))
+    turn = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
+    rows = docs.select("doc_id", "source", turn.alias("turn"))
     numbered = written(number_in_groups(rows, "source", ["turn", "doc_id"]), "numbered")
     # One row per source.
     counts = {r["source"]: r["n"] for r in numbered.groupBy("source").agg(F.count("*").alias("n")).collect()}
