@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples, with exact TF-IDF cosines from a block-max index.
 
-Terms are the lower-cased words of a text and their beginnings of four to six letters, as far as they
+Terms are the lower-cased words of a text and their beginnings of three to eight letters, as far as they
 tell toxic examples from others. A text is a vector of (1 + log tf) * idf over these terms, of length
 one; idf is counted over all documents. The examples lie in blocks of ``BLOCK``; the index keeps per term
 and block the postings and the largest weight. A query adds up the block maxima of its terms, visits
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, ids_and_texts, texts_of, written
 
+PREFIXES = (3, 4, 5, 6, 7, 8)
 PER_CLASS = 2000
 TERMS = 2048
 FEWEST_EXAMPLES = 3  # toxic ones that must have a term
@@ -46,7 +47,7 @@ _SLACK = 1e-9  # bounds and cosines add the same numbers in another order
 
 def terms_of(word: str) -> list[str]:
     """The word itself, and its beginnings, marked as such."""
-    return [word, *(word[:n] + "-" for n in (4, 5, 6) if len(word) >= n)]
+    return [word, *(word[:n] + "-" for n in PREFIXES if len(word) >= n)]
 
 
 def lean(with_term: Sequence[np.ndarray], examples: Sequence[int]) -> np.ndarray:

@@ -69,7 +69,8 @@ def test_held_out_rows(scored, sf):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in scored)
     assert all(r["predicted"] == (r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in scored)
     held = [(r["predicted"], toxic[r["doc_id"]]) for r in scored if r["held_out"] and r["doc_id"] in toxic]
-    assert sum(p for p, t in held if not t) <= 1
+    # Some thirty toxic examples to learn from, and labels that are not always right.
+    assert sum(p for p, t in held if not t) <= 0.03 * sum(not t for _, t in held)
     assert sum(p for p, t in held if t) >= 0.7 * sum(t for _, t in held)
 
 
