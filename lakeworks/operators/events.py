@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import fixed_units, pct, safe_divide, total_units
 from .dedup import top_k
-from .ordered import lead_by_chunk
+from .ordered import GroupOrder
 from .skew import hot_keys, spread_join
 
 # Upper edges of the engagement bands, right edge included (fixed values).
@@ -59,11 +59,11 @@ def funnel(events: DataFrame, first: str, second: str, within: Column | None = N
     """Users' first-step events and those followed directly by the second step.
 
     Only the two event kinds take part. ``within`` is a day-time interval the follow-up must
-    stay under. A user's events are spread over days, so one busy user is no single task.
+    stay under. Users are split by ranges of their times, so one busy user is no single task;
+    events without a user count as one user's, events without a time come first.
     """
     steps = events.filter(F.col("event_name").isin(first, second)).select("user_id", "event_id", "ts", "event_name")
-    steps = steps.withColumn("_day", F.to_date("ts"))
-    follow = lead_by_chunk(steps, ["user_id"], "_day", ["ts", "event_id"], ["event_name", "ts"])
+    follow = GroupOrder(steps, ["user_id"], ["ts", "event_id"]).with_next(["event_name", "ts"])
     step_1 = F.col("event_name") == first
     step_2 = step_1 & (F.col("next_event_name") == second)
     if within is not None:

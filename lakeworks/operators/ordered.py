@@ -2,12 +2,14 @@
 
 A window over everything, or over one very large group, runs in one task. Here rows are
 range-partitioned on the order instead, numbered inside each range, and tied together by a
-small table with one row per range (or per range and group).
+small table with one row per range (or per range and group). The same path serves any size;
+only the number of ranges follows the data. A NULL in a group column is a group like any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,32 +17,40 @@ from pyspark.sql import functions as F
 from ..functions.values import div
 from ..session import settle
 
-PART = "_part"
-SMALL_BYTES = 8 * 2**20
-SMALL_ROWS = 50_000
+PART, AT = "_part", "_at"
+RANGE_BYTES = 128 * 2**20
+_AT_BITS = 33  # monotonically_increasing_id() keeps the partition above them
 
 
-def _estimated_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def _scanned_bytes(df: DataFrame) -> int:
+    """Bytes of the tables a frame reads; unknown sizes count as nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 2**60)
 
 
-def into_ranges(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> tuple[DataFrame, bool]:
-    """Add ``_part``, the number of the range a row falls in; ranges follow the order.
+def into_ranges(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """Add ``_part``, the number of the range a row falls in, and ``_at``, its place there from 0.
 
-    The result is settled in the shared folder: range numbers come from sampled bounds and
-    must read back the same in every later pass. Rows of equal ``order`` come in any order, so
-    give one that is unique wherever they differ.
-    A few rows make one range and skip the sampling; the planner's estimate suggests it, a
-    count of the settled rows decides it. The second value tells whether there is one range.
+    The rows are settled in the shared folder: bounds come from samples and must read back the
+    same in every later pass. Rows of equal ``order`` come in any order, so give one that is
+    unique wherever they differ. Large inputs get a range per ``RANGE_BYTES`` scanned; otherwise
+    the shuffle partitions, merged where they are small.
     """
-    if ranges is None and _estimated_bytes(df) <= SMALL_BYTES:
-        df = settle(df)
-        if df.count() <= SMALL_ROWS:
-            return df.withColumn(PART, F.lit(0)), True
-    n = ranges or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    wanted = -(-_scanned_bytes(df) // RANGE_BYTES)
+    if ranges is None and wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        ranges = wanted
     # Copies of one row spread by the partition they come from, which a retry does not change.
-    tied = df.withColumn("_tie", F.spark_partition_id()).repartitionByRange(n, *order, "_tie").drop("_tie")
-    return settle(tied.withColumn(PART, F.spark_partition_id())), n == 1
+    tied = df.withColumn("_tie", F.spark_partition_id())
+    keys = [*order, "_tie"]
+    ranged = tied.repartitionByRange(*keys) if ranges is None else tied.repartitionByRange(ranges, *keys)
+    placed = ranged.drop("_tie").sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    place = F.col("_place")
+    return settle(placed, "ranges").select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        F.shiftright(place, _AT_BITS).cast("int").alias(PART),
+        place.bitwiseAND(F.lit((1 << _AT_BITS) - 1)).alias(AT),
+    )
 
 
 def _range_sizes(ranged: DataFrame) -> DataFrame:
@@ -56,18 +66,10 @@ def _range_sizes(ranged: DataFrame) -> DataFrame:
 
 def with_global_rank(df: DataFrame, order: Sequence[str], name: str = "rank", ranges: int | None = None) -> DataFrame:
     """Row number over the whole order, with ``_total`` rows alongside."""
-    ranged, single = into_ranges(df, order, ranges)
-    local = Window.partitionBy(PART).orderBy(*order)
-    if single:
-        total = F.count("*").over(Window.partitionBy(PART))
-        return ranged.withColumns({name: F.row_number().over(local).cast("long"), "_total": total}).drop(PART)
-    # One row per range, so the broadcast is bounded by the shuffle partition count.
-    return (
-        ranged.withColumn("_local", F.row_number().over(local))
-        .join(F.broadcast(_range_sizes(ranged)), PART)
-        .withColumn(name, F.col("_before") + F.col("_local"))
-        .drop("_before", "_local", PART)
-    )
+    ranged = into_ranges(df, order, ranges)
+    # One row per range.
+    placed = ranged.join(F.broadcast(_range_sizes(ranged)), PART)
+    return placed.withColumn(name, F.col("_before") + F.col(AT) + 1).drop("_before", AT, PART)
 
 
 def tile_of(rank: Column, total: Column, tiles: int) -> Column:
@@ -86,66 +88,60 @@ def ntile(df: DataFrame, tiles: int, order: Sequence[str], name: str = "tile", r
 
 
 class GroupOrder:
-    """Rows of any group size in group order, for row numbers, next rows and running sums."""
+    """Rows of any group size in group order, for row numbers, next rows and running sums.
+
+    Rows made here keep ``_part`` and ``_at``.
+    """
 
     def __init__(self, df: DataFrame, group: Sequence[str], order: Sequence[str], ranges: int | None = None):
         self.group, self.order = list(group), list(order)
-        self.sort = self.group + self.order
-        self.df, self.single = into_ranges(df, self.sort, ranges)
-        self._local = Window.partitionBy(PART, *self.group).orderBy(*self.order)
+        self.columns = list(df.columns)
+        self.df = into_ranges(df, self.group + self.order, ranges)
+        self._local = Window.partitionBy(PART, *self.group).orderBy(AT)
+        self._earlier = Window.partitionBy(*self.group).orderBy(PART)
 
-    def _carry(self, value: Column, name: str) -> DataFrame:
-        """Per (range, group): the group's ``value`` total in earlier ranges.
+    def _with_run(self, rows: DataFrame, runs: DataFrame) -> DataFrame:
+        """Join the columns of a table with one row per range and group.
 
-        A group reaches into many ranges only by filling the ones between, so this table is
+        A group reaches into many ranges only by filling the ones between, so such a table is
         about as long as ranges plus groups.
         """
-        totals = self.df.groupBy(PART, *self.group).agg(value.alias("_sum"))
-        w = Window.partitionBy(*self.group).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-        return totals.select(PART, *self.group, F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias(name))
+        keys = [PART, *self.group]
+        named = runs.select(*[F.col(k).alias(f"_run_{i}") for i, k in enumerate(keys)], *[c for c in runs.columns if c not in keys])
+        same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_run_{i}")) for i, k in enumerate(keys)])
+        return rows.join(named, same).drop(*[f"_run_{i}" for i in range(len(keys))])
+
+    def _numbered(self, rows: DataFrame, name: str) -> DataFrame:
+        runs = self.df.groupBy(PART, *self.group).agg(F.count("*").alias("_n"), F.min(AT).alias("_first_at"))
+        before = F.coalesce(F.sum("_n").over(self._earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        bases = runs.select(PART, *self.group, (before - F.col("_first_at") + 1).alias("_base"))
+        return self._with_run(rows, bases).withColumn(name, (F.col("_base") + F.col(AT)).cast("long")).drop("_base")
 
     def numbered(self, name: str = "seq") -> DataFrame:
         """``ROW_NUMBER() OVER (PARTITION BY group ORDER BY order)``."""
-        local = self.df.withColumn("_rn", F.row_number().over(self._local))
-        return self._lift_numbers(local, name)
-
-    def _lift_numbers(self, local: DataFrame, name: str) -> DataFrame:
-        if self.single:
-            return local.withColumnRenamed("_rn", name).withColumn(name, F.col(name).cast("long"))
-        out = local.join(self._carry(F.count("*"), "_base"), [PART, *self.group])
-        return out.withColumn(name, (F.col("_base") + F.col("_rn")).cast("long")).drop("_base", "_rn")
+        return self._numbered(self.df, name)
 
     def with_next(self, values: Sequence[str], prefix: str = "next_", number: str | None = None) -> DataFrame:
         """``LEAD`` of the named columns, NULL on the last row of a group; ``number`` adds the row number."""
         packed = F.struct(*values)
-        local = self.df.withColumn("_lead", F.lead(packed).over(self._local))
-        kept = list(self.df.columns)
+        firsts = self.df.groupBy(PART, *self.group).agg(F.min_by(packed, AT).alias("_first"))
+        edges = firsts.select(PART, *self.group, F.lead("_first").over(self._earlier).alias("_edge"))
+        rows = self._with_run(self.df.withColumn("_lead", F.lead(packed).over(self._local)), edges)
+        kept = [*self.columns, PART, AT]
         if number:
-            local = self._lift_numbers(local.withColumn("_rn", F.row_number().over(self._local)), number)
+            rows = self._numbered(rows, number)
             kept.append(number)
-        nxt = F.col("_lead")
-        if not self.single:
-            firsts = self.df.groupBy(PART, *self.group).agg(F.min_by(packed, F.struct(*self.order)).alias("_first"))
-            later = Window.partitionBy(*self.group).orderBy(PART)
-            edge = firsts.select(PART, *self.group, F.lead("_first").over(later).alias("_edge"))
-            local = local.join(edge, [PART, *self.group])
-            nxt = F.coalesce(nxt, F.col("_edge"))
-        return local.select(*kept, *[nxt[v].alias(prefix + v) for v in values])
+        nxt = F.coalesce(F.col("_lead"), F.col("_edge"))
+        return rows.select(*kept, *[nxt[v].alias(prefix + v) for v in values])
 
     def sum_before(self, rows: DataFrame, value: str, name: str) -> DataFrame:
         """Sum of ``value`` over the earlier rows of the group, for rows made by this object."""
-        inner = F.coalesce(F.sum(value).over(self._local.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        if self.single:
-            return rows.withColumn(name, inner)
+        past = Window.unboundedPreceding, -1
+        inner = F.coalesce(F.sum(value).over(self._local.rowsBetween(*past)), F.lit(0))
         totals = rows.groupBy(PART, *self.group).agg(F.sum(value).alias("_sum"))
-        over_parts = Window.partitionBy(*self.group).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-        carry = totals.select(PART, *self.group, F.coalesce(F.sum("_sum").over(over_parts), F.lit(0)).alias("_carry"))
-        return (
-            rows.withColumn("_inner", inner)
-            .join(carry, [PART, *self.group])
-            .withColumn(name, F.col("_carry") + F.col("_inner"))
-            .drop("_carry", "_inner")
-        )
+        carry = totals.select(PART, *self.group, F.coalesce(F.sum("_sum").over(self._earlier.rowsBetween(*past)), F.lit(0)).alias("_carry"))
+        summed = self._with_run(rows.withColumn("_inner", inner), carry)
+        return summed.withColumn(name, F.col("_carry") + F.col("_inner")).drop("_carry", "_inner")
 
 
 def ordered_lists(
@@ -161,24 +157,3 @@ def ordered_lists(
         F.array_sort(F.collect_list(F.struct(F.col(number).alias("_n"), value.alias("v")))).alias("_sorted")
     )
     return lists.select(*group, "part", F.transform("_sorted", lambda x: x["v"]).alias(name))
-
-
-def lead_by_chunk(
-    df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], values: Sequence[str], prefix: str = "next_"
-) -> DataFrame:
-    """``LEAD`` per key where a key may be very frequent.
-
-    ``chunk`` is a coarse form of the order (a day of a timestamp), so the heavy window is per
-    (key, chunk); only one row per (key, chunk) goes through the window per key.
-    """
-    packed = F.struct(*values)
-    inner = Window.partitionBy(*keys, chunk).orderBy(*order)
-    heads = (
-        df.groupBy(*keys, chunk)
-        .agg(F.min_by(packed, F.struct(*order)).alias("_first"))
-        .withColumn("_edge", F.lead("_first").over(Window.partitionBy(*keys).orderBy(chunk)))
-        .drop("_first")
-    )
-    out = df.withColumn("_lead", F.lead(packed).over(inner)).join(heads, [*keys, chunk])
-    nxt = F.coalesce(F.col("_lead"), F.col("_edge"))
-    return out.select(*df.columns, *[nxt[v].alias(prefix + v) for v in values])

@@ -59,8 +59,8 @@ class Routes:
         legs = self._order.with_next(["lat", "lon"], number="stop_sequence")
         metres = distance_m(F.col("lat"), F.col("lon"), F.col("next_lat"), F.col("next_lon"))
         legs = legs.withColumn("leg_mm", F.rint(metres * 1000).cast("long"))
-        # Every layer reads the legs; settled, their windows and joins over many ranges run once.
-        self.legs = legs if self._order.single else settle(legs)
+        # Every layer reads the legs; settled, their windows and joins run once.
+        self.legs = settle(legs, "legs")
 
     def stops(self) -> DataFrame:
         return self.legs.select("zone_id", "stop_id", "name", "lat", "lon", "capacity", "stop_sequence")

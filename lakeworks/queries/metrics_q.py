@@ -282,7 +282,7 @@ def _(t):
     ),
 )
 def _(t):
-    path = MT.relationship_closure(ORDERS, {"order_items", "users"})
+    path = MT.relationship_closure(ORDERS, "order_items", ["users"])
     tables, joined = order_tables(t), None
     per_order = tables["order_items"].groupBy("order_id").agg(F.count("*").alias("n"))
     sides = {"order_items": per_order, "orders": tables["orders"], "users": tables["users"]}

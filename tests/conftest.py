@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -12,7 +13,8 @@ DATA = Path("/root/testdata")
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("lakeworks-tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+    folder = tempfile.mkdtemp(prefix="lakeworks-tests-")
+    session = build_session("lakeworks-tests", "local[4]", **{"spark.checkpoint.dir": folder, "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

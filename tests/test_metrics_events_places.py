@@ -75,12 +75,21 @@ def test_contract_checks():
 
 
 def test_relationship_closure():
-    assert MT.relationship_closure(ORDERS, {"users", "order_items"}) == ("orders__order_items", "users__orders")
-    assert MT.relationship_closure(ORDERS, {"users"}) == ()
-    assert MT.relationship_closure(ORDERS, set(), ["users__orders"]) == ("users__orders",)
-    assert MT.relationship_closure(ORDERS, set()) == ()
+    assert MT.relationship_closure(ORDERS, "order_items", ["users"]) == ("orders__order_items", "users__orders")
+    assert MT.relationship_closure(ORDERS, "users", ["users"]) == ()
+    assert MT.relationship_closure(ORDERS, "users", []) == ()
+    assert MT.relationship_closure(ORDERS, "orders", ["users", "order_items"]) == ("orders__order_items", "users__orders")
     with pytest.raises(MT.ContractError):
-        MT.relationship_closure(ORDERS, {"users", "order_items"}, usable=["users__orders"])
+        MT.relationship_closure(ORDERS, "order_items", ["users"], usable=["users__orders"])
+
+
+def test_join_tree_takes_the_shortest_way_and_the_first_name():
+    def join(left, right):
+        return MT.Join(left, "k", right, "k", "many_to_one")
+
+    joins = {"a": join("t1", "t2"), "b": join("t2", "t3"), "c": join("t1", "t3"), "d": join("t3", "t4"), "e": join("t1", "t3"), "f": join("t8", "t9")}
+    tree = MT.join_tree(MT.Contract("x", {}, joins, {}, {}), "t1")
+    assert tree == {"t1": None, "t2": ("a", "t1"), "t3": ("c", "t1"), "t4": ("d", "t3")}
 
 
 START = datetime(2024, 1, 1, 22)
