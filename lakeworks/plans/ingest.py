@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 from ..sources import state
-from ..sources.jdbc import MAX_PARTITIONS
 from ..sources.registry import get_extractor
 from ..sources.tables import ParquetTable
 
 logger = logging.getLogger(__name__)
 FULL, INCREMENTAL = "FULL_RELOAD", "INCREMENTAL"
 DEFAULT_PARTITIONS = 10
+MOST_PARTITIONS = 200  # parallel reads of one table, unless the caller allows more
 
 
 @dataclass(frozen=True)
@@ -43,8 +43,12 @@ class LoadPlan:
     partitions: int = DEFAULT_PARTITIONS
 
 
-def load_plan(cluster: Mapping, db_name: str, tbl_name: str) -> LoadPlan:
-    """Plan for one table of a cluster configuration (the parsed file as a mapping)."""
+def load_plan(cluster: Mapping, db_name: str, tbl_name: str, most_partitions: int = MOST_PARTITIONS) -> LoadPlan:
+    """Plan for one table of a cluster configuration (the parsed file as a mapping).
+
+    ``most_partitions`` is what the source database stands at once; a configuration that asks for
+    more is cut to it with a warning.
+    """
     databases = cluster["data_config"]
     if db_name not in databases:
         raise KeyError(f"no database {db_name!r} in {cluster['source_name']}; known: {sorted(databases)}")
@@ -62,8 +66,8 @@ def load_plan(cluster: Mapping, db_name: str, tbl_name: str) -> LoadPlan:
     write_mode = "overwrite" if mode == FULL else ("merge" if keys else "append")
     paginated = bool(config.get("is_paginated"))
     wanted = int(config.get("pagination_size") or DEFAULT_PARTITIONS)
-    if wanted > MAX_PARTITIONS:
-        logger.warning("%s asks for %d parallel reads, using %d", name, wanted, MAX_PARTITIONS)
+    if wanted > most_partitions:
+        logger.warning("%s asks for %d parallel reads, using %d", name, wanted, most_partitions)
     partition_keys = config.get("partition_keys") or []
     dotted = "." in name
     return LoadPlan(
@@ -81,7 +85,7 @@ def load_plan(cluster: Mapping, db_name: str, tbl_name: str) -> LoadPlan:
         partition_field=partition_keys[0]["col_name"] if partition_keys else None,
         cluster_by=list(config.get("z_order_by") or []),
         partition_column=config.get("pagination_key") if paginated else None,
-        partitions=min(wanted, MAX_PARTITIONS) if paginated else DEFAULT_PARTITIONS,
+        partitions=min(wanted, most_partitions) if paginated else DEFAULT_PARTITIONS,
     )
 
 
@@ -106,22 +110,24 @@ def extract(spark: SparkSession, plan: LoadPlan, location: str, state_path: str)
 def run_table(spark: SparkSession, plan: LoadPlan, location: str, warehouse: str) -> ParquetTable:
     """Load one table.
 
-    An incremental batch is settled before it is written, so the watermark comes from exactly
-    the rows that were loaded; the source is read once.
+    The watermark comes from exactly the rows that were loaded: from the files just written or,
+    for a merge, from the batch, which is settled because a merge reads it several times. An
+    append carries the old watermark as its load id, so a load that is run again after its
+    watermark got lost replaces what it wrote.
     """
     state_path = f"{warehouse}/{plan.dataset}/_watermarks"
     batch = extract(spark, plan, location, state_path)
     table = target(spark, plan, warehouse)
-    if plan.watermark_column:
-        batch = settle(batch)
     if plan.write_mode == "overwrite":
-        table.overwrite(batch)
+        loaded = spark.read.schema(batch.schema).parquet(table.overwrite(batch))
     elif plan.write_mode == "append":
-        table.append(batch)
+        last = state.read_watermark(spark, state_path, plan.source_name, plan.db_name, plan.tbl_name)
+        loaded = spark.read.schema(batch.schema).parquet(table.append(batch, load_id=f"after {last}"))
     else:
-        table.merge(batch, plan.merge_keys)
+        loaded = settle(batch, "batch")
+        table.merge(loaded, plan.merge_keys)
     if plan.watermark_column:
-        value = state.batch_watermark(batch, plan.watermark_column)
+        value = state.batch_watermark(loaded, plan.watermark_column)
         kind = batch.schema[plan.watermark_column].dataType.simpleString()
         state.update_watermark(spark, state_path, plan.source_name, plan.db_name, plan.tbl_name, value, kind)
     return table

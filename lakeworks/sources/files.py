@@ -32,3 +32,10 @@ def finished_numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]
         if name.startswith(prefix) and digits.isdigit() and exists(spark, f"{folder}/{name}/_SUCCESS"):
             found.append(int(digits))
     return sorted(found)
+
+
+def finished(spark: SparkSession, folder: str, prefix: str) -> list[str]:
+    """Sub-folders whose name begins with the prefix and whose write finished, by name."""
+    fs, path = _path(spark, folder)
+    names = sorted(status.getPath().getName() for status in fs.listStatus(path)) if fs.exists(path) else []
+    return [f"{folder}/{n}" for n in names if n.startswith(prefix) and exists(spark, f"{folder}/{n}/_SUCCESS")]

@@ -5,31 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_PARTITIONS = 200
 FETCH_SIZE = 10_000
 
 
-def read_options(url: str, table: str, fetch_size: int = FETCH_SIZE, driver: str | None = None, **more: str) -> dict[str, str]:
-    """Options that read a whole table through a named subquery."""
-    options = {"url": url, "dbtable": f"(SELECT * FROM {table}) AS _subq", "fetchsize": str(fetch_size), **more}
+def literal(value) -> str:
+    """A value as SQL text; the database converts quoted text to the column's type."""
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        return repr(value)
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def newer_clause(newer_than: tuple[str, object] | None) -> str:
+    """WHERE clause for rows above the last watermark, empty without one."""
+    if newer_than is None or newer_than[1] is None:
+        return ""
+    return f" WHERE {newer_than[0]} > {literal(newer_than[1])}"
+
+
+def read_options(
+    url: str,
+    table: str,
+    fetch_size: int = FETCH_SIZE,
+    driver: str | None = None,
+    newer_than: tuple[str, object] | None = None,
+    **more: str,
+) -> dict[str, str]:
+    """Options that read a table, or its rows above a watermark, through a named subquery."""
+    query = f"(SELECT * FROM {table}{newer_clause(newer_than)}) AS _subq"
+    options = {"url": url, "dbtable": query, "fetchsize": str(fetch_size), **more}
     if driver:
         options["driver"] = driver
     return options
 
 
+def bounds_options(options: dict[str, str], table: str, column: str, newer_than: tuple[str, object] | None = None) -> dict[str, str]:
+    """Options for one row, ``low`` and ``high``, that the database computes over the rows to be read."""
+    query = f"(SELECT MIN({column}) AS low, MAX({column}) AS high FROM {table}{newer_clause(newer_than)}) AS _b"
+    return {**options, "dbtable": query}
+
+
 def parallel_options(options: dict[str, str], column: str, partitions: int, low, high) -> dict[str, str]:
-    """Options for a read split by a key. Spark asks for both bounds along with the count."""
+    """Options for a read split by a key. Spark asks for both bounds along with the count.
+
+    The count has no ceiling: it is the number of connections the database has to stand.
+    """
     return {
         **options,
         "partitionColumn": column,
-        "numPartitions": str(max(1, min(partitions, MAX_PARTITIONS))),
+        "numPartitions": str(max(1, partitions)),
         "lowerBound": str(low),
         "upperBound": str(high),
     }
 
 
 def bounds(df: DataFrame, column: str) -> tuple | None:
-    """Least and greatest key, None for a table without keys. Over JDBC both are pushed down."""
+    """Least and greatest key of a frame, None for a table without keys."""
     row = df.agg(F.min(column).alias("low"), F.max(column).alias("high")).first()
     return None if row["low"] is None else (row["low"], row["high"])
 
@@ -50,14 +80,20 @@ def extract(
     newer_than: tuple[str, object] | None = None,
     **options: str,
 ) -> DataFrame:
-    """Read a table; ``newer_than`` (column, last value) becomes a filter pushed to the database."""
-    base = read_options(url, table, **options)
-    df = spark.read.format("jdbc").options(**base).load()
+    """Read a table, or its rows above ``newer_than`` (column, last value).
+
+    Bounds and rows are asked for with the same condition, so the strides cover what is read. The
+    bounds are one row; without a partition column the read is one task.
+    """
+    base = read_options(url, table, newer_than=newer_than, **options)
     if partition_column:
-        ends = bounds(df, partition_column)
-        if ends is not None:
-            df = spark.read.format("jdbc").options(**parallel_options(base, partition_column, partitions, *ends)).load()
-    return df if newer_than is None else newer(df, *newer_than)
+        ends = spark.read.format("jdbc").options(**bounds_options(base, table, partition_column, newer_than)).load().first()
+        if ends is not None and ends[0] is not None:
+            base = parallel_options(base, partition_column, partitions, *ends)
+    df = spark.read.format("jdbc").options(**base).load()
+    if newer_than is not None and newer_than[0] not in df.columns:
+        raise ValueError(f"watermark column {newer_than[0]!r} is not in the source")
+    return df
 
 
 def newer(df: DataFrame, column: str, last) -> DataFrame:

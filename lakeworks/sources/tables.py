@@ -1,12 +1,17 @@
 """Parquet tables with overwrite, append and merge.
 
 A table is a folder of numbered versions. A version counts once Spark has finished it, so a
-reader sees the old or the new one and a lost job leaves no half table behind.
+reader sees the old or the new one and a lost job leaves no half table behind. An append is a
+folder of its own beside its version and counts by the same rule; a load that runs again under
+the same load id replaces its folder. Only a merge into a partitioned table works in place:
+partition after partition, and running it again completes it.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from hashlib import md5
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +21,6 @@ from ..session import settle
 from . import files
 
 CELLS_PER_FILE = 12_000_000
-MOST_TOUCHED = 10_000
 DAY = "_day"
 
 
@@ -39,8 +43,9 @@ def by_partition(df: DataFrame, column: str, rows_per_file: int | None = None, s
     sizes = df.groupBy(column).agg(F.ceil(F.count("*") / F.lit(rows_per_file)).cast("int").alias("_files"))
     # The source partition goes into the hash, so that copies of one row spread out too.
     marked = df.withColumn("_spread", F.xxhash64(F.spark_partition_id(), *(spread_by or _hashable(df))))
-    sized = marked.join(sizes.withColumnRenamed(column, "_value"), F.col(column).eqNullSafe(F.col("_value")))
-    filed = sized.withColumn("_file", F.pmod("_spread", "_files"))
+    # A left join: a source that changes between the two passes loses no row.
+    sized = marked.join(sizes.withColumnRenamed(column, "_value"), F.col(column).eqNullSafe(F.col("_value")), "left")
+    filed = sized.withColumn("_file", F.pmod("_spread", F.coalesce("_files", F.lit(1))))
     return filed.repartition(column, "_file").drop("_file", "_files", "_value", "_spread")
 
 
@@ -74,12 +79,17 @@ class ParquetTable:
             raise FileNotFoundError(f"no table at {self.root}")
         return f"{self.root}/v{versions[-1]}"
 
+    def paths(self) -> list[str]:
+        """Folder of the newest version and of what was appended to it."""
+        path = self.path()
+        return [path, *files.finished(self.spark, self.root, path.rpartition("/")[2] + "-")]
+
     def read(self) -> DataFrame:
         df = self._stored()
         return df.drop(self.partition_by + DAY) if self.partition_by else df
 
     def _stored(self) -> DataFrame:
-        return self.spark.read.parquet(self.path())
+        return self.spark.read.parquet(*self.paths())
 
     def _folder_column(self, df: DataFrame) -> str:
         """Timestamps are partitioned by their day, other columns by value."""
@@ -105,78 +115,103 @@ class ParquetTable:
             writer = writer.option("partitionOverwriteMode", replace).partitionBy(*lead)
         writer.parquet(path)
 
-    def overwrite(self, df: DataFrame) -> None:
-        """Replace the table by a new version."""
+    def overwrite(self, df: DataFrame) -> str:
+        """Replace the table by a new version; returns its folder."""
         versions = self.versions()
-        self._write(df, f"{self.root}/v{(versions[-1] if versions else 0) + 1}", "overwrite")
+        path = f"{self.root}/v{(versions[-1] if versions else 0) + 1}"
+        self._write(df, path, "overwrite")
+        return path
 
-    def append(self, df: DataFrame) -> None:
+    def append(self, df: DataFrame, load_id: str | None = None) -> str:
+        """Add rows and return the folder written. The same ``load_id`` again replaces what it added."""
         if not self.exists():
-            return self.overwrite(df)
-        self._write(df, self.path(), "append")
+            self._write(df.limit(0), f"{self.root}/v1", "overwrite")
+        name = uuid.uuid4().hex if load_id is None else md5(load_id.encode()).hexdigest()
+        path = f"{self.path()}-{name}"
+        self._write(df, path, "overwrite")
+        return path
 
     def merge(self, source: DataFrame, keys: Sequence[str]) -> None:
-        """Upsert by key: matching rows are replaced, others added; a missing table is created.
+        """Upsert by key: matching rows take the columns sent, others are added; a missing table is created.
 
-        A table of keys only has nothing to update, so new keys are appended. A source with a
-        repeated key raises, as an ambiguous MERGE does.
+        Columns that the source does not send keep their values, and are NULL in new rows. A column
+        that the table does not have raises, and so does a repeated key, as in MERGE. Rows with a
+        missing key match nothing.
         """
         keys = list(keys)
         repeated = source.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").limit(1)
         if not repeated.isEmpty():
             raise DuplicateKeys(f"merge source repeats a key of {keys}")
         if not self.exists():
-            return self.overwrite(source)
-        # MERGE matches with =, so rows with a missing key are never matched.
+            self.overwrite(source)
+            return
+        columns = self.read().columns
+        unknown = [c for c in source.columns if c not in columns]
+        if unknown:
+            raise ValueError(f"merge source has columns the table does not have: {unknown}")
         if set(source.columns) == set(keys):
-            return self.append(source.join(self.read().select(*keys), keys, "left_anti").select(*source.columns))
-        if self.partition_by:
-            touched = self._touched(source, keys)
-            if touched is not None:
-                return self._merge_partitions(source, keys, touched)
-        return self.overwrite(self._upserted(self.read(), source, keys))
-
-    @staticmethod
-    def _upserted(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-        kept = target.join(source.select(*keys), keys, "left_anti")
-        return kept.select(*target.columns).unionByName(source, allowMissingColumns=True)
-
-    def _touched(self, source: DataFrame, keys: list[str]) -> list | None:
-        """Partition values that hold a matching or a new row, None when there are very many.
-
-        Reads only the keys of the table.
-        """
-        name = self._folder_column(source)
-        matched = self._stored().select(name, *[k for k in keys if k != name])
-        matched = matched.join(source.select(*keys), keys, "left_semi").select(name)
-        values = matched.union(self._laid_out(source).select(name)).distinct().limit(MOST_TOUCHED + 1).collect()
-        return None if len(values) > MOST_TOUCHED else [v[0] for v in values]
-
-    def _merge_partitions(self, source: DataFrame, keys: list[str], touched: list) -> None:
-        """Rewrite the touched partitions only; the rest of the table is not read.
-
-        The new rows are settled first, so the folders replaced are no longer read. Partitions
-        change one after the other; running the merge again completes one that was cut off.
+            # Nothing to update.
+            self.append(_completed(source.join(self.read().select(*keys), keys, "left_anti"), self.read().schema))
+        elif self.partition_by in source.columns:
+            self._merge_partitions(source, keys)
+        else:
+            # Without the partition column, a row's new folder is known only row by row.
+            self.overwrite(_upserted(self.read(), source, keys))
+
+    def _merge_partitions(self, source: DataFrame, keys: list[str]) -> None:
+        """Rewrite the partitions that hold a matching or a new row; the rest is not read.
+
+        The new rows are settled first, so the folders replaced are no longer read. What was
+        appended goes into the version before.
         """
+        if len(self.paths()) > 1:
+            self.overwrite(self.read())
         path, name = self.path(), self._folder_column(source)
-        mine = F.col(name).isin([v for v in touched if v is not None])
-        if None in touched:
-            mine = F.coalesce(mine, F.lit(False)) | F.col(name).isNull()
+        matched = self._stored().select(name, *[k for k in keys if k != name]).join(source.select(*keys), keys, "left_semi")
+        values = matched.select(name).union(self._laid_out(source).select(name)).distinct()
+        touched = settle(values.select(F.col(name).alias("_touched")), "touched")
         target = self.read() if name == self.partition_by else self._stored()
-        before = target.filter(mine)
+        before = target.join(touched, F.col(name).eqNullSafe(F.col("_touched")), "left_semi")
         before = before if name == self.partition_by else before.drop(name)
-        merged = settle(self._upserted(before, source, keys))
+        merged = settle(_upserted(before, source, keys), "merged")
         self._write(merged, path, "overwrite", only_touched=True)
-        left = {r[0] for r in self._laid_out(merged).select(name).distinct().collect()}
+        left = self._laid_out(merged).select(F.col(name).alias("_left")).distinct()
+        emptied = touched.join(left, F.col("_touched").eqNullSafe(F.col("_left")), "left_anti")
         utils = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-        for value in set(touched) - left:
+        for (value,) in emptied.toLocalIterator():  # one folder each
             text = None if value is None else str(value)
             files.delete(self.spark, f"{path}/{utils.getPartitionPathString(name, text)}")
 
     def prune(self, keep: int = 2) -> None:
         """Delete all but the newest versions; call it when no reader uses the old ones."""
         for number in self.versions()[:-keep]:
-            files.delete(self.spark, f"{self.root}/v{number}")
+            for path in [*files.finished(self.spark, self.root, f"v{number}-"), f"{self.root}/v{number}"]:
+                files.delete(self.spark, path)
+
+
+def _completed(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """All columns of the schema in its types; those the frame does not have are NULL."""
+    have = set(df.columns)
+    return df.select(
+        *[(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
+    )
+
+
+def _upserted(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
+    """Target rows with the source's columns where the keys match, and the source rows that match none."""
+    sent = [c for c in source.columns if c not in keys]
+    marked = source.select(*keys, F.lit(True).alias("_hit"), *[F.col(f"`{c}`").alias(f"_new_{c}") for c in sent])
+    joined = target.join(marked, keys, "left")
+    kept = joined.select(
+        *[
+            F.when(F.col("_hit"), F.col(f"`_new_{f.name}`").cast(f.dataType)).otherwise(F.col(f"`{f.name}`")).alias(f.name)
+            if f.name in sent
+            else F.col(f"`{f.name}`")
+            for f in target.schema.fields
+        ]
+    )
+    added = source.join(target.select(*keys), keys, "left_anti")
+    return kept.unionByName(_completed(added, target.schema))
 
 
 def export_days(

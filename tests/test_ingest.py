@@ -76,7 +76,14 @@ def test_jdbc_options_carry_both_bounds(spark):
     options = jdbc.read_options("jdbc:x", "public.t", driver="d")
     assert options["dbtable"] == "(SELECT * FROM public.t) AS _subq" and options["fetchsize"] == "10000"
     split = jdbc.parallel_options(options, "id", 1000, 5, 99)
-    assert (split["numPartitions"], split["lowerBound"], split["upperBound"]) == ("200", "5", "99")
+    assert (split["numPartitions"], split["lowerBound"], split["upperBound"]) == ("1000", "5", "99")
+    newer = ("at", "2024-01-01 o'clock")
+    where = "WHERE at > '2024-01-01 o''clock'"
+    assert jdbc.read_options("jdbc:x", "t", newer_than=newer)["dbtable"] == f"(SELECT * FROM t {where}) AS _subq"
+    asked = jdbc.bounds_options(options, "t", "id", newer)
+    assert asked["dbtable"] == f"(SELECT MIN(id) AS low, MAX(id) AS high FROM t {where}) AS _b" and asked["driver"] == "d"
+    assert jdbc.bounds_options(options, "t", "id")["dbtable"] == "(SELECT MIN(id) AS low, MAX(id) AS high FROM t) AS _b"
+    assert jdbc.newer_clause(("n", 5)) == " WHERE n > 5" and jdbc.newer_clause(("n", None)) == ""
     assert jdbc.bounds(spark.range(3, 9), "id") == (3, 8) and jdbc.bounds(spark.range(0), "id") is None
     strides = spark.range(10, 111).withColumn("s", jdbc.stride_of(F.col("id"), 10, 110, 4)).groupBy("s").count()
     assert {r["s"]: r["count"] for r in strides.collect()} == {0: 25, 1: 25, 2: 25, 3: 26}
@@ -130,6 +137,32 @@ def test_merge_rewrites_only_touched_partitions(spark, folder):
     assert before == after and as_dict(table)[1] == "B" and table.read().count() == 40
 
 
+@pytest.mark.parametrize("partition_by", [None, "p"])
+def test_merge_keeps_columns_that_are_not_sent(spark, folder, partition_by):
+    table = TB.ParquetTable(spark, folder, partition_by)
+    table.merge(spark.createDataFrame([(1, "a", 1.5, 1), (2, "b", 2.5, 2)], "id long, v string, w double, p int"), ["id"])
+    table.merge(spark.createDataFrame([(1, "A", 1), (3, "c", 2)], "id int, v string, p int"), ["id"])
+    assert sorted(map(tuple, table.read().select("id", "v", "w", "p").collect())) == [(1, "A", 1.5, 1), (2, "b", 2.5, 2), (3, "c", None, 2)]
+    table.merge(spark.createDataFrame([(2, "B")], "id long, v string"), ["id"])
+    assert sorted(map(tuple, table.read().select("id", "v", "w", "p").collect())) == [(1, "A", 1.5, 1), (2, "B", 2.5, 2), (3, "c", None, 2)]
+    with pytest.raises(ValueError):
+        table.merge(spark.createDataFrame([(2, "x")], "id long, unheard string"), ["id"])
+
+
+def test_a_repeated_append_replaces_itself(spark, folder):
+    table = TB.ParquetTable(spark, folder, rows_per_file=10)
+    for load in ("one", "two", "one"):
+        table.append(spark.range(25 if load == "one" else 5), load_id=load)
+    assert table.read().count() == 30
+    table.append(spark.range(3))
+    assert table.read().count() == 33 and len(table.paths()) == 4
+    half = files.finished(spark, folder, "v1-")[0]
+    files.delete(spark, f"{half}/_SUCCESS")  # a load that was cut off
+    assert table.read().count() in (8, 28, 30)
+    table.overwrite(table.read())
+    assert len(table.paths()) == 1
+
+
 def test_merge_of_keys_only_inserts(spark, folder):
     table = TB.ParquetTable(spark, folder)
     table.merge(spark.createDataFrame([(1,), (2,)], "id long"), ["id"])
