@@ -158,15 +158,6 @@ def micros_to_ts(c: Column | str) -> Column:
     return F.timestamp_micros(col(c))
 
 
-def whole_days_between(start: Column, end: Column) -> Column:
-    """Completed 24 hour periods from ``start`` to ``end``."""
-    return F.timestamp_diff("DAY", start, end)
-
-
-def hour_of(ts: Column) -> Column:
-    return F.date_trunc("hour", ts)
-
-
 def any_of(conds: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conds, F.lit(False))
 

@@ -58,7 +58,7 @@ def iam_flatten(
         "resource_type",
         "bindings",
     )
-    if projects is not None:
+    if projects:  # none named: no filter
         parsed = parsed.filter((kind == "FOLDER") | F.col("project_id").isin(list(projects)))
     return (
         parsed.select("*", F.explode("bindings").alias("_b"))
@@ -85,7 +85,7 @@ def acl_flatten(acl: DataFrame) -> DataFrame:
         F.col("dataset").alias("dataset_id"),
         F.lit(None).cast("string").alias("resource_id"),
         F.lit("DATASET").alias("resource_type"),
-        F.coalesce("role", F.lit("NONE")).alias("role"),
+        F.coalesce(F.nullif("role", F.lit("")), F.lit("NONE")).alias("role"),
         acl_member(kind, "entity_id").alias("member"),
         acl_member_type(kind, "entity_id").alias("member_type"),
         F.lit("DATASET_ACL").alias("source"),

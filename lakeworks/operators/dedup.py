@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """First row per key in the given order.
@@ -25,9 +27,8 @@ def top_k(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
 
 def bounded(df: DataFrame, limit: int, *order: Column | str) -> tuple[DataFrame, bool]:
     """At most ``limit`` rows and whether more existed. Reads ``limit + 1`` rows once."""
-    probe = (df.orderBy(*order) if order else df).limit(limit + 1).cache()
-    truncated = probe.count() > limit
-    return probe.limit(limit), truncated
+    probe = settle((df.orderBy(*order) if order else df).limit(limit + 1), "probe")
+    return probe.limit(limit), probe.count() > limit
 
 
 def schema_diff(base: DataFrame, other: DataFrame) -> list[tuple[str, str, str | None, str | None]]:

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.values import fixed_units, pct, safe_divide, total_units
 from .dedup import top_k
 from .ordered import GroupOrder
-from .skew import hot_keys, spread_join
 
 # Upper edges of the engagement bands, right edge included (fixed values).
 ENGAGEMENT_BANDS = [(10_000, "Low"), (50_000, "Medium"), (100_000, "High")]
@@ -73,9 +72,9 @@ def funnel(events: DataFrame, first: str, second: str, within: Column | None = N
 
 def first_touch(events: DataFrame) -> DataFrame:
     """Every event with its user's first time and the whole days since."""
-    firsts = events.groupBy("user_id").agg(F.min("ts").alias("first_touch"), F.count("*").alias("_n"))
-    hot = hot_keys(firsts, ["user_id"], "_n")
-    return spread_join(events, firsts.drop("_n"), ["user_id"], ["event_id"], hot=hot).withColumn(
+    firsts = events.groupBy("user_id").agg(F.min("ts").alias("first_touch"))
+    # Two scans; a busy user's events are split by the adaptive skew join.
+    return events.join(firsts, "user_id").withColumn(
         "days_since_first", F.timestamp_diff("DAY", F.col("first_touch"), F.col("ts"))
     )
 

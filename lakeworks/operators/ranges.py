@@ -8,35 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import any_of
-from .ordered import PART, into_ranges
-
-INLINE_RANGES = 200
-
-
-def few_ranges(ranges: DataFrame, low: str, high: str, most: int = INLINE_RANGES) -> list[tuple] | None:
-    """The ranges themselves when there are at most ``most``, else None."""
-    rows = ranges.select(low, high).distinct().limit(most + 1).collect()
-    return None if len(rows) > most else [tuple(r) for r in rows]
+from .ordered import AT, PART, into_ranges
 
 
 def in_any(column: Column, pairs: Sequence[tuple]) -> Column:
-    """True when a range holds the value. Plain comparisons, so a scan can skip row groups."""
+    """True when one of a few known ranges holds the value. Plain comparisons, so a scan can skip row groups."""
     return any_of([column.between(F.lit(lo), F.lit(hi)) for lo, hi in pairs])
 
 
-def range_expand(
-    keys: DataFrame, ranges: DataFrame, key: str, low: str = "low_value", high: str = "high_value", most: int = INLINE_RANGES
-) -> DataFrame:
+def range_expand(keys: DataFrame, ranges: DataFrame, key: str, low: str = "low_value", high: str = "high_value") -> DataFrame:
     """Distinct keys covered by at least one range, bounds included.
 
-    A few ranges become a predicate. Many are swept: keys and lower bounds in one order, a key
-    is covered when the highest upper bound so far reaches it. No range is joined to all keys.
+    Keys and lower bounds are swept in one order: a key is covered when the highest upper bound so
+    far reaches it. No range is joined to all keys, and the plan is the same for any number of ranges.
     """
-    distinct = keys.select(key).distinct()
-    pairs = few_ranges(ranges, low, high, most)
-    if pairs is not None:
-        return distinct.filter(in_any(F.col(key), pairs))
-    return _sweep(distinct, ranges, key, low, high)
+    return _sweep(keys.select(key).distinct(), ranges, key, low, high)
 
 
 def _sweep(distinct: DataFrame, ranges: DataFrame, key: str, low: str, high: str) -> DataFrame:
@@ -44,12 +30,12 @@ def _sweep(distinct: DataFrame, ranges: DataFrame, key: str, low: str, high: str
     # One lower bound keeps its highest upper bound, so the order below is unique.
     starts = ranges.groupBy(F.col(low).alias("_v")).agg(F.lit(0).alias("_is_key"), F.max(high).alias("_high"))
     order = ["_v", "_is_key"]
-    ranged, _ = into_ranges(starts.unionByName(points.withColumn("_high", F.col("_high").cast(starts.schema["_high"].dataType))), order)
+    ranged = into_ranges(starts.unionByName(points.withColumn("_high", F.col("_high").cast(starts.schema["_high"].dataType))), order)
     tops = ranged.groupBy(PART).agg(F.max("_high").alias("_top"))
     # One row per partition: bounded by the shuffle partition count.
     earlier = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     carry = tops.select(PART, F.max("_top").over(earlier).alias("_carry"))
-    local = Window.partitionBy(PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy(PART).orderBy(AT).rowsBetween(Window.unboundedPreceding, 0)
     swept = ranged.withColumn("_local", F.max("_high").over(local)).join(F.broadcast(carry), PART)
     # greatest() skips NULL, which is what is wanted here.
     reached = F.greatest("_local", "_carry") >= F.col("_v")
@@ -58,7 +44,4 @@ def _sweep(distinct: DataFrame, ranges: DataFrame, key: str, low: str, high: str
 
 def keep_in_ranges(df: DataFrame, key: str, ranges: DataFrame, low: str = "low_value", high: str = "high_value") -> DataFrame:
     """Rows whose key lies in any range, each once."""
-    pairs = few_ranges(ranges, low, high)
-    if pairs is not None:
-        return df.filter(in_any(F.col(key), pairs))
     return df.join(range_expand(df, ranges, key, low, high), key, "left_semi")

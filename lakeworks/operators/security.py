@@ -93,9 +93,11 @@ def _views(df, policies, groups, columns) -> list[Column]:
         if policy is None or policy.raw & mine:
             out.append(F.col(name))
             continue
-        rules = sorted(rule for group, rule in policy.masked.items() if group in mine)
+        rules = sorted({rule for group, rule in policy.masked.items() if group in mine})
         if not rules:
             raise AccessDenied(f"no access to column {name}")
+        if len(rules) > 1:
+            raise AccessDenied(f"groups give column {name} different masks: {rules}")
         out.append(mask(name, rules[0], df.schema[name].dataType).alias(name))
     return out
 

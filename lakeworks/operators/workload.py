@@ -250,14 +250,6 @@ def storage_top(storage: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
-def physical_storage(storage: DataFrame) -> DataFrame:
-    """Physical and fail-safe bytes; the first does not hold the second."""
-    return storage.agg(
-        (total_units(F.col("physical_bytes")) / F.lit(GIB)).alias("physical_gib"),
-        (total_units(F.col("fail_safe_bytes")) / F.lit(GIB)).alias("fail_safe_gib"),
-    )
-
-
 def stale_tables(storage: DataFrame, as_of: Column, days: int = STALE_DAYS, k: int = 10) -> DataFrame:
     """Largest tables created more than ``days`` days before ``as_of``."""
     old = storage.filter(F.col("created") < as_of - F.make_dt_interval(F.lit(days)))

@@ -96,7 +96,8 @@ def stg_customers(raw: DataFrame) -> DataFrame:
 
 
 def deduplicated_orders(raw: DataFrame) -> DataFrame:
-    return keep_first(raw, ["order_id"], ["created_at"])
+    # Rows of one time are told apart by all their columns, so the choice does not depend on row order.
+    return keep_first(raw, ["order_id"], ["created_at", F.xxhash64(*[F.col(f"`{c}`") for c in raw.columns])])
 
 
 def with_status(orders: DataFrame) -> DataFrame:

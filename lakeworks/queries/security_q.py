@@ -108,7 +108,7 @@ def _(t):
     s = F.col("s_suppkey")
     wide = t.supplier.select((s * 13).alias("low_value"), (s * 13 + s % 9).alias("high_value"))
     keys = t.lineitem.select(F.col("l_partkey").alias("part")).distinct()
-    return RG.range_expand(keys, wide, "part", most=0)
+    return RG.range_expand(keys, wide, "part")
 
 
 @query(

@@ -36,7 +36,7 @@ def streamed(t: Tables) -> cdc.ChangeTable:
     """The changes in shuffled files, read as a stream of several batches."""
     source = scratch_path(t.spark, "changes")
     rows = changes(t)
-    rows.repartition(6, F.xxhash64("id", cdc.SEQUENCE)).write.parquet(source)
+    rows.repartition(F.xxhash64("id", cdc.SEQUENCE)).write.parquet(source)
     stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
     table = cdc.ChangeTable(t.spark, scratch_path(t.spark, "users"), ["id"])
     table.start(stream, scratch_path(t.spark, "checkpoint"), available_now=True).awaitTermination()
@@ -122,7 +122,7 @@ def _(t):
 def _(t):
     numbers = scratch_path(t.spark, "numbers")
     rows = t.orders.select("o_orderkey", "o_orderdate")
-    rows.repartition(4).write.parquet(numbers)
+    rows.repartition("o_orderkey").write.parquet(numbers)
     stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(numbers)
     sink = scratch_path(t.spark, "sink")
     made = G.transactions(stream, "o_orderkey", "o_orderdate")
@@ -157,7 +157,8 @@ N_FIELDS = len(G.message_fields())
     f"""WITH cells AS (SELECT event_id AS n, event_id % {G.GROUPS} + 1 AS g, f, (event_id % {G.GROUPS}) * {N_FIELDS} + f AS idx
   FROM events, (SELECT unnest(range({N_FIELDS})) AS f)),
 v AS (SELECT *, (n * (7919 + 2 * idx) + 104729 * (idx + 1)) % 1000003 AS h FROM cells),
-k AS (SELECT *, g % 3 = 0 OR h % 1000 < 400 AS present FROM v)
+k AS (SELECT *, CASE WHEN f = {N_FIELDS - 1} THEN h % 10000 < CASE WHEN g % 3 = 0 THEN 4000 ELSE 12 END
+  ELSE g % 3 = 0 OR h % 10000 < 4000 END AS present FROM v)
 SELECT 'mt' || lpad(CAST(g AS VARCHAR), 2, '0') AS message_type, COUNT(DISTINCT n) AS rows,
   COUNT(*) FILTER (WHERE present AND f < {len(G.INT_FIELDS)}) AS filled_ints,
   COALESCE(SUM(h % 1000000) FILTER (WHERE present AND f < {len(G.INT_FIELDS)}), 0)::BIGINT AS int_total,

@@ -20,8 +20,8 @@ def delete(spark: SparkSession, text: str) -> None:
     fs.delete(path, True)
 
 
-def finished_numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]:
-    """Numbers of the sub-folders ``<prefix><number>`` whose write finished, ascending."""
+def finished_numbers(spark: SparkSession, folder: str, prefix: str, inside: str = "") -> list[int]:
+    """Numbers of the sub-folders ``<prefix><number>`` whose write (to ``inside``) finished, ascending."""
     fs, path = _path(spark, folder)
     if not fs.exists(path):
         return []
@@ -29,7 +29,7 @@ def finished_numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]
     for status in fs.listStatus(path):
         name = status.getPath().getName()
         digits = name[len(prefix) :]
-        if name.startswith(prefix) and digits.isdigit() and exists(spark, f"{folder}/{name}/_SUCCESS"):
+        if name.startswith(prefix) and digits.isdigit() and exists(spark, f"{folder}/{name}{inside}/_SUCCESS"):
             found.append(int(digits))
     return sorted(found)
 

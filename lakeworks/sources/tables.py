@@ -1,9 +1,9 @@
 """Parquet tables with overwrite, append and merge.
 
-A table is a folder of numbered versions. A version counts once Spark has finished it, so a
-reader sees the old or the new one and a lost job leaves no half table behind. An append is a
-folder of its own beside its version and counts by the same rule; a load that runs again under
-the same load id replaces its folder. Only a merge into a partitioned table works in place:
+A table is a folder of numbered versions, a version a folder of loads: the base and what was
+appended to it. A load counts once Spark has finished it, so a reader sees the old or the new
+version, and a lost job leaves no half table behind. A load that runs again under the same load
+id replaces its folder. Only a merge into a partitioned table works in place:
 partition after partition, and running it again completes it.
 """
 
@@ -22,6 +22,7 @@ from . import files
 
 CELLS_PER_FILE = 12_000_000
 DAY = "_day"
+LOAD, BASE = "_load", "_load=base"
 
 
 class DuplicateKeys(ValueError):
@@ -68,7 +69,7 @@ class ParquetTable:
         self.partition_by, self.sort_by, self.rows_per_file = partition_by, list(sort_by), rows_per_file
 
     def versions(self) -> list[int]:
-        return files.finished_numbers(self.spark, self.root, "v")
+        return files.finished_numbers(self.spark, self.root, "v", f"/{BASE}")
 
     def exists(self) -> bool:
         return bool(self.versions())
@@ -77,19 +78,20 @@ class ParquetTable:
         versions = self.versions()
         if not versions:
             raise FileNotFoundError(f"no table at {self.root}")
-        return f"{self.root}/v{versions[-1]}"
+        return f"{self.root}/v{versions[-1]}/{BASE}"
 
     def paths(self) -> list[str]:
-        """Folder of the newest version and of what was appended to it."""
-        path = self.path()
-        return [path, *files.finished(self.spark, self.root, path.rpartition("/")[2] + "-")]
+        """Folders of the newest version: its base and what was appended to it."""
+        return files.finished(self.spark, self.path().removesuffix(f"/{BASE}"), f"{LOAD}=")
 
     def read(self) -> DataFrame:
         df = self._stored()
         return df.drop(self.partition_by + DAY) if self.partition_by else df
 
     def _stored(self) -> DataFrame:
-        return self.spark.read.parquet(*self.paths())
+        paths = self.paths()
+        version = paths[0].rpartition("/")[0]
+        return self.spark.read.option("basePath", version).parquet(*paths).drop(LOAD)
 
     def _folder_column(self, df: DataFrame) -> str:
         """Timestamps are partitioned by their day, other columns by value."""
@@ -118,16 +120,16 @@ class ParquetTable:
     def overwrite(self, df: DataFrame) -> str:
         """Replace the table by a new version; returns its folder."""
         versions = self.versions()
-        path = f"{self.root}/v{(versions[-1] if versions else 0) + 1}"
+        path = f"{self.root}/v{(versions[-1] if versions else 0) + 1}/{BASE}"
         self._write(df, path, "overwrite")
         return path
 
     def append(self, df: DataFrame, load_id: str | None = None) -> str:
         """Add rows and return the folder written. The same ``load_id`` again replaces what it added."""
         if not self.exists():
-            self._write(df.limit(0), f"{self.root}/v1", "overwrite")
+            self._write(df.limit(0), f"{self.root}/v1/{BASE}", "overwrite")
         name = uuid.uuid4().hex if load_id is None else md5(load_id.encode()).hexdigest()
-        path = f"{self.path()}-{name}"
+        path = self.path().replace(BASE, f"{LOAD}={name}")
         self._write(df, path, "overwrite")
         return path
 
@@ -185,8 +187,7 @@ class ParquetTable:
     def prune(self, keep: int = 2) -> None:
         """Delete all but the newest versions; call it when no reader uses the old ones."""
         for number in self.versions()[:-keep]:
-            for path in [*files.finished(self.spark, self.root, f"v{number}-"), f"{self.root}/v{number}"]:
-                files.delete(self.spark, path)
+            files.delete(self.spark, f"{self.root}/v{number}")
 
 
 def _completed(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -187,12 +187,16 @@ STR_FIELDS = [
 ]
 TIME_FIELD = "exec_timestamp_nanos"
 SYMBOLS = ["AAA", "BBB", "CCC", "DDD", "EEE", "FFF", "GGG", "HHH"]
-NS_PER_DAY = 86_400_000_000_000
 
 
-def filled_share(group: int) -> float:
-    """Share of an active group's rows that carry a value: every third group is always full."""
-    return 1.0 if group % 3 == 0 else 0.4
+# Of an active group's rows, how many in ten thousand carry a value (fixed values): first in every
+# third group, then in the others; time columns are the sparsest.
+FILLED = {"value": (10_000, 4_000), "time": (4_000, 12)}
+
+
+def filled(group: int, field: str) -> int:
+    every_third, other = FILLED["time" if field == TIME_FIELD else "value"]
+    return every_third if group % 3 == 0 else other
 
 
 def _spread(index: int, modulus: int) -> str:
@@ -232,11 +236,10 @@ def wide_messages(numbers: DataFrame, number: str, at: str) -> DataFrame:
     ]
     index = 0
     for g in range(1, GROUPS + 1):
-        share = filled_share(g)
         for f in message_fields():
             present = f"_group = {g}"
-            if share < 1:
-                present += f" AND {_spread(index, 1000)} < {int(share * 1000)}"
+            if filled(g, f) < 10_000:
+                present += f" AND {_spread(index, 10_000)} < {filled(g, f)}"
             if f in INT_FIELDS:
                 value = _spread(index, 1_000_000)
             elif f in STR_FIELDS:
