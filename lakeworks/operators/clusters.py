@@ -13,19 +13,31 @@ from pyspark.sql import functions as F
 FEATURES = ["lat", "lon"]
 
 
-def fit(stops: DataFrame, k: int = 10, features: list[str] | None = None, seed: int = 42, rounds: int = 20) -> PipelineModel:
-    """Euclidean k-means over standardised features."""
-    stages = [
-        VectorAssembler(inputCols=features or FEATURES, outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True),
-        KMeans(featuresCol="_scaled", predictionCol="_cluster", k=k, seed=seed, maxIter=rounds),
+def fit(
+    stops: DataFrame, k: int = 10, features: list[str] | None = None, seed: int = 42, rounds: int = 20, restarts: int = 1
+) -> PipelineModel:
+    """Euclidean k-means over standardised features; of several restarts the one of least cost."""
+    prepare = Pipeline(
+        stages=[
+            VectorAssembler(inputCols=features or FEATURES, outputCol="_raw"),
+            StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True),
+        ]
+    ).fit(stops)
+    scaled = prepare.transform(stops).select("_scaled").persist()
+    tries = [
+        KMeans(featuresCol="_scaled", predictionCol="_cluster", k=k, seed=seed + i, maxIter=rounds).fit(scaled)
+        for i in range(max(1, restarts))
     ]
-    return Pipeline(stages=stages).fit(stops)
+    scaled.unpersist()
+    return PipelineModel([*prepare.stages, min(tries, key=lambda m: m.summary.trainingCost)])
 
 
 def assign(model: PipelineModel, stops: DataFrame) -> DataFrame:
-    """Zone of every row, numbered from 1."""
-    scored = model.transform(stops).withColumn("zone_id", (F.col("_cluster") + 1).cast("long"))
+    """Zone of every row, numbered from 1 in the order of the centers."""
+    centers = [tuple(map(float, c)) for c in model.stages[-1].clusterCenters()]
+    order = sorted(range(len(centers)), key=centers.__getitem__)
+    zones = F.array(*[F.lit(order.index(i) + 1).cast("long") for i in range(len(centers))])
+    scored = model.transform(stops).withColumn("zone_id", F.get(zones, F.col("_cluster")))
     return scored.drop("_raw", "_scaled", "_cluster")
 
 

@@ -334,21 +334,19 @@ def supplied(r: R.Routes):
     return responses(r.lengths(), "zone_id", F.col("route_km") * 2.0)
 
 
-@query(
-    "route_compare",
-    with_sql(
-        *ROUTE_PARTS,
-        body="""SELECT zone_id, 'straight line' AS approach, route_km AS distance_km, NULL AS duration FROM lengths
+COMPARED = """SELECT zone_id, 'straight line' AS approach, route_km AS distance_km, NULL AS duration FROM lengths
 UNION ALL SELECT zone_id, 'road network', CAST(printf('%.2f', route_km * 2::DOUBLE) AS DOUBLE),
-  CAST(CAST(trunc(route_km * 2::DOUBLE * 2) AS BIGINT) AS VARCHAR) || ' mins' FROM lengths""",
-    ),
-)
+  CAST(CAST(trunc(route_km * 2::DOUBLE * 2) AS BIGINT) AS VARCHAR) || ' mins' FROM lengths"""
+
+
+@query("route_compare", with_sql(*ROUTE_PARTS, body=COMPARED))
 def _(t):
     r = routes(t)
     return R.compare_routes(r, supplied(r))
 
 
-NEAREST = f"""WITH RECURSIVE {STOPS[0]} AS ({STOPS[1]}), {HASHED[0]} AS ({HASHED[1]}), {ZONED[0]} AS MATERIALIZED ({ZONED[1]}),
+def nearest_sql(stops_part: tuple[str, str], zoned_part: tuple[str, str]) -> str:
+    return f"""WITH RECURSIVE stops AS ({stops_part[1]}), {HASHED[0]} AS ({HASHED[1]}), zoned AS MATERIALIZED ({zoned_part[1]}),
 sets AS MATERIALIZED (SELECT zone_id, list(struct_pack(stop_id := stop_id, lat := lat, lon := lon) ORDER BY stop_id) AS open
   FROM zoned GROUP BY zone_id),
 walk AS (
@@ -361,73 +359,127 @@ walk AS (
 SELECT zone_id, here.stop_id AS stop_id, stop_number, ROUND(leg_m / 1000, 4) AS leg_km FROM walk"""
 
 
-@query("nearest_neighbor_route", NEAREST)
+@query("nearest_neighbor_route", nearest_sql(STOPS, ZONED))
 def _(t):
     return R.greedy_routes(zoned(t)).select(
         "zone_id", "stop_id", "stop_number", F.round(F.col("leg_m") / 1000, 4).alias("leg_km")
     )
 
 
-# --- k-means (no SQL check: an iterative fit) -----------------------------------------------
+# --- k-means ---------------------------------------------------------------------------------
+# Stops in ten groups that lie far apart, so that the least cost is known: SQL computes groups,
+# centers and all that follows directly. Zones are numbered by their centers, which here rise with
+# the group.
+
+
+def grouped_stops(t: Tables):
+    k = F.col("c_custkey")
+    g = k % 10
+    lat = (g * 9 - 40).cast("double") + (k * 7919 % 1000).cast("double") / 2000
+    lon = (g * 3 % 10 * 33 - 150).cast("double") + (k * 104729 % 1000).cast("double") / 2000
+    return t.customer.select(
+        k.alias("stop_id"), F.col("c_name").alias("name"), lat.alias("lat"), lon.alias("lon"), (k % 40 + 5).alias("capacity")
+    )
+
+
+KSTOPS = (
+    "stops",
+    """SELECT c_custkey AS stop_id, c_name AS name,
+  CAST(c_custkey % 10 * 9 - 40 AS DOUBLE) + CAST(c_custkey * 7919 % 1000 AS DOUBLE) / 2000 AS lat,
+  CAST(c_custkey % 10 * 3 % 10 * 33 - 150 AS DOUBLE) + CAST(c_custkey * 104729 % 1000 AS DOUBLE) / 2000 AS lon,
+  c_custkey % 40 + 5 AS capacity FROM customer""",
+)
+KZONED = ("zoned", "SELECT *, stop_id % 10 + 1 AS zone_id FROM hashed")
+K_PARTS = [KSTOPS, HASHED, KZONED]
+K_ROUTES = [*K_PARTS, SEQ, LEGS, LENGTHS]
+SCALED = (
+    "scaled",
+    """SELECT zone_id, (lat - avg(lat) OVER ()) / stddev_samp(lat) OVER () AS y, (lon - avg(lon) OVER ()) / stddev_samp(lon) OVER () AS x
+FROM zoned""",
+)
+COST = """(SELECT ROUND(avg((y - cy) * (y - cy) + (x - cx) * (x - cx)), 6)
+  FROM (SELECT *, avg(y) OVER (PARTITION BY zone_id) AS cy, avg(x) OVER (PARTITION BY zone_id) AS cx FROM scaled))"""
+# Mean squared distances to the own and to the nearest other group, from sums per group.
+SILHOUETTE = """(SELECT ROUND(avg(CASE WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END), 6) FROM (
+  SELECT i, max(d / (n - 1)) FILTER (WHERE own) AS a, min(d / n) FILTER (WHERE NOT own) AS b FROM (
+    SELECT i, s.zone_id = g.zone_id AS own, n, n * (x * x + y * y) + q - 2 * (x * sx + y * sy) AS d
+    FROM (SELECT *, row_number() OVER () AS i FROM scaled) s,
+      (SELECT zone_id, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x + y * y) AS q FROM scaled GROUP BY zone_id) g)
+  GROUP BY i))"""
 
 
 def kmeans_zoned(t: Tables):
-    rows = stops(t)
-    return K.assign(K.fit(rows), rows)
+    rows = grouped_stops(t)
+    return K.assign(K.fit(rows, restarts=3), rows)
 
 
-@query("kmeans_fit")
+def kmeans_quality(t: Tables):
+    rows = grouped_stops(t)
+    measured = K.evaluate(K.fit(rows, restarts=3), rows)
+    return measured.select("clusters", *[F.round(c, 6).alias(c) for c in ("mean_squared_distance", "silhouette")])
+
+
+@query("kmeans_fit", with_sql(*K_PARTS, SCALED, body=f"SELECT 10 AS clusters, {COST} AS mean_squared_distance"))
 def _(t):
-    model = K.fit(stops(t))
-    return K.evaluate(model, stops(t)).select("clusters", F.round("mean_squared_distance", 6).alias("mean_squared_distance"))
+    return kmeans_quality(t).select("clusters", "mean_squared_distance")
 
 
-@query("kmeans_assign")
+@query("kmeans_assign", with_sql(*K_PARTS, body="SELECT stop_id, zone_id, lat, lon FROM zoned"))
 def _(t):
     return kmeans_zoned(t).select("stop_id", "zone_id", "lat", "lon")
 
 
-@query("join_model_predict")
+@query(
+    "join_model_predict",
+    with_sql(*K_PARTS, body="SELECT zone_id, COUNT(*) AS stops, CAST(SUM(capacity) AS BIGINT) AS capacity FROM zoned GROUP BY zone_id"),
+)
 def _(t):
     zones = kmeans_zoned(t)
     return zones.groupBy("zone_id").agg(F.count("*").alias("stops"), F.sum("capacity").alias("capacity"))
 
 
-@query("kmeans_balance")
+@query(
+    "kmeans_balance",
+    with_sql(*K_PARTS, body="SELECT zone_id, COUNT(*) AS stop_count, ROUND(AVG(lat), 4) AS avg_lat, ROUND(AVG(lon), 4) AS avg_lon FROM zoned GROUP BY zone_id"),
+)
 def _(t):
     return K.balance(kmeans_zoned(t))
 
 
-@query("kmeans_evaluate")
+@query(
+    "kmeans_evaluate",
+    with_sql(*K_PARTS, SCALED, body=f"SELECT 10 AS clusters, {COST} AS mean_squared_distance, {SILHOUETTE} AS silhouette"),
+)
 def _(t):
-    rows = stops(t)
-    return K.evaluate(K.fit(rows), rows)
+    return kmeans_quality(t)
 
 
-@query("kmeans_zones")
+@query("kmeans_zones", with_sql(*K_PARTS, CENTERS, body=ZONE_LAYERS))
 def _(t):
     return R.zone_layers(kmeans_zoned(t))
 
 
-@query("kmeans_routes")
+@query("kmeans_routes", with_sql(*K_ROUTES, LINES, body=ROUTE_LAYERS))
 def _(t):
     return R.route_layers(R.Routes(kmeans_zoned(t)), PART_POINTS)
 
 
-@query("kmeans_combined")
+@query("kmeans_combined", with_sql(*K_ROUTES, LINES, CENTERS, body=COMBINED))
 def _(t):
     return R.combined_layers(R.Routes(kmeans_zoned(t)), PART_POINTS)
 
 
-@query("kmeans_route_compare")
+@query("kmeans_route_compare", with_sql(*K_ROUTES, body=COMPARED))
 def _(t):
     r = R.Routes(kmeans_zoned(t))
     return R.compare_routes(r, supplied(r))
 
 
-@query("nearest_neighbor_route_kmeans")
+@query("nearest_neighbor_route_kmeans", nearest_sql(KSTOPS, KZONED))
 def _(t):
-    return R.greedy_routes(kmeans_zoned(t)).select("zone_id", "stop_id", "stop_number", F.round("leg_m", 3).alias("leg_m"))
+    return R.greedy_routes(kmeans_zoned(t)).select(
+        "zone_id", "stop_id", "stop_number", F.round(F.col("leg_m") / 1000, 4).alias("leg_km")
+    )
 
 
 # --- remote function -----------------------------------------------------------------------
@@ -476,7 +528,7 @@ def _(t):
 
 @query(
     "procedural_loop",
-    f"SELECT zone_id, COUNT(*) AS stops, MAX(stop_number) AS last_number, ROUND(SUM(leg_km), 2) AS km FROM ({NEAREST}) GROUP BY ALL",
+    f"SELECT zone_id, COUNT(*) AS stops, MAX(stop_number) AS last_number, ROUND(SUM(leg_km), 2) AS km FROM ({nearest_sql(STOPS, ZONED)}) GROUP BY ALL",
 )
 def _(t):
     walked = R.greedy_routes(zoned(t))
