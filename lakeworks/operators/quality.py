@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -235,7 +235,8 @@ def decision(results: DataFrame) -> DataFrame:
 # --- result comparison -------------------------------------------------------------------
 
 _FRACTIONS = (T.FloatType, T.DoubleType, T.DecimalType)
-LARGEST_WINDOW = 1_000_000
+_HASH = ["_h1", "_h2"]
+_COUNTS = ["compared", "different", "base_only", "other_only"]
 
 
 def result_compare(
@@ -243,9 +244,11 @@ def result_compare(
 ) -> DataFrame:
     """Rows compared, rows that differ beyond the tolerance and rows only on one side.
 
-    Without ``order`` the rows are multisets: rows that agree in every exact column pair up
-    along their sorted fractions, so a fraction may be off by the tolerance. With ``order`` (a
-    unique one) rows pair by position. Columns pair by position too.
+    Without ``order`` the rows are multisets: of rows that agree in every exact column, equal ones
+    go together first and the others along their sorted fractions, so a fraction may be off by the
+    tolerance. Where several of these are left and their leading fraction is off too, the sorting
+    may pair them otherwise than a person would. With ``order`` (a unique one) rows pair by
+    position. Columns pair by position too.
     """
     names = [f"c{i}" for i in range(len(base.columns))]
     fractions = [
@@ -259,18 +262,6 @@ def result_compare(
         cols = [F.col(f"`{c}`").cast("double" if n in fractions else "string").alias(n) for n, c in zip(names, df.columns)]
         return df.select(*cols)
 
-    if order is None:
-        sides = [_hashed(plain(df), exact, fractions) for df in (base, other)]
-        numbered, keys, compared = _numbered_groups(sides, fractions), [*_HASH, "_rank"], fractions
-    else:
-        by_name = dict(zip(base.columns, names))
-        sort = [by_name[c] for c in order]
-        numbered = [with_global_rank(plain(df), sort, "_rank") for df in (base, other)]
-        keys, compared = ["_rank"], names
-    packed = [F.struct(F.lit(True).alias("here"), *compared) for _ in range(2)]
-    left, right = (df.select(*keys, p.alias(tag)) for df, p, tag in zip(numbered, packed, ("a", "b")))
-    pairs = left.join(right, keys, "full")
-
     def same(n: str) -> Column:
         a, b = F.col(f"a.{n}"), F.col(f"b.{n}")
         if n not in fractions:
@@ -278,38 +269,54 @@ def result_compare(
         near = F.abs(a - b) <= F.greatest(F.lit(relative) * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute))
         return F.coalesce(near, F.lit(False)) | a.eqNullSafe(b)
 
-    both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    equal = reduce(lambda x, y: x & y, [same(n) for n in compared], F.lit(True))
-    return pairs.agg(
-        F.count_if(both).alias("compared"),
-        F.count_if(both & ~equal).alias("different"),
-        F.count_if(F.col("b").isNull()).alias("base_only"),
-        F.count_if(F.col("a").isNull()).alias("other_only"),
-    ).withColumn("equal", (F.col("different") == 0) & (F.col("base_only") == 0) & (F.col("other_only") == 0))
-
+    def counts(pairs: DataFrame, compared: Sequence[str]) -> DataFrame:
+        """Counts of pairs ``a``, ``b``, where a missing side is NULL."""
+        both = F.col("a").isNotNull() & F.col("b").isNotNull()
+        equal = reduce(lambda x, y: x & y, [same(n) for n in compared], F.lit(True))
+        found = [both, both & ~equal, F.col("a").isNotNull() & F.col("b").isNull(), F.col("a").isNull() & F.col("b").isNotNull()]
+        return pairs.agg(*[F.count_if(c).alias(n) for n, c in zip(_COUNTS, found)])
 
-_HASH = ["_h1", "_h2"]
+    if order is None:
+        found = _multiset_counts(plain(base), plain(other), exact, fractions, counts)
+    else:
+        by_name = dict(zip(base.columns, names))
+        sort = [by_name[c] for c in order]
+        left, right = (
+            with_global_rank(plain(df), sort, "_rank").select("_rank", F.struct(*names).alias(tag)) for df, tag in ((base, "a"), (other, "b"))
+        )
+        found = counts(left.join(right, "_rank", "full"), names)
+    return found.withColumn("equal", (F.col("different") == 0) & (F.col("base_only") == 0) & (F.col("other_only") == 0))
 
 
-def _hashed(rows: DataFrame, exact: Sequence[str], fractions: Sequence[str]) -> DataFrame:
-    """128 bits that stand for the exact columns, and the fractions."""
-    # A marker per column keeps a NULL apart from a value moved to its neighbour.
+def _multiset_counts(base: DataFrame, other: DataFrame, exact: Sequence[str], fractions: Sequence[str], counts) -> DataFrame:
+    # 128 bits stand for the exact columns; a marker per column keeps a NULL apart from a value moved to its neighbour.
     marked = [x for n in exact for x in (F.col(n).isNull(), F.col(n))]
-    return settle(rows.select(F.xxhash64(F.lit(1), *marked).alias("_h1"), F.xxhash64(F.lit(2), *marked).alias("_h2"), *fractions))
-
-
-def _numbered_groups(sides: Sequence[DataFrame], fractions: Sequence[str]) -> list[DataFrame]:
-    """Row numbers along the fractions among rows of equal hash.
-
-    A window per group, unless a group is too large for one task; then rows are numbered by
-    ranges of the order.
-    """
-    sizes = [df.groupBy(*_HASH).count().agg(F.max("count")).first()[0] or 0 for df in sides]
-    if max(sizes) <= LARGEST_WINDOW:
-        window = Window.partitionBy(*_HASH).orderBy(*(fractions or _HASH))
-        return [df.withColumn("_rank", F.row_number().over(window)) for df in sides]
-    with_id = [df.withColumn("_id", F.monotonically_increasing_id()) for df in sides]
-    return [GroupOrder(df, _HASH, [*fractions, "_id"]).numbered("_rank") for df in with_id]
+    hashes = [F.xxhash64(F.lit(i + 1), *marked).alias(h) for i, h in enumerate(_HASH)]
+    packed = F.struct(F.lit(True).alias("here"), *fractions)
+    sides = [df.select(*hashes, F.lit(tag).alias("_side"), packed.alias("_values")) for df, tag in ((base, "a"), (other, "b"))]
+    rows = settle(sides[0].unionByName(sides[1]), "compared")
+    mine = {tag: F.col("_side") == tag for tag in "ab"}
+    groups = rows.groupBy(*_HASH).agg(
+        *[F.count_if(m).alias(f"_n{tag}") for tag, m in mine.items()], *[F.max(F.when(m, F.col("_values"))).alias(tag) for tag, m in mine.items()]
+    )
+    # A group with a row of each side at most has one way to pair.
+    crowded = (F.col("_na") > 1) | (F.col("_nb") > 1)
+    groups = groups.withColumn("_crowded", crowded)
+    few = counts(groups.filter("not _crowded"), fractions)
+    # In the others equal rows go first, many at a time.
+    many = rows.join(groups.filter("_crowded").select(*_HASH), _HASH, "left_semi")
+    times = many.groupBy(*_HASH, "_values").agg(*[F.count_if(m).alias(f"_n{tag}") for tag, m in mine.items()])
+    times = settle(times.withColumn("_matched", F.least("_na", "_nb")), "times")
+    numbered = []
+    for tag in "ab":
+        left = times.withColumn("_left", F.col(f"_n{tag}") - F.col("_matched")).filter("_left > 0")
+        one = left.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_left"))))
+        side = one.select(*_HASH, "_values", "_copy")
+        numbered.append(GroupOrder(side, _HASH, ["_values", "_copy"]).numbered("_rank").select(*_HASH, "_rank", F.col("_values").alias(tag)))
+    paired = counts(numbered[0].join(numbered[1], [*_HASH, "_rank"], "full"), fractions)
+    matched = times.agg(F.coalesce(F.sum("_matched"), F.lit(0)).alias("compared"), *[F.lit(0).cast("long").alias(n) for n in _COUNTS[1:]])
+    parts = few.unionByName(paired).unionByName(matched)
+    return parts.agg(*[F.sum(n).alias(n) for n in _COUNTS])
 
 
 # --- profiles ----------------------------------------------------------------------------

@@ -241,7 +241,25 @@ def _walker(near: int):
     return walk
 
 
-def greedy_routes(zoned: DataFrame, near: int = 2000) -> DataFrame:
+NEAR = 900  # with the stop itself below the 1,000 rows up to which Spark limits a group before its shuffle
+
+
+def first_heads(stops: DataFrame) -> DataFrame:
+    """Where the route of each zone begins: its lowest stop id."""
+    return stops.groupBy("zone_id").agg(
+        F.min_by("lat", "stop_id").alias("from_lat"), F.min_by("lon", "stop_id").alias("from_lon"), F.lit(0).cast("long").alias("from_number")
+    )
+
+
+def nearest_stops(left: DataFrame, heads: DataFrame, near: int) -> DataFrame:
+    """The ``near`` + 1 stops closest to each zone's current one; tasks cut a zone before it is shuffled."""
+    center = distance_m(F.col("from_lat"), F.col("from_lon"), F.col("lat"), F.col("lon"))
+    reach = spread_join(left, heads, ["zone_id"], ["stop_id"]).withColumn("center_m", center)
+    closest = Window.partitionBy("zone_id").orderBy("center_m", "stop_id")
+    return reach.withColumn("_rn", F.row_number().over(closest)).filter(F.col("_rn") <= near + 1).drop("_rn")
+
+
+def greedy_routes(zoned: DataFrame, near: int = NEAR) -> DataFrame:
     """Always go to the closest stop left, per zone, from the lowest stop id; ties by id.
 
     Every round takes, per zone, the ``near`` stops closest to the current one and walks them
@@ -250,15 +268,10 @@ def greedy_routes(zoned: DataFrame, near: int = 2000) -> DataFrame:
     one round.
     """
     left = settle(zoned.select(F.col("zone_id").cast("long").alias("zone_id"), F.col("stop_id").cast("long").alias("stop_id"), "lat", "lon"))
-    heads = left.groupBy("zone_id").agg(
-        F.min_by("lat", "stop_id").alias("from_lat"), F.min_by("lon", "stop_id").alias("from_lon"), F.lit(0).cast("long").alias("from_number")
-    )
-    closest = Window.partitionBy("zone_id").orderBy("center_m", "stop_id")
+    heads = first_heads(left)
     done: list[DataFrame] = []
     while not left.isEmpty():
-        center = distance_m(F.col("from_lat"), F.col("from_lon"), F.col("lat"), F.col("lon"))
-        reach = spread_join(left, heads, ["zone_id"], ["stop_id"]).withColumn("center_m", center)
-        reach = reach.withColumn("_rn", F.row_number().over(closest)).filter(F.col("_rn") <= near + 1).drop("_rn")
+        reach = nearest_stops(left, heads, near)
         walked = settle(reach.groupBy("zone_id").applyInPandas(_walker(near), _WALK_SCHEMA))
         done.append(walked)
         if len(done) >= 20:

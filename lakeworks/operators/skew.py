@@ -7,17 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPREAD = 16
 HOT_SHARE = 1000
+SALTS = "_salts"
 
 
 def hot_keys(counts: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
-    """Keys with more than a thousandth of all rows, from a table of rows per key.
+    """Keys with more than a thousandth of all rows, from a table of rows per key, and ``_salts``.
 
-    There cannot be more than a thousand of them, which is what makes them safe to broadcast.
+    There cannot be more than a thousand of them, which is what makes them safe to broadcast. A key
+    gets as many salts as it has thousandths, so no piece is larger than that, whatever the size.
     """
     total = counts.agg(F.sum(n)).scalar()
-    return counts.filter(F.col(n) * HOT_SHARE > total).select(*keys)
+    salts = F.ceil(F.col(n) * HOT_SHARE / total).cast("int").alias(SALTS)
+    return counts.filter(F.col(n) * HOT_SHARE > total).select(*keys, salts)
 
 
 def spread_join(
@@ -27,24 +29,24 @@ def spread_join(
     spread_by: Sequence[str],
     how: str = "inner",
     hot: DataFrame | None = None,
-    spread: int = SPREAD,
+    spread: int | None = None,
 ) -> DataFrame:
     """Join rows of ``many`` to at most a few rows per key of ``one``.
 
-    ``many`` is split over ``spread`` salts by a hash of ``spread_by`` (stable under retries),
-    ``one`` is repeated per salt, so no task receives more than a share of a frequent key.
-    With ``hot`` (see ``hot_keys``) only those keys are split and repeated; without it all are,
-    which suits a short ``one``.
+    ``many`` is split over salts by a hash of ``spread_by`` (stable under retries), ``one`` is
+    repeated per salt, so no task receives more than a share of a frequent key. With ``hot`` (see
+    ``hot_keys``) only those keys are split and repeated, each as often as its share asks for;
+    without it all are, into as many pieces as there are shuffle partitions unless ``spread`` says
+    otherwise, which suits a short ``one``.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("the repeated side cannot be kept by an outer join")
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(spread)).cast("int")
-    last = F.lit(spread - 1)
     if hot is not None:
-        marked = F.broadcast(hot.select(*keys).distinct().withColumn("_hot", F.lit(True)))
+        marked = F.broadcast(hot)
         many, one = many.join(marked, list(keys), "left"), one.join(marked, list(keys), "left")
-        salt = F.when(F.col("_hot"), salt).otherwise(F.lit(0))
-        last = F.when(F.col("_hot"), last).otherwise(F.lit(0))
-    salted = many.withColumn("_salt", salt).drop("_hot")
-    repeated = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
+        salts = F.coalesce(F.col(SALTS), F.lit(1))
+    else:
+        salts = F.lit(spread or int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), salts).cast("int")).drop(SALTS)
+    repeated = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop(SALTS)
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -9,23 +9,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import METRES_PER_DEGREE, distance_m
+from ..session import settle
 from .skew import hot_keys, spread_join
 
 STEPS = 4  # grid steps per radius
-MAX_LATITUDE = 80.0
+MAX_LATITUDE = 80.0  # circles that reach beyond are searched by latitude alone
 
 
 class _Grid:
     """Square-ish cells of radius / STEPS; longitude cells wrap around the globe."""
 
     def __init__(self, radius_m: float, highest_lat: float):
-        if highest_lat > MAX_LATITUDE:
-            raise ValueError(f"latitudes beyond {MAX_LATITUDE} degrees are not supported")
         step = radius_m / STEPS / METRES_PER_DEGREE
         self.lat = step
-        # Cells narrow toward the poles, so size them where the data reaches highest.
-        reach = min(MAX_LATITUDE + 1, highest_lat + radius_m / METRES_PER_DEGREE)
-        self.around = max(1, math.floor(360.0 / (step / math.cos(math.radians(reach)))))
+        # Cells narrow toward the poles, so size them where the data reaches highest. Around the
+        # poles a cell is a whole band, of which no circle is sure to hold everything.
+        reach = highest_lat + radius_m / METRES_PER_DEGREE
+        self.polar = reach > MAX_LATITUDE
+        self.around = 1 if self.polar else max(1, math.floor(360.0 / (step / math.cos(math.radians(reach)))))
         self.lon = 360.0 / self.around
         self.radius = radius_m
 
@@ -64,7 +65,7 @@ class _Grid:
                 "_lon",
                 i.alias("_ci"),
                 F.pmod(j, F.lit(self.around)).alias("_cj"),
-                (F.col("_far") <= F.lit(self.radius * 0.98)).alias("_inside"),
+                (F.col("_far") <= F.lit(0.0 if self.polar else self.radius * 0.98)).alias("_inside"),
             )
         )
 
@@ -76,14 +77,21 @@ def radius_totals(
 
     ``totals`` are additive per point. Points on one coordinate collapse first. A grid cell
     lying wholly inside the circle adds its own total; only cells on the rim compare points,
-    so a crowded cell costs most centers one row. Centers without points are left out.
+    so a crowded cell costs most centers one row. Centers without points are left out; circles
+    near a pole are searched by bands of latitude.
     """
-    highest = centers.agg(F.max(F.abs("lat"))).first()[0]
-    if highest is None:
-        highest = 0.0
-    grid = _Grid(radius_m, float(highest))
     names = list(totals)
-    per_spot = points.groupBy("lat", "lon").agg(*[F.sum(c).alias(n) for n, c in totals.items()])
+    per_spot = settle(points.groupBy("lat", "lon").agg(*[F.sum(c).alias(n) for n, c in totals.items()]), "spots")
+    limit = MAX_LATITUDE - radius_m / METRES_PER_DEGREE
+    polar = F.abs("lat") > limit
+    ends = centers.agg(F.max(F.when(~polar, F.abs("lat"))).alias("low"), F.max(F.when(polar, F.abs("lat"))).alias("high")).first()
+    found = _grid_totals(centers.filter(~polar), per_spot, _Grid(radius_m, float(ends["low"] or 0.0)), names, radius_m, id_col)
+    if ends["high"] is not None:
+        found = found.unionByName(_grid_totals(centers.filter(polar), per_spot, _Grid(radius_m, 90.0), names, radius_m, id_col))
+    return found
+
+
+def _grid_totals(centers: DataFrame, per_spot: DataFrame, grid: _Grid, names: Sequence[str], radius_m: float, id_col: str) -> DataFrame:
     per_spot = per_spot.select("*", *grid.keys(F.col("lat"), F.col("lon")))
     near = grid.near(centers, id_col)
     cell = ["_ci", "_cj"]

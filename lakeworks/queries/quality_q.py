@@ -326,15 +326,20 @@ def _(t):
     "result_compare",
     with_sql(
         ("fct", FCT_SQL),
-        body="""SELECT COUNT(*) AS compared, 0::BIGINT AS different, 0::BIGINT AS base_only, 0::BIGINT AS other_only, TRUE AS equal
-FROM fct""",
+        # Every 50th order is one cent off, every 70th is missing and every 90th is one too many; ids are unique.
+        body="""SELECT COUNT(*) FILTER (WHERE order_id % 70 <> 0) AS compared,
+  COUNT(*) FILTER (WHERE order_id % 70 <> 0 AND order_id % 50 = 0) AS different,
+  COUNT(*) FILTER (WHERE order_id % 70 = 0) AS base_only, COUNT(*) FILTER (WHERE order_id % 90 = 0) AS other_only,
+  COUNT(*) FILTER (WHERE order_id % 50 = 0 OR order_id % 70 = 0 OR order_id % 90 = 0) = 0 AS equal FROM fct""",
     ),
 )
 def _(t):
     left = models_q.fct_orders(t).drop("gold_loaded_at")
     right = models_q.fct_chain(t).drop("gold_loaded_at")
-    nudged = right.withColumn("order_total_usd", F.col("order_total_usd") * (1 + 1e-9))
-    return Q.result_compare(left, nudged)
+    cent = F.when(F.col("order_id") % 50 == 0, 0.01).otherwise(0.0)
+    nudged = right.withColumn("order_total_usd", F.col("order_total_usd") * (1 + 1e-9) + cent)
+    extra = right.filter("order_id % 90 = 0").withColumn("order_id", -1 - F.col("order_id"))
+    return Q.result_compare(left, nudged.filter("order_id % 70 <> 0").unionByName(extra))
 
 
 PROFILED = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double"}

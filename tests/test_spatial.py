@@ -17,7 +17,7 @@ def metres(a, b):
 def cloud(n, lat, lon, spread, seed):
     rng = np.random.default_rng(seed)
     points = [(float(lat + x), float(lon + y)) for x, y in rng.uniform(-spread, spread, (n, 2))]
-    return [(a, (b + 180) % 360 - 180) for a, b in points]
+    return [(max(-90.0, min(90.0, a)), (b + 180) % 360 - 180) for a, b in points]
 
 
 @pytest.mark.parametrize("lat, lon", [(-6.2, 106.8), (70.0, 10.0), (1.0, 180.0), (-45.0, -179.99)])
@@ -37,10 +37,16 @@ def test_radius_totals_equal_brute_force(spark, lat, lon, radius):
     assert {r["branch_id"]: (r["n"], r["s"]) for r in got.collect()} == expected
 
 
-def test_latitudes_near_a_pole_are_refused(spark):
-    c = spark.createDataFrame([(1, 85.0, 0.0)], "branch_id long, lat double, lon double")
-    with pytest.raises(ValueError):
-        spatial.radius_totals(c, c, 100.0, {"n": F.lit(1)})
+@pytest.mark.parametrize("lat, lon", [(89.995, 10.0), (-89.97, -170.0), (79.99, 20.0), (84.0, 179.99)])
+def test_circles_near_a_pole(spark, lat, lon):
+    test_radius_totals_equal_brute_force(spark, lat, lon, 5000.0)
+
+
+def test_polar_and_other_centers_together(spark):
+    p = spark.createDataFrame([(1, 90.0, 0.0), (2, 89.99, 180.0), (3, 10.0, 10.0)], "id long, lat double, lon double")
+    c = spark.createDataFrame([(1, 89.995, 90.0), (2, 10.0, 10.001)], "branch_id long, lat double, lon double")
+    got = spatial.radius_totals(c, p, 5000.0, {"n": F.lit(1)}).collect()
+    assert {r["branch_id"]: r["n"] for r in got} == {1: 2, 2: 1}
 
 
 def plain_walk(stops):
