@@ -39,3 +39,10 @@ def finished(spark: SparkSession, folder: str, prefix: str) -> list[str]:
     fs, path = _path(spark, folder)
     names = sorted(status.getPath().getName() for status in fs.listStatus(path)) if fs.exists(path) else []
     return [f"{folder}/{n}" for n in names if n.startswith(prefix) and exists(spark, f"{folder}/{n}/_SUCCESS")]
+
+
+def names(spark: SparkSession, folder: str, prefix: str) -> list[str]:
+    """Names of the entries that begin with the prefix, sorted."""
+    fs, path = _path(spark, folder)
+    found = [status.getPath().getName() for status in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(n for n in found if n.startswith(prefix))

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -21,6 +22,7 @@ logger = logging.getLogger(__name__)
 TYPE, SEQUENCE = "_CHANGE_TYPE", "_CHANGE_SEQUENCE_NUMBER"
 UPSERT, DELETE = "UPSERT", "DELETE"
 DELETED = "_deleted"
+BUCKET = "_bucket"
 
 
 def latest(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -64,55 +66,94 @@ class ChangeTable:
     """A keyed table fed by micro-batches.
 
     Each batch adds one folder of at most one row per key, named by its batch number, so a batch
-    that is delivered again replaces itself. ``compact`` folds finished batches into a new base.
-    A batch therefore costs its own size, not the table's.
+    that is delivered again replaces itself. ``compact`` folds finished batches into the base, which
+    lies in buckets by a hash of the keys: it reads and writes only buckets that have changes. A read
+    takes the base as it is but for the keys that the batches since hold. ``buckets`` must stay the
+    same for the life of a table.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str]):
-        self.spark, self.root, self.keys = spark, root.rstrip("/"), list(keys)
+    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], buckets: int = 16):
+        self.spark, self.root, self.keys, self.buckets = spark, root.rstrip("/"), list(keys), buckets
 
     def apply(self, changes: DataFrame, batch: int) -> None:
         latest(changes, self.keys).write.mode("overwrite").parquet(f"{self.root}/deltas/batch={batch}")
 
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def _bases(self) -> list[int]:
+        return files.finished_numbers(self.spark, f"{self.root}/base", "upto")
+
     def _base(self) -> int | None:
-        numbers = files.finished_numbers(self.spark, f"{self.root}/base", "upto")
+        numbers = self._bases()
         return numbers[-1] if numbers else None
 
+    def _folders(self) -> dict[int, str]:
+        """The newest folder of each bucket of the base."""
+        found = {}
+        for number in self._bases():
+            at = f"{self.root}/base/upto{number}"
+            found |= {int(n.partition("=")[2]): f"{at}/{n}" for n in files.names(self.spark, at, f"{BUCKET}=")}
+        return found
+
+    def _deltas(self) -> DataFrame | None:
+        """Rows of the batches that are not in the base."""
+        if not files.exists(self.spark, f"{self.root}/deltas"):
+            return None
+        deltas, base = self.spark.read.parquet(f"{self.root}/deltas"), self._base()
+        return deltas if base is None else deltas.filter(F.col("batch") > base)
+
+    def _merged(self, folders: Sequence[str], deltas: DataFrame | None) -> DataFrame:
+        """Base rows of keys without later changes, and the deciding rows of the others."""
+        if not folders:
+            return latest(deltas.drop("batch"), self.keys)
+        base = self.spark.read.parquet(*folders)
+        if deltas is None:
+            return base
+        deltas = deltas.drop("batch")
+        named = {k: f"_key_{i}" for i, k in enumerate(self.keys)}
+        changed = deltas.select(*[F.col(k).alias(n) for k, n in named.items()]).distinct()
+        same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()])
+        met = base.join(changed, same, "left_semi").unionByName(deltas)
+        return base.join(changed, same, "left_anti").unionByName(latest(met, self.keys))
+
     def state(self) -> DataFrame:
         """Deciding row of every key seen, tombstones included."""
-        base, parts = self._base(), []
-        if base is not None:
-            parts.append(self.spark.read.parquet(f"{self.root}/base/upto{base}"))
-        if files.exists(self.spark, f"{self.root}/deltas"):
-            deltas = self.spark.read.parquet(f"{self.root}/deltas")
-            if base is not None:
-                deltas = deltas.filter(F.col("batch") > base)
-            parts.append(deltas.drop("batch"))
-        if not parts:
+        folders, deltas = list(self._folders().values()), self._deltas()
+        if not folders and deltas is None:
             raise FileNotFoundError(f"no changes at {self.root}")
-        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        return latest(rows, self.keys)
+        return self._merged(folders, deltas)
 
     def snapshot(self) -> DataFrame:
         return live(self.state())
 
     def compact(self) -> None:
-        """New base up to the newest batch. Run it while no batch is being written."""
-        if not files.exists(self.spark, f"{self.root}/deltas"):
+        """Fold the batches since into their buckets. Run it while no batch is being written."""
+        deltas = self._deltas()
+        if deltas is None:
             return
-        newest = self.spark.read.parquet(f"{self.root}/deltas").agg(F.max("batch")).first()[0]
-        base = self._base()
-        if newest is None or (base is not None and newest <= base):
+        newest = deltas.agg(F.max("batch")).first()[0]
+        if newest is None:
             return
-        self.state().write.mode("overwrite").parquet(f"{self.root}/base/upto{newest}")
+        touched = {r[0] for r in deltas.select(self._bucket()).distinct().collect()}  # one row per bucket
+        folders = [path for bucket, path in self._folders().items() if bucket in touched]
+        rows = self._merged(folders, deltas).withColumn(BUCKET, self._bucket())
+        rows.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/base/upto{newest}")
 
     def prune(self) -> None:
-        """Delete what the newest base replaces; call it when no reader uses the older state."""
+        """Delete what newer folders replace; call it when no reader uses the older state."""
         base = self._base()
         if base is None:
             return
-        for number in files.finished_numbers(self.spark, f"{self.root}/base", "upto")[:-1]:
-            files.delete(self.spark, f"{self.root}/base/upto{number}")
+        used = set(self._folders().values())
+        for number in self._bases():
+            at = f"{self.root}/base/upto{number}"
+            buckets = [f"{at}/{n}" for n in files.names(self.spark, at, f"{BUCKET}=")]
+            for path in buckets:
+                if path not in used:
+                    files.delete(self.spark, path)
+            if number < base and not used & set(buckets):
+                files.delete(self.spark, at)
         for number in files.finished_numbers(self.spark, f"{self.root}/deltas", "batch="):
             # The newest folded batch stays, so a repeated delivery finds its folder.
             if number < base:
@@ -129,11 +170,12 @@ class ChangeTable:
         """Feed the table from a streaming DataFrame; any order and any split of batches will do.
 
         Batches come one after the other, so with ``compact_every`` each n-th one also folds the
-        batches before it.
+        batches before it, and deletes what the fold before replaced.
         """
 
         def feed(rows: DataFrame, batch: int) -> None:
             if compact_every and batch and batch % compact_every == 0:
+                self.prune()
                 self.compact()
             self.apply(rows, batch)
 

@@ -50,6 +50,23 @@ def test_a_late_upsert_does_not_revive_a_deleted_key(spark, folder):
     assert table.state().count() == 1
 
 
+def test_compaction_touches_only_buckets_with_changes(spark, folder):
+    table = cdc.ChangeTable(spark, folder, ["id"], buckets=8)
+    table.apply(spark.createDataFrame([(i, "a", "UPSERT", 1) for i in range(60)] + [(None, "none", "UPSERT", 1)], SCHEMA), 0)
+    table.compact()
+    before = table._folders()
+    assert len(before) == 8
+    table.apply(spark.createDataFrame([(5, "b", "UPSERT", 2), (None, "late", "UPSERT", 0)], SCHEMA), 1)
+    expected = {(i, "b" if i == 5 else "a") for i in range(60)} | {(None, "none")}
+    assert rows(table.snapshot()) == expected
+    table.compact()
+    after = table._folders()
+    assert sum(after[k] != before[k] for k in before) <= 2
+    assert rows(table.snapshot()) == expected
+    table.prune()
+    assert rows(table.snapshot()) == expected and table._folders() == after
+
+
 def test_stream(spark, folder):
     source = f"{folder}/source"
     spark.createDataFrame(EVENTS, SCHEMA).repartition(4).write.parquet(source)
