@@ -62,6 +62,7 @@ def status_category(status: str = "status") -> Column:
     return case_group(status, STATUS_GROUPS, "OTHER")
 
 
+# Band edges and labels of the next three functions: fixed values.
 def order_size(amount: str = "total_amount") -> Column:
     a = F.col(amount)
     return first_match([(a < 50, "SMALL"), (a.between(50, 200), "MEDIUM"), (a.between(200, 500), "LARGE")], "ENTERPRISE")

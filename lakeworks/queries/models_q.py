@@ -22,6 +22,7 @@ def favg(x: str, places: int = 2) -> str:
 
 
 DEDUP = "SELECT * FROM raw_orders QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY created_at) = 1"
+# Labels, rates and band edges below are fixed values.
 STATUS_CASE = """CASE status WHEN 'completed' THEN 'COMPLETED' WHEN 'shipped' THEN 'IN_TRANSIT'
     WHEN 'processing' THEN 'PROCESSING' WHEN 'pending' THEN 'PENDING' WHEN 'cancelled' THEN 'CANCELLED'
     WHEN 'refunded' THEN 'REFUNDED' ELSE 'UNKNOWN' END"""

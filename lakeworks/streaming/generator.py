@@ -58,7 +58,7 @@ def _text(n: Column) -> Column:
 
 
 def address_blob(n: Column | str) -> Column:
-    """Nested address JSON of several kilobytes for one sequence number."""
+    """Nested address JSON of several kilobytes for one sequence number. Field names, texts and numbers are fixed values."""
     n = col(n)
     fields = F.sequence(F.lit(0), F.lit(METADATA_FIELDS - 1))
     value = lambda i: F.repeat(F.concat(F.lit("value_"), _text(n), F.lit("_"), _text(i)), F.lit(METADATA_REPEATS))
@@ -82,7 +82,7 @@ def address_blob(n: Column | str) -> Column:
 
 
 def transactions(numbers: DataFrame, number: str = "value", at: str = "timestamp") -> DataFrame:
-    """Fourteen-column transactions from a sequence number and a time per row."""
+    """Fourteen-column transactions from a sequence number and a time per row. Literals are fixed values."""
     n = F.col(number)
     customer = n % 1_000_000
     quantity = n % 5 + 1
