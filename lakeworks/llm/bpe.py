@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from .common import blocks, ids_and_texts, texts_of
 
 BLOCK = 8 << 20  # bytes of text merged together
-KNOWN = 150_000  # entries after which a worker's table of finished words or pieces begins anew
+KNOWN = 100_000  # entries after which a worker's table of finished words or pieces begins anew
 _SHIFT = 20
 _NO_PAIR = -1
 _SPACES = re.compile(r"\s | \s")
@@ -41,6 +41,9 @@ class Recent:
     def __init__(self, bound: int = KNOWN):
         self.bound, self.now, self._before = bound, {}, {}
 
+    def forget(self) -> None:
+        self.now, self._before = {}, {}
+
     def missing(self, keys: set[str]) -> set[str]:
         """The keys without an entry; all others are in ``now`` until the next call."""
         if len(self.now) > self.bound:
@@ -241,6 +244,9 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
+        # A worker serves other operators too, so it keeps no words from task to task.
+        words.known_words.forget()
+        words.known_pieces.forget()
         for block in blocks(batches, size=BLOCK):
             ids = words.encode_block(texts_of(block.column(1)))
             lengths = np.fromiter((len(x) >> 2 for x in ids), np.int64, len(ids))
@@ -257,6 +263,8 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> D
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        words.known_words.forget()
+        words.known_pieces.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"

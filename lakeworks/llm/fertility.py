@@ -31,7 +31,7 @@ from .common import WHITE, blocks, ids_and_texts, texts_of
 SYMBOLS = "#*$%&|<>"
 FEWEST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
-KNOWN = 120_000  # entries after which a worker's table of cut words begins anew
+KNOWN = 60_000  # entries after which a worker's table of cut words begins anew
 
 # First and last code points of the letters by which a word is given a script; all else is "latin"
 # if it has a Latin letter and "other" if not.
@@ -225,6 +225,7 @@ def measures(docs: DataFrame, ranks_path: str, pattern: str, pieces_path: str, b
             found = judge(texts_of(block.column(1)), vocabularies, bands)
             arrays = [block.column(0), *map(pa.array, found.values())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *found])
+        vocabularies.known.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + ", ".join(f"{c} {t}" for c, t in COLUMNS.items())
@@ -241,5 +242,6 @@ def passing(docs: DataFrame, ranks_path: str, pattern: str, pieces_path: str, ba
             for block in blocks(iter([batch]), batch.schema.names[at]):
                 kept = judge(texts_of(block.column(at)), vocabularies, bands)["kept"]
                 yield block.filter(pa.array(kept))
+        vocabularies.known.forget()
 
     return docs.mapInArrow(run, docs.schema)
