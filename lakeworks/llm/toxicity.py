@@ -38,7 +38,7 @@ TERMS = 2048
 FEWEST_EXAMPLES = 3  # toxic ones that must have a term
 LEAST_LEAN = 3.0  # z value of a term's log odds
 BLOCK = 64
-NEAREST = 16
+NEAREST = 32
 PRIOR_WEIGHT = 0.5
 EVIDENCE = 3
 _LETTERS = re.compile(r"[^\W\d_]+").findall
