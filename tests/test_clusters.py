@@ -25,6 +25,7 @@ def test_every_stop_gets_the_nearest_center(zoned):
     points = np.array([(r["lat"], r["lon"]) for r in rows])
     scaled = (points - points.mean(axis=0)) / points.std(axis=0, ddof=1)
     centers = np.array(model.stages[-1].clusterCenters())
+    centers = np.array(sorted(centers.tolist()))  # zones are numbered in the order of their centers
     nearest = ((scaled[:, None, :] - centers[None]) ** 2).sum(axis=2).argmin(axis=1) + 1
     assert [r["zone_id"] for r in rows] == nearest.tolist()
     # The three heaps are far apart, so each is one zone.
@@ -36,6 +37,17 @@ def test_balance_and_quality(zoned):
     assert sorted(r["stop_count"] for r in clusters.balance(assigned).collect()) == [40, 40, 40]
     row = clusters.evaluate(model, stops).first()
     assert row["silhouette"] > 0.9 and row["clusters"] == 3 and 0 < row["mean_squared_distance"] < 0.1
+    assert row["mean_squared_distance"] == pytest.approx(model.stages[-1].summary.trainingCost / stops.count())
+
+
+def test_a_model_from_disk_and_restarts(zoned, folder):
+    stops, model, assigned = zoned
+    model.write().save(folder)
+    loaded = clusters.PipelineModel.load(folder)
+    assert clusters.evaluate(loaded, stops).first() == clusters.evaluate(model, stops).first()
+    best = clusters.fit(stops, k=3, restarts=3)
+    again = {(r["stop_id"], r["zone_id"]) for r in clusters.assign(best, stops).collect()}
+    assert again == {(r["stop_id"], r["zone_id"]) for r in assigned.collect()}
 
 
 def test_layers_and_greedy_routes_over_clusters(zoned):
