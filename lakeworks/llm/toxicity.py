@@ -3,8 +3,8 @@
 Terms are the lower-cased words of a text and their beginnings of three to eight letters, as far as they
 tell toxic examples from others. A text is a vector of (1 + log tf) * idf over these terms, of length
 one; idf is counted over all documents. The examples lie in blocks of ``BLOCK``; the index keeps per term
-and block the postings and the largest weight. A query adds up the block maxima of its terms, visits
-blocks from the largest bound down and stops when no block left can hold a nearer example than the
+and block the postings and the largest weight. A query adds up the block maxima of its terms, opens
+the ``FIRST_BLOCKS`` of the largest bounds and then only blocks whose bound reaches the cosine of the
 ``NEAREST`` found. So the neighbours are exact, and most blocks are never opened.
 
 Neighbours vote with the square of their cosine, each label weighted to its share in all labelled rows,
@@ -37,12 +37,14 @@ PER_CLASS = 2000
 TERMS = 2048
 FEWEST_EXAMPLES = 3  # toxic ones that must have a term
 LEAST_LEAN = 3.0  # z value of a term's log odds
+LEAST_LOG_ODDS = 1.0  # a term of many examples can lean surely but hardly
 BLOCK = 64
+FIRST_BLOCKS = 6
 NEAREST = 32
 PRIOR_WEIGHT = 0.5
 EVIDENCE = 3
 _LETTERS = re.compile(r"[^\W\d_]+").findall
-_SLACK = 1e-9  # bounds and cosines add the same numbers in another order
+_SLACK = 1e-8  # bounds and cosines add the same numbers in another order
 
 
 def terms_of(word: str) -> list[str]:
@@ -50,12 +52,13 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in PREFIXES if len(word) >= n)]
 
 
-def lean(with_term: Sequence[np.ndarray], examples: Sequence[int]) -> np.ndarray:
-    """z value of the log odds of a term between toxic and other examples."""
+def lean(with_term: Sequence[np.ndarray], examples: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of a term between toxic and other examples, and their z value."""
     other, toxic = (np.asarray(x, float) for x in with_term)
     a, b = toxic + 0.5, examples[1] - toxic + 0.5
     c, d = other + 0.5, examples[0] - other + 0.5
-    return np.log(a * d / (b * c)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    log_odds = np.log(a * d / (b * c))
+    return log_odds, log_odds / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
 
 
 class Vectors:
@@ -119,24 +122,42 @@ class Index:
         prior = float((votes * labels).sum() / votes.sum())
         return Index(example % BLOCK, weight, first, most.reshape(n_terms, n_blocks), labels, votes, ids, prior)
 
+    def _cosines(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the examples in some blocks that share a term with the query."""
+        begin, end = self.first[terms[:, None], blocks].ravel(), self.first[terms[:, None], blocks + 1].ravel()
+        sizes = end - begin
+        upto = np.cumsum(sizes)
+        at = np.repeat(begin - upto + sizes, sizes) + np.arange(upto[-1])
+        block = np.repeat(np.tile(np.arange(len(blocks)), len(terms)), sizes)
+        parts = np.repeat(np.repeat(weights, len(blocks)), sizes) * self.weights[at]
+        sums = np.bincount(block * BLOCK + self.postings[at], parts, len(blocks) * BLOCK)
+        hit = np.flatnonzero(sums)
+        return blocks[hit // BLOCK] * BLOCK + hit % BLOCK, sums[hit]
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k examples with the largest cosine above 0; ties in the order of the sample."""
+        """Places and cosines of the k examples with the largest cosine above 0; ties by doc_id.
+
+        The blocks of the largest bounds are opened first, then those whose bound reaches the k-th
+        cosine found there. No other can hold a nearer example.
+        """
         bounds = weights @ self.most[terms]
-        found = np.empty(0, np.int64)
-        cosines = np.empty(0)
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(found) == k and bounds[b] + _SLACK < cosines[-1]:
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        found, cosines = np.empty(0, np.int64), np.empty(0)
+        for step in range(2):
+            if step == 0:
+                opened = order[:FIRST_BLOCKS]
+            else:
+                opened = order[FIRST_BLOCKS:]
+                if len(found) == k:
+                    opened = opened[bounds[opened] + _SLACK >= cosines[-1]]
+            if not len(opened):
                 break
-            part = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                a, z = self.first[t, b], self.first[t, b + 1]
-                if z > a:
-                    part[self.postings[a:z]] += w * self.weights[a:z]
-            if 0 <= without - b * BLOCK < BLOCK:
-                part[without - b * BLOCK] = 0
-            hit = np.flatnonzero(part)
-            found = np.concatenate([found, hit + b * BLOCK])
-            cosines = np.concatenate([cosines, part[hit]])
+            at, more = self._cosines(terms, weights, opened)
+            if len(found) == k:
+                near = more + _SLACK >= cosines[-1]
+                at, more = at[near], more[near]
+            found, cosines = np.concatenate([found, at[at != without]]), np.concatenate([cosines, more[at != without]])
             keep = np.lexsort((self.ids[found], -cosines.round(9)))[:k]
             found, cosines = found[keep], cosines[keep]
         return found, cosines
@@ -199,9 +220,9 @@ def choose_terms(examples: DataFrame, sizes: dict[int, int], n_terms: int = TERM
     table = totals.filter(F.col("toxic") >= FEWEST_EXAMPLES).toArrow()
     if not table.num_rows:
         return []
-    z = lean([table["other"].to_numpy(), table["toxic"].to_numpy()], [sizes.get(0, 0), sizes.get(1, 0)])
+    log_odds, z = lean([table["other"].to_numpy(), table["toxic"].to_numpy()], [sizes.get(0, 0), sizes.get(1, 0)])
     names = table["term"].to_pylist()
-    leaning = [(-x, t) for x, t in zip(z.tolist(), names) if x >= LEAST_LEAN]
+    leaning = [(-x, t) for x, y, t in zip(z.tolist(), log_odds.tolist(), names) if x >= LEAST_LEAN and y >= LEAST_LOG_ODDS]
     return sorted(t for _, t in sorted(leaning)[:n_terms])
 
 
