@@ -160,7 +160,9 @@ def _decisions(turns: DataFrame, chunk: int) -> DataFrame:
     """From (conv, number, role as a place in ``ROLES``): what is done with each turn."""
     kind = turns.schema["conv"].dataType.simpleString()
     rows = turns.withColumn("chunk", div(F.col("number"), chunk))
-    level = rows.groupBy("conv", "chunk").applyInArrow(_reduce_turns, f"conv {kind}, place long, costs array<bigint>")
+    # A named number of partitions: rows are narrow but costly, and would be merged by their bytes.
+    tasks = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    level = rows.repartition(tasks, "conv", "chunk").groupBy("conv", "chunk").applyInArrow(_reduce_turns, f"conv {kind}, place long, costs array<bigint>")
     levels = [written(level, "chunks")]
     most = levels[0].agg(F.max("place")).first()[0] or 0
     while most > 0:
@@ -185,7 +187,7 @@ def _decisions(turns: DataFrame, chunk: int) -> DataFrame:
     same = F.col("conv").eqNullSafe(F.col("up_conv")) & (F.col("chunk") == F.col("place"))
     met = rows.join(states, same).select("conv", "chunk", "number", "role", "entry", "exit")
     schema = f"conv {kind}, number long, before int, state int, merged boolean, put int, step_cost long"
-    return met.groupBy("conv", "chunk").applyInArrow(_decide, schema)
+    return met.repartition(tasks, "conv", "chunk").groupBy("conv", "chunk").applyInArrow(_decide, schema)
 
 
 def repair(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
