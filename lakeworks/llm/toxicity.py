@@ -1,25 +1,30 @@
-"""Toxicity by the nearest labelled examples, with exact TF-IDF cosines from a block-max index.
+"""Toxicity by the nearest labelled examples, with exact cosines of all words from a block-max index.
 
-Terms are the lower-cased words of a text and their beginnings of three to eight letters, as far as they
-tell toxic examples from others. A text is a vector of (1 + log tf) * idf over these terms, of length
-one; idf is counted over all documents. The examples lie in blocks of ``BLOCK``; the index keeps per term
-and block the postings and the largest weight. A query adds up the block maxima of its terms, opens
+A text is a vector of its lower-cased words, each weighted (1 + log tf) * idf * lean. idf is counted over
+all documents, for words of no example too: those meet no example, but belong to the length of the text.
+``lean`` is ``FLOOR`` for every word and grows with the square of the z value by which the word tells toxic
+examples from others; so no word is left out. The examples lie in blocks of ``BLOCK``; the index keeps per
+word and block the postings and the largest weight. A query adds up the block maxima of its words, opens
 the ``FIRST_BLOCKS`` of the largest bounds and then only blocks whose bound reaches the cosine of the
-``NEAREST`` found. So the neighbours are exact, and most blocks are never opened.
+``NEAREST`` found, in one scan if those are many. So the neighbours are exact.
 
 Neighbours vote with the square of their cosine, each label weighted to its share in all labelled rows,
 against a prior of fixed weight. The votes of the examples among each other, each left out of its own
 search, fit the two numbers of a logistic calibration. ``evidence`` names the nearest examples.
 
+The order of a text's neighbours does not depend on its length, and its vote only by one division. So the
+search runs over the words of examples, and the rest of the length, whose frequencies take a join, comes after.
+
 Examples are a bounded sample of the labelled rows: up to ``PER_CLASS`` of each label, those of the
 smallest hash of doc_id. A null label is no label; of several labels of a doc_id the largest counts. A
-text without any of the terms, a null or empty one included, gets the calibrated prior; with no toxic
+text without a word of any example, a null or empty one included, gets the calibrated prior; with no toxic
 example every score is 0. Neighbours at equal cosine count in the order of the sample. Repeated rows,
 empty tables, very long texts and extra columns change nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -32,14 +37,12 @@ from pyspark.sql import functions as F
 
 from .common import blocks, ids_and_texts, texts_of, written
 
-PREFIXES = (3, 4, 5, 6, 7, 8)
 PER_CLASS = 2000
-TERMS = 2048
-FEWEST_EXAMPLES = 3  # toxic ones that must have a term
-LEAST_LEAN = 3.0  # z value of a term's log odds
-LEAST_LOG_ODDS = 1.0  # a term of many examples can lean surely but hardly
+FLOOR = 0.2  # of a word that leans nowhere
+SURE_LEAN = 3.0  # z value that adds 1 to the floor
 BLOCK = 64
 FIRST_BLOCKS = 6
+MANY_BLOCKS = 16  # from which on one scan of all is cheaper
 NEAREST = 32
 PRIOR_WEIGHT = 0.5
 EVIDENCE = 3
@@ -47,11 +50,6 @@ _LETTERS = re.compile(r"[^\W\d_]+").findall
 _SLACK = 1e-8  # bounds and cosines add the same numbers in another order
 
 
-def terms_of(word: str) -> list[str]:
-    """The word itself, and its beginnings, marked as such."""
-    return [word, *(word[:n] + "-" for n in PREFIXES if len(word) >= n)]
-
-
 def lean(with_term: Sequence[np.ndarray], examples: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
     """Log odds of a term between toxic and other examples, and their z value."""
     other, toxic = (np.asarray(x, float) for x in with_term)
@@ -61,31 +59,37 @@ def lean(with_term: Sequence[np.ndarray], examples: Sequence[int]) -> tuple[np.n
     return log_odds, log_odds / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
 
 
+def leaning(other: np.ndarray, toxic: np.ndarray, examples: Sequence[int]) -> np.ndarray:
+    """Factor of each word's weight, ``FLOOR`` at least."""
+    _, z = lean([other, toxic], examples)
+    return FLOOR + np.where(toxic > 0, np.maximum(z, 0) / SURE_LEAN, 0.0) ** 2
+
+
 class Vectors:
-    """Counts of the chosen terms, word by word through a table of words met before."""
+    """Counts of a text's words: by number where an example has the word, else by the word itself."""
 
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
-        self.met: dict[str, tuple[int, ...]] = {}
 
-    def counts(self, text: str) -> tuple[list[int], list[int]]:
-        if len(self.met) > 200_000:
-            self.met = {}
-        total: Counter[int] = Counter()
+    def counts(self, text: str) -> tuple[list[int], list[int], list[str], list[int]]:
         words = Counter(_LETTERS(text.lower()))
-        for w, n in words.items():
-            own = self.met.get(w)
-            if own is None:
-                own = self.met[w] = tuple(self.number[t] for t in terms_of(w) if t in self.number)
-            for t in own:
-                total[t] += n
-        found = sorted(total)
-        return found, [total[t] for t in found]
+        number = self.number
+        known = sorted((number[w], n) for w, n in words.items() if w in number)
+        rest = [w for w in words if w not in number]
+        return [t for t, _ in known], [n for _, n in known], rest, [words[w] for w in rest]
+
 
+def weighted(terms: np.ndarray, times: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """The vector scaled to length one, and the square of its length before."""
+    w = (1 + np.log(times)) * weight[terms]
+    square = float((w * w).sum())
+    return w / np.sqrt(square), square
 
-def weighted(terms: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    w = (1 + np.log(times)) * idf[terms]
-    return w / np.sqrt((w * w).sum())
+
+def spans(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... for sizes[0] numbers, then on from begin[1], and so forth."""
+    upto = np.cumsum(sizes)
+    return np.repeat(begin - upto + sizes, sizes) + np.arange(upto[-1])
 
 
 @dataclass
@@ -93,6 +97,7 @@ class Index:
     """Examples in blocks: postings sorted by term and block, and the largest weight per term and block."""
 
     postings: np.ndarray  # place of the example in its block
+    places: np.ndarray  # and among all
     weights: np.ndarray
     first: np.ndarray  # terms x (blocks + 1): where the postings of a term in a block begin
     most: np.ndarray  # terms x blocks
@@ -113,27 +118,52 @@ class Index:
         weight = np.concatenate([w for _, w in vectors])
         sort = np.lexsort((example, term))
         term, example, weight = term[sort], example[sort], weight[sort]
-        cell = term * n_blocks + example // BLOCK
-        first = np.searchsorted(cell, np.arange(n_terms)[:, None] * n_blocks + np.arange(n_blocks + 1))
-        most = np.zeros(n_terms * n_blocks)
-        np.maximum.at(most, cell, weight)
+        upto = np.searchsorted(term, np.arange(n_terms + 1)).astype(np.int32)
         votes = np.array([shares[int(x)] / max(1, (labels == x).sum()) for x in labels])
         votes /= votes.mean()
         prior = float((votes * labels).sum() / votes.sum())
-        return Index(example % BLOCK, weight, first, most.reshape(n_terms, n_blocks), labels, votes, ids, prior)
+        return Index.blocked(upto, example.astype(np.int32), weight, labels, votes, ids, prior)
+
+    @staticmethod
+    def blocked(upto: np.ndarray, example: np.ndarray, weight: np.ndarray, *rest) -> Index:
+        """From the postings of each term, in the order of the examples."""
+        n_terms, n_blocks = len(upto) - 1, max(1, -(-len(rest[0]) // BLOCK))
+        term = np.repeat(np.arange(n_terms), np.diff(upto))
+        cell = term * n_blocks + example // BLOCK
+        ends = np.cumsum(np.bincount(cell, minlength=n_terms * n_blocks)).astype(np.int32).reshape(n_terms, n_blocks)
+        first = np.concatenate([np.append(0, ends[:-1, -1])[:n_terms, None].astype(np.int32), ends], axis=1)
+        # Bounds are rounded up.
+        most = np.zeros(n_terms * n_blocks, np.float32)
+        starts = np.flatnonzero(np.diff(cell, prepend=-1))
+        if len(starts):
+            most[cell[starts]] = np.nextafter(np.maximum.reduceat(weight, starts).astype(np.float32), np.float32(np.inf))
+        return Index((example % BLOCK).astype(np.uint8), example, weight, first, most.reshape(n_terms, n_blocks), *rest)
+
+    def __reduce__(self):
+        # What is kept per block follows from the postings and is far larger, so it is not sent.
+        upto = np.append(self.first[:, 0], len(self.places)).astype(np.int32)
+        return Index.blocked, (upto, self.places, self.weights, self.labels, self.votes, self.ids, self.prior)
 
     def _cosines(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the examples in some blocks that share a term with the query."""
         begin, end = self.first[terms[:, None], blocks].ravel(), self.first[terms[:, None], blocks + 1].ravel()
         sizes = end - begin
-        upto = np.cumsum(sizes)
-        at = np.repeat(begin - upto + sizes, sizes) + np.arange(upto[-1])
+        at = spans(begin, sizes)
         block = np.repeat(np.tile(np.arange(len(blocks)), len(terms)), sizes)
         parts = np.repeat(np.repeat(weights, len(blocks)), sizes) * self.weights[at]
         sums = np.bincount(block * BLOCK + self.postings[at], parts, len(blocks) * BLOCK)
         hit = np.flatnonzero(sums)
         return blocks[hit // BLOCK] * BLOCK + hit % BLOCK, sums[hit]
 
+    def _all_cosines(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of all examples that share a term with the query."""
+        begin = self.first[terms, 0].astype(np.int64)
+        sizes = self.first[terms, -1] - begin
+        at = spans(begin, sizes)
+        sums = np.bincount(self.places[at], np.repeat(weights, sizes) * self.weights[at], len(self.labels))
+        hit = np.flatnonzero(sums)
+        return hit, sums[hit]
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k examples with the largest cosine above 0; ties by doc_id.
 
@@ -153,32 +183,39 @@ class Index:
                     opened = opened[bounds[opened] + _SLACK >= cosines[-1]]
             if not len(opened):
                 break
-            at, more = self._cosines(terms, weights, opened)
-            if len(found) == k:
-                near = more + _SLACK >= cosines[-1]
-                at, more = at[near], more[near]
-            found, cosines = np.concatenate([found, at[at != without]]), np.concatenate([cosines, more[at != without]])
+            if len(opened) > MANY_BLOCKS:
+                # Those opened before are scanned again.
+                found, cosines = np.empty(0, np.int64), np.empty(0)
+                at, more = self._all_cosines(terms, weights)
+            else:
+                at, more = self._cosines(terms, weights, opened)
+            at, more = at[at != without], more[at != without]
+            found, cosines = np.concatenate([found, at]), np.concatenate([cosines, more])
+            if len(found) > k:
+                near = cosines + _SLACK >= np.partition(cosines, -k)[-k]
+                found, cosines = found[near], cosines[near]
             keep = np.lexsort((self.ids[found], -cosines.round(9)))[:k]
             found, cosines = found[keep], cosines[keep]
         return found, cosines
 
-    def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
+    def forces(self, found: np.ndarray, cosines: np.ndarray) -> tuple[float, float]:
+        """Of the toxic neighbours, and of all."""
         force = self.votes[found] * cosines**2
-        return float(((force * self.labels[found]).sum() + PRIOR_WEIGHT * self.prior) / (force.sum() + PRIOR_WEIGHT))
+        return float((force * self.labels[found]).sum()), float(force.sum())
+
+    def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
+        toxic, total = self.forces(found, cosines)
+        return (toxic + PRIOR_WEIGHT * self.prior) / (total + PRIOR_WEIGHT)
 
 
 @dataclass
 class Model:
-    terms: list[str]
-    idf: np.ndarray
+    weight: np.ndarray  # idf * lean
+    n_docs: int
     index: Index
     slope: float
     offset: float
 
-    def calibrated(self, vote: float) -> float:
-        z = self.slope * np.log(vote / (1 - vote)) + self.offset
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
 
 def calibration(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic fit on the log odds of the votes, by Newton steps with a slight pull to (1, 0)."""
@@ -202,110 +239,136 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tu
     return picked, counts
 
 
-def choose_terms(examples: DataFrame, sizes: dict[int, int], n_terms: int = TERMS) -> list[str]:
-    """Terms that lean to toxic examples, from rows ``text``, ``label`` of a bounded sample."""
+def example_words(examples: DataFrame, sizes: dict[int, int]) -> tuple[list[str], np.ndarray]:
+    """All words of a bounded sample with rows ``text``, ``label``, and their ``leaning``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: tuple[Counter, Counter] = (Counter(), Counter())
         for block in blocks(batches):
             for text, label in zip(texts_of(block.column(0)), block.column(1).to_pylist()):
-                total[label].update({t for w in set(_LETTERS(text.lower())) for t in terms_of(w)})
+                total[label].update(set(_LETTERS(text.lower())))
         names = list(total[0].keys() | total[1].keys())
         columns = [pa.array(names, pa.string()), *(pa.array([c[t] for t in names], pa.int64()) for c in total)]
         yield pa.RecordBatch.from_arrays(columns, names=["term", "other", "toxic"])
 
     found = examples.select("text", "label").mapInArrow(count, "term string, other long, toxic long")
     totals = found.groupBy("term").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
-    # Toxic examples in the bounded sample bound the rows.
-    table = totals.filter(F.col("toxic") >= FEWEST_EXAMPLES).toArrow()
-    if not table.num_rows:
-        return []
-    log_odds, z = lean([table["other"].to_numpy(), table["toxic"].to_numpy()], [sizes.get(0, 0), sizes.get(1, 0)])
-    names = table["term"].to_pylist()
-    leaning = [(-x, t) for x, y, t in zip(z.tolist(), log_odds.tolist(), names) if x >= LEAST_LEAN and y >= LEAST_LOG_ODDS]
-    return sorted(t for _, t in sorted(leaning)[:n_terms])
+    # The words of at most twice ``PER_CLASS`` texts.
+    table = totals.toArrow().sort_by("term")
+    return table["term"].to_pylist(), leaning(table["other"].to_numpy(), table["toxic"].to_numpy(), [sizes.get(0, 0), sizes.get(1, 0)])
 
 
 def vectors(docs: DataFrame, terms: list[str], *more: str) -> DataFrame:
-    """Per row: doc_id, ``more``, and the counts of the terms it has."""
+    """Per row: doc_id, ``more``, a number, the counts of example words, and the other words with theirs."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
+    kinds = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Vectors(shared.value)
         for block in blocks(batches):
             found = [counter.counts(x) for x in texts_of(block.column(1))]
-            lists = [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in range(2)]
-            yield pa.RecordBatch.from_arrays([block.column(0), *block.columns[2:], *lists], names=["doc_id", *more, "terms", "times"])
+            lists = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([block.column(0), *block.columns[2:], *lists], names=["doc_id", *more, "terms", "times", "rest", "rest_times"])
 
     rows = ids_and_texts(docs, *more)
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", *more))
-    return rows.mapInArrow(run, f"{kept}, terms array<int>, times array<int>")
+    found = rows.mapInArrow(run, f"{kept}, terms array<int>, times array<int>, rest array<string>, rest_times array<int>")
+    return found.withColumn("row", F.monotonically_increasing_id())
+
+
+def lists_of(column: pa.Array, kind: type) -> list[np.ndarray]:
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False).astype(kind), np.cumsum(column.value_lengths().to_numpy())
+    return np.split(flat, ends[:-1])
 
 
-def learn(counted: DataFrame, picked: DataFrame, counts: dict[int, int], terms: list[str]) -> Model | None:
+def learn(counted: DataFrame, picked: DataFrame, counts: dict[int, int], terms: list[str], leans: np.ndarray) -> Model | None:
     """Index and calibration from the ``vectors`` of all documents and the sampled ids."""
     n_docs = counted.count()
+    # A row per word of the examples.
+    found = counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).toArrow()
     df = np.zeros(len(terms))
-    for r in counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():  # a row per term
-        df[r["t"]] = r["n"]
-    idf = np.log((1 + n_docs) / (1 + df)) + 1
+    df[found["t"].to_numpy()] = found["n"].to_numpy()
+    weight = (np.log((1 + n_docs) / (1 + df)) + 1) * leans
     table = counted.select("doc_id", "terms", "times").join(F.broadcast(picked), "doc_id").toArrow().sort_by("doc_id")
     labels = table["label"].to_numpy()
     if not len(labels) or not (labels == 1).any() or not terms:
         return None
     own = []
-    for t, n in zip(table["terms"].to_pylist(), table["times"].to_pylist()):
-        t, n = np.array(t, np.int64), np.array(n, float)
-        own.append((t, weighted(t, n, idf) if len(t) else n))
+    for t, n in zip(*(lists_of(table[c].combine_chunks(), k) for c, k in (("terms", np.int64), ("times", float)))):
+        own.append((t, weighted(t, n, weight)[0] if len(t) else n))
     shares = {k: n / sum(counts.values()) for k, n in counts.items()}
     index = Index.build(own, labels, table["doc_id"].to_numpy(), shares, len(terms))
     where = {int(d): i for i, d in enumerate(index.ids)}
     votes = np.array([index.vote(*index.nearest(t, w, NEAREST, where[int(d)])) if len(t) else index.prior for d, (t, w) in zip(table["doc_id"].to_numpy(), own)])
     each = np.array([shares[int(x)] / (labels == x).sum() for x in labels]) * len(labels)
-    return Model(terms, idf, index, *calibration(votes, labels, each))
+    return Model(weight, n_docs, index, *calibration(votes, labels, each))
+
+
+def rest_squares(counted: DataFrame, n_docs: int) -> DataFrame:
+    """Per ``row`` that has words of no example: ``square``, what those add to the square of its length."""
+    rest = counted.select("row", F.explode(F.arrays_zip("rest", "rest_times")).alias("w")).select("row", F.col("w.rest").alias("word"), F.col("w.rest_times").alias("n"))
+    # Most of these words are in one document only, and need not be brought back.
+    known = rest.groupBy("word").agg(F.count("*").alias("df")).filter("df > 1")
+    idf = F.log((1.0 + n_docs) / (1.0 + F.coalesce("df", F.lit(1)))) + 1
+    part = ((1 + F.log("n")) * idf * FLOOR) ** 2
+    # Whole units, so that the order of the sum does not matter.
+    return rest.join(known, "word", "left").groupBy("row").agg((F.sum(F.round(part * 1e9).cast("long")) / 1e9).alias("square"))
 
 
-def score(counted: DataFrame, model: Model | None, *more: str) -> DataFrame:
+def score(counted: DataFrame, model: Model, *more: str) -> DataFrame:
     """Per row of ``vectors``: doc_id, ``more``, score, and evidence (doc_ids of the nearest examples)."""
     shared = counted.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        known: dict[bytes, tuple[float, list[int]]] = {}
+        known: dict[bytes, tuple[float, float, float, list[int]]] = {}
         for batch in batches:
+            if not batch.num_rows:
+                continue
             if len(known) > 50_000:
                 known = {}
-            k = len(more) + 1
-            scores, evidence = [], []
-            for t, n in zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist()):
-                if m is None:
-                    found = (0.0, [])
-                elif not t:
-                    found = (m.calibrated(m.index.prior), [])
-                else:
-                    t, n = np.array(t), np.array(n)
-                    key = t.tobytes() + n.tobytes()
-                    found = known.get(key)
-                    if found is None:
-                        at, cosines = m.index.nearest(t, weighted(t, n, m.idf), NEAREST)
-                        found = known[key] = (m.calibrated(m.index.vote(at, cosines)), m.index.ids[at[:EVIDENCE]].tolist())
-                scores.append(found[0])
-                evidence.append(found[1])
-            columns = [*batch.columns[:k], pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *more, "score", "evidence"])
-
-    rows = counted.select("doc_id", *more, "terms", "times")
+            k = len(more) + 2
+            rows = []
+            for t, n in zip(lists_of(batch.column(k), np.int64), lists_of(batch.column(k + 1), float)):
+                if not len(t):
+                    rows.append((0.0, 0.0, 0.0, []))
+                    continue
+                key = hashlib.blake2b(t.tobytes() + n.tobytes(), digest_size=16).digest()
+                found = known.get(key)
+                if found is None:
+                    w, square = weighted(t, n, m.weight)
+                    at, cosines = m.index.nearest(t, w, NEAREST)
+                    # Forces at the length the text would have by these words alone.
+                    toxic, total = m.index.forces(at, cosines)
+                    found = known[key] = (toxic * square, total * square, square, m.index.ids[at[:EVIDENCE]].tolist())
+                rows.append(found)
+            made = [pa.array([r[i] for r in rows], pa.float64()) for i in range(3)]
+            columns = [*batch.columns[:k], *made, pa.array([r[3] for r in rows], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *more, "row", "toxic_force", "force", "known_square", "evidence"])
+
+    rows = counted.select("doc_id", *more, "row", "terms", "times")
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", *more))
-    return rows.mapInArrow(run, f"{kept}, score double, evidence array<long>")
+    found = rows.mapInArrow(run, f"{kept}, row long, toxic_force double, force double, known_square double, evidence array<long>")
+    found = found.join(rest_squares(counted, model.n_docs), "row", "left")
+    square = F.col("known_square") + F.coalesce("square", F.lit(0.0))
+    vote = (F.col("toxic_force") + PRIOR_WEIGHT * model.index.prior * square) / (F.col("force") + PRIOR_WEIGHT * square)
+    vote = F.when(F.col("force") > 0, vote).otherwise(model.index.prior)
+    vote = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), vote))
+    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), model.slope * F.log(vote / (1 - vote)) + model.offset))
+    return found.select("doc_id", *more, (1 / (1 + F.exp(-z))).alias("score"), "evidence")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *more: str, per_class: int = PER_CLASS) -> DataFrame:
     """Score all rows of ``docs`` by those that ``labels`` (doc_id, label: 1 toxic, 0 not) names."""
     picked, counts = sample(docs, labels, per_class)
+    none = docs.select("doc_id", *more, F.lit(0.0).alias("score"), F.array().cast("array<long>").alias("evidence"))
+    if not counts.get(1):
+        return none
     picked = written(picked, "examples")
     sizes = {k: min(n, per_class) for k, n in counts.items()}
     # At most twice ``per_class`` ids, so they fit a broadcast.
     examples = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    terms = choose_terms(examples, sizes) if counts else []
+    terms, leans = example_words(examples, sizes)
     counted = written(vectors(docs, terms, *more), "terms")
-    return score(counted, learn(counted, picked, counts, terms), *more)
+    model = learn(counted, picked, counts, terms, leans)
+    return none if model is None else score(counted, model, *more)

@@ -1,3 +1,4 @@
+import pickle
 import zlib
 
 import numpy as np
@@ -90,3 +91,54 @@ def test_awkward_rows_and_few_labels(spark):
     none = X.toxicity(docs, labels.limit(0)).collect()
     assert len(none) == docs.count() and {r["score"] for r in none} == {0.0}
     assert X.toxicity(spark.createDataFrame([], SCHEMA), labels).collect() == []
+
+
+def test_cosines_are_of_all_words(spark):
+    """Against a dense matrix over every word, those of no example included."""
+    rng = np.random.default_rng(4)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    texts = [" ".join(rng.choice(words[:40] if i < 12 else words, rng.integers(4, 30))) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    tokens = [t.split() for t in texts]
+    examples = range(12)
+    vocabulary = sorted({w for t in tokens for w in t})
+    df = {w: sum(w in t for t in tokens) for w in vocabulary}
+    known = sorted({w for i in examples for w in tokens[i]})
+    assert set(vocabulary) - set(known)
+    labels = np.array([i % 2 for i in examples])
+    with_word = [np.array([sum(w in tokens[i] for i in examples if labels[i] == k) for w in known]) for k in range(2)]
+    leans = dict(zip(known, X.leaning(*with_word, [6, 6])))
+    assert min(leans.values()) == X.FLOOR
+    dense = np.array([[(1 + np.log(t.count(w))) * (np.log(41 / (1 + df[w])) + 1) * leans.get(w, X.FLOOR) if w in t else 0.0 for w in vocabulary] for t in tokens])
+    dense /= np.linalg.norm(dense, axis=1)[:, None]
+    cosines = dense @ dense[:12].T
+    np.fill_diagonal(cosines[:12], 0)
+    vote = lambda c: ((c**2 * labels).sum() + X.PRIOR_WEIGHT / 2) / ((c**2).sum() + X.PRIOR_WEIGHT)
+    slope, offset = X.calibration(np.array([vote(c) for c in cosines[:12]]), labels, np.ones(12))
+    full = dense @ dense[:12].T
+    got = {r["doc_id"]: r for r in X.toxicity(docs, spark.createDataFrame([(i, int(labels[i])) for i in examples], "doc_id long, label int")).collect()}
+    for i, c in enumerate(full):
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-(slope * np.log(vote(c) / (1 - vote(c))) + offset))))
+        assert got[i]["evidence"] == sorted(range(12), key=lambda j: (-c[j].round(9), j))[: X.EVIDENCE]
+
+
+def test_one_scan_of_many_blocks_as_brute_force():
+    index, vectors, _ = random_index(5, n=3000)
+    assert len(index.most[0]) > X.FIRST_BLOCKS + X.MANY_BLOCKS
+    dense = np.zeros((len(vectors), 40))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    for q in range(0, 300, 7):
+        t, w = vectors[q]
+        if len(t):
+            want = sorted((-c, i) for i, c in enumerate((dense @ dense[q]).round(9)) if c > 0 and i != q)[: X.NEAREST]
+            me = int(np.flatnonzero(index.ids == q)[0])
+            assert index.ids[index.nearest(t, w, X.NEAREST, without=me)[0]].tolist() == [i for _, i in want]
+
+
+def test_index_as_sent():
+    index, _, _ = random_index(6)
+    sent = pickle.dumps(index)
+    back = pickle.loads(sent)
+    assert all(np.array_equal(x, y) for x, y in zip(vars(index).values(), vars(back).values()))
+    assert len(sent) < sum(x.nbytes for x in vars(index).values() if isinstance(x, np.ndarray))
