@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakeworks.llm import bpe, exact_dedup, fertility, mixing, simhash
 from lakeworks.llm.common import written
+from lakeworks.llm.numbering import number_as_stored
 from lakeworks.queries.registry import Tables
 from lakeworks.session import tune
 
@@ -40,9 +41,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, in the order of the mix."""
+    """Token ids of every document, and ``position``: its place in the mix."""
     tune(spark)
-    return bpe.encode(docs, RANKS, PATTERN)
+    return bpe.encode(number_as_stored(docs, ["doc_id", "text"], "position"), RANKS, PATTERN, more=["position"])
 
 
 STAGES = [

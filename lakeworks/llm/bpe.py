@@ -236,10 +236,11 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True, more: Sequence[str] = ()) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``with_ids`` the ids.
 
-    ``decoded_sha256`` is of the bytes the ids decode to. ``path`` must exist on every executor.
+    ``decoded_sha256`` is of the bytes the ids decode to. ``path`` must exist on every executor. ``more``
+    names columns to carry along, after doc_id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,11 +253,12 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> D
             lengths = np.fromiter((len(x) >> 2 for x in ids), np.int64, len(ids))
             columns = [
                 block.column(0),
+                *block.columns[2:],
                 pa.array(lengths),
                 pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
                 pa.array([hashlib.sha256(words.decode(x)).hexdigest() for x in ids]),
             ]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            names = ["doc_id", *more, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 flat = np.frombuffer(b"".join(ids), "<i4")
@@ -266,9 +268,10 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> D
         words.known_words.forget()
         words.known_pieces.forget()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return ids_and_texts(docs).mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
+    rows = ids_and_texts(docs, *more)
+    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", *more))
+    schema = f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return rows.mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:

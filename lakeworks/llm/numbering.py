@@ -34,6 +34,25 @@ def number_rows(df: DataFrame, order: Sequence[str | Column], name: str = "numbe
     return rows.join(starts, "part").withColumn(name, F.col("start") + F.col("at")).drop("part", "at", "start")
 
 
+def number_as_stored(df: DataFrame, columns: Sequence[str], name: str = "number") -> DataFrame:
+    """Some columns, and each row's number from 0 in the order of the files that ``df`` was read from.
+
+    Reading does not keep that order: Spark packs the parts of files into tasks by their size. A ``df``
+    that is not just a read table is written first, so its order is that of its partitions.
+    """
+    if df._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        df = written(df.select(*columns), "stored")
+    stored = df.metadataColumn("_metadata")
+    file, at = stored.getField("file_path").alias("of_file"), stored.getField("row_index").alias("at")
+    # One row per file. Spark numbers the files it writes, with five digits or more.
+    sizes = df.select(file, at).groupBy("of_file").agg((F.max("at") + 1).alias("n"))
+    part = F.regexp_extract("of_file", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    earlier = Window.orderBy(part.asc_nulls_first(), "of_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.broadcast(sizes.select(F.col("of_file").alias("file"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start")))
+    rows = df.select(*columns, file, at)
+    return rows.join(starts, F.col("of_file") == F.col("file")).select(*columns, (F.col("start") + F.col("at")).alias(name))
+
+
 def number_in_groups(df: DataFrame, group: str, order: Sequence[str | Column], name: str = "number") -> DataFrame:
     """Add the row number from 0 within each group, null being a group too."""
     rows = sorted_rows(df, [group, *order])

@@ -69,3 +69,28 @@ def test_empty_table(spark, sf):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, sf)
         assert docs.collect() == []
+
+
+def test_positions_are_those_of_the_mix(spark, sf):
+    """The mix lies in many files of unequal size, which Spark reads in another order."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        docs = mixing.in_mixed_order(P.Tables(spark, sf).documents.repartition(7)).withColumn("text", F.expr("repeat(text, 1 + cast(doc_id % 5 as int))"))
+        docs = P.written(docs, "mix")
+        rows = P.encode(spark, docs, sf).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    place = {r["doc_id"]: r["position"] for r in mixing.mixed(P.Tables(spark, sf).documents).collect()}
+    order = [r["doc_id"] for r in sorted(rows, key=lambda r: r["position"])]
+    assert order == sorted(place, key=place.get)
+    assert sorted(r["position"] for r in rows) == list(range(len(place)))
+
+
+def test_run_carries_the_order_of_the_mix(spark, sf):
+    rows = P.run(spark, sf).select("doc_id", "position").collect()
+    docs = P.Tables(spark, sf).documents
+    for _, stage in P.STAGES[:3]:
+        docs = P.written(stage(spark, docs, sf), "stage")
+    place = {r["doc_id"]: r["position"] for r in mixing.mixed(docs).collect()}
+    assert [r["doc_id"] for r in sorted(rows, key=lambda r: r["position"])] == sorted(place, key=place.get)
+    assert len({r["position"] for r in rows}) == len(rows) == len(place)
