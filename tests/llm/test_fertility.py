@@ -1,4 +1,5 @@
 import re
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -82,3 +83,22 @@ def test_stage_returns_whole_rows(spark):
 
 def test_empty_table(spark):
     assert X.measures(spark.createDataFrame([], SCHEMA), queries.RANKS, queries.PATTERN, queries.PIECES).collect() == []
+
+
+# The first articles of the Human Rights declaration.
+DECLARATION = {
+    "yo": ("latin_marked", "Gbogbo ènìyàn ni a bí ní òmìnira; iyì àti ẹ̀tọ́ kọ̀ọ̀kan sì dọ́gba. Wọ́n ní ẹ̀bùn ti làákàyè àti ti ẹ̀rí-ọkàn, ó sì yẹ kí wọn ó máa hùwà sí ara wọn gẹ́gẹ́ bí ọmọ ìyá. Ẹnì kọ̀ọ̀kan ló ní àǹfàní sí gbogbo ẹ̀tọ́ àti òmìnira tí a ti gbé kalẹ̀ nínú ìkéde yìí láìfi ti ọ̀rọ̀ ìyàtọ̀ ẹ̀yà kankan ṣe; ìyàtọ̀ bí i ti ẹ̀yà ènìyàn, àwọ̀, akọ-n̄-bábo, èdè, ẹ̀sìn, ètò ìṣèlú tàbí ìyàtọ̀ nípa èrò ẹni."),
+    "vi": ("latin_marked", "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. Mọi con người đều được tạo hóa ban cho lý trí và lương tâm và cần phải đối xử với nhau trong tình bằng hữu. Ai cũng được hưởng những quyền tự do ghi trong bản Tuyên ngôn này không phân biệt đối xử vì bất cứ lý do nào, như chủng tộc, màu da, nam nữ, ngôn ngữ, tôn giáo, chính kiến hay quan niệm."),
+    "am": ("unlisted", "የሰው ልጅ ሁሉ ሲወለድ ነጻና በክብርና በመብትም እኩልነት ያለው ነው። የተፈጥሮ ማስተዋልና ሕሊና ስላለው አንዱ ሌላውን በወንድማማችነት መንፈስ መመልከት ይገባዋል። እያንዳንዱ ሰው የዘር የቀለም የጾታ የቋንቋ የሃይማኖት የፖለቲካ ወይም የሌላ ዓይነት አስተሳሰብ የብሔራዊ ወይም የኅብረተሰብ ታሪክ የሀብት የትውልድ ወይም የሌላ ደረጃ ልዩነት ሳይኖሩ በዚሁ ውሳኔ የተዘረዘሩት መብቶችንና ነጻነቶች ሁሉ እንዲከበሩለት ይገባል። እያንዳንዱ ሰው የመኖር፣ በነጻነትና በሰላም የመኖር መብት አለው።"),
+    "ka": ("unlisted", "ყველა ადამიანი იბადება თავისუფალი და თანასწორი თავისი ღირსებითა და უფლებებით. მათ მინიჭებული აქვთ გონება და სინდისი და ერთმანეთის მიმართ უნდა იქცეოდნენ ძმობის სულისკვეთებით. ყოველ ადამიანს უნდა ჰქონდეს ამ დეკლარაციით გამოცხადებული ყველა უფლება და ყველა თავისუფლება, განურჩევლად რაიმე განსხვავებისა, სახელდობრ რასის, კანის ფერის, სქესის, ენის, რელიგიის, პოლიტიკური თუ სხვა რწმენის, ეროვნული თუ სოციალური წარმოშობის, ქონებრივი, წოდებრივი თუ სხვა მდგომარეობისა."),
+    "cs": ("latin", "Všichni lidé rodí se svobodní a sobě rovní co do důstojnosti a práv. Jsou nadáni rozumem a svědomím a mají spolu jednat v duchu bratrství. Každý má všechna práva a všechny svobody, stanovené touto deklarací, bez jakéhokoli rozlišování, zejména podle rasy, barvy, pohlaví, jazyka, náboženství, politického nebo jiného smýšlení, národnostního nebo sociálního původu, majetku, rodu nebo jiného postavení."),
+}
+
+
+@pytest.mark.parametrize("form", ["NFC", "NFD"])
+@pytest.mark.parametrize("lang", DECLARATION)
+def test_clean_text_of_other_languages_is_kept(vocabularies, lang, form):
+    script, text = DECLARATION[lang]
+    found = X.judge([unicodedata.normalize(form, text)], vocabularies)
+    assert found["kept"] == [True], {c: v[0] for c, v in found.items()}
+    assert form == "NFD" or found["script"] == [script]
