@@ -3,8 +3,10 @@
 Each language has a model of hashed character n-grams of its words, counted over all training
 documents. A word's likelihood in a language is the product over its n-grams, and a document is a
 mixture: expectation-maximisation estimates which share of its words each language has written. The
-set of languages is chosen by penalised likelihood: single languages, then the two and three with the
-largest shares, each further one costing ``PENALTY`` times the logarithm of the number of words.
+set of languages is chosen by penalised likelihood: single languages, then the two, three and more with the
+largest shares, each further one costing ``PENALTY`` times the logarithm of the number of words. A set
+grows while the likelihood gains more than that; the third is tried in any case. ``languages`` and
+``shares`` name the set, from the largest share down.
 
 Words repeat, so n-grams are counted and scored once per distinct word of a block. Training documents
 without a language are left out. Text that is null or has no letter is ``und`` with score 0, as is
@@ -29,7 +31,7 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15  # per order
 SMOOTHING = 0.5
 PENALTY = 4.0
-MOST_LANGUAGES = 3
+LANGUAGES_TRIED = 3  # whether or not the second gains
 ROUNDS = 12
 STRAY = 1e-5  # likelihood, relative to a word's best language, below which none falls
 UNKNOWN = "und"
@@ -85,11 +87,18 @@ class Model:
         return np.maximum(np.exp(total - total.max(axis=1, keepdims=True)), STRAY)
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        names, scores, _, _ = self.mixtures(texts)
+        return names, scores
+
+    def mixtures(self, texts: list[str]) -> tuple[list[str], list[float], list[list[str]], list[list[float]]]:
+        """Per text: the main language, its share, and all languages of its set with their shares."""
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        sets: list[list[str]] = [[] for _ in texts]
+        parts: list[list[float]] = [[] for _ in texts]
         own = [words_of(x) for x in texts]
         judged = [i for i, w in enumerate(own) if w and has_letter(w)] if self.languages else []
         if not judged:
-            return names, scores
+            return names, scores, sets, parts
         number = {w: k for k, w in enumerate(dict.fromkeys(w for i in judged for w in own[i]))}
         likely = self.word_likelihoods(list(number))
         entries = []
@@ -100,11 +109,13 @@ class Model:
         while first < len(judged):
             last = max(first + 1, int(np.searchsorted(np.cumsum(sizes[first:]), step, side="right")) + first)
             part = entries[first:last]
-            best, share = chosen(likely[np.concatenate([w for w, _ in part])], np.concatenate([c for _, c in part]), sizes[first:last])
-            for i, b, s in zip(judged[first:last], best.tolist(), share.tolist()):
-                names[i], scores[i] = self.languages[b], s
+            shares = selected(likely[np.concatenate([w for w, _ in part])], np.concatenate([c for _, c in part]), sizes[first:last])
+            for i, own_shares in zip(judged[first:last], shares):
+                found = [k for k in np.argsort(-own_shares, kind="stable").tolist() if own_shares[k] > 0]
+                sets[i], parts[i] = [self.languages[k] for k in found], own_shares[found].tolist()
+                names[i], scores[i] = sets[i][0], parts[i][0]
             first = last
-        return names, scores
+        return names, scores, sets, parts
 
 
 def estimate(likely: np.ndarray, times: np.ndarray, starts: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,26 +130,40 @@ def estimate(likely: np.ndarray, times: np.ndarray, starts: np.ndarray, share: n
     return share, np.add.reduceat(fit, starts)
 
 
-def chosen(likely: np.ndarray, times: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The main language of the best set of each document, and its share there."""
+def selected(likely: np.ndarray, times: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Shares of all languages in each document, 0 for those outside its best set."""
     starts = np.cumsum(sizes) - sizes
     times = times.astype(float)
     n_docs, n_languages = len(sizes), likely.shape[1]
     alone = np.add.reduceat(np.log(likely) * times[:, None], starts, axis=0)
     best = alone.argmax(axis=1)
-    fit, share = alone[np.arange(n_docs), best], np.ones(n_docs)
+    fit, out = alone[np.arange(n_docs), best], np.zeros((n_docs, n_languages))
+    out[np.arange(n_docs), best] = 1
     all_, _ = estimate(likely, times, starts, np.full((n_docs, n_languages), 1 / n_languages), ROUNDS)
     order = np.argsort(-all_, axis=1, kind="stable")
     price = PENALTY * np.log(1 + np.add.reduceat(times, starts))
-    for m in range(2, min(MOST_LANGUAGES, n_languages) + 1):
-        begin = np.zeros((n_docs, n_languages))
-        np.put_along_axis(begin, order[:, :m], 1 / m, axis=1)
-        shares, fits = estimate(likely, times, starts, begin, ROUNDS)
-        better = fits - (m - 1) * price > fit
-        fit = np.where(better, fits - (m - 1) * price, fit)
-        best = np.where(better, shares.argmax(axis=1), best)
-        share = np.where(better, shares.max(axis=1), share)
-    return best, np.clip(share, 0.0, 1.0)
+    row_of = np.repeat(np.arange(n_docs), sizes)
+    growing = np.arange(n_docs)  # documents whose set may still gain
+    for m in range(2, n_languages + 1):
+        rows = np.isin(row_of, growing)
+        begin = np.zeros((len(growing), n_languages))
+        np.put_along_axis(begin, order[growing, :m], 1 / m, axis=1)
+        own = np.cumsum(sizes[growing]) - sizes[growing]
+        shares, fits = estimate(likely[rows], times[rows], own, begin, ROUNDS)
+        better = fits - (m - 1) * price[growing] > fit[growing]
+        fit[growing[better]] = (fits - (m - 1) * price[growing])[better]
+        out[growing[better]] = shares[better]
+        if m >= LANGUAGES_TRIED:
+            growing = growing[better]
+        if not len(growing):
+            break
+    return np.clip(out, 0.0, 1.0)
+
+
+def chosen(likely: np.ndarray, times: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The main language of the best set of each document, and its share there."""
+    shares = selected(likely, times, sizes)
+    return shares.argmax(axis=1), shares.max(axis=1)
 
 
 def learn(training: DataFrame) -> Model:
@@ -186,15 +211,16 @@ def learn(training: DataFrame) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, *more: str) -> DataFrame:
-    """Per row: doc_id, lang_pred, score; ``more`` names columns to carry along."""
+    """Per row: doc_id, lang_pred, score, languages, shares; ``more`` names columns to carry along."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            names, scores = shared.value.predict(texts_of(block.column(1)))
+            names, scores, sets, parts = shared.value.mixtures(texts_of(block.column(1)))
             columns = [block.column(0), *block.columns[2:], pa.array(names), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *more, "lang_pred", "score"])
+            columns += [pa.array(sets, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *more, "lang_pred", "score", "languages", "shares"])
 
     rows = ids_and_texts(docs, *more)
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", *more))
-    return rows.mapInArrow(run, f"{kept}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{kept}, lang_pred string, score double, languages array<string>, shares array<double>")

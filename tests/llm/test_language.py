@@ -72,3 +72,15 @@ def test_awkward_rows_and_nothing_to_learn(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert X.predict(empty, model).collect() == []
     assert {r["lang_pred"] for r in X.predict(docs, X.learn(empty)).collect()} == {X.UNKNOWN}
+
+
+def test_four_languages_and_their_shares(spark):
+    words = {"de": "der Hund und die Katze", "en": "the dog with this cat", "fr": "le chien avec une souris", "it": "gli uccelli sono nella gabbia", "pl": "szczur zjada świeży chrząszcz"}
+    rows = [(i, (t + " ") * 30, lang) for i, (lang, t) in enumerate(words.items())]
+    docs = spark.createDataFrame(rows + [(9, " ".join((words[x] + " ") * n for x, n in (("de", 40), ("en", 30), ("fr", 20), ("it", 10))), None), (10, "", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in X.predict(docs, X.learn(docs)).collect()}
+    assert got[9]["languages"] == ["de", "en", "fr", "it"] and got[9]["lang_pred"] == "de"
+    assert got[9]["shares"] == pytest.approx([0.4, 0.3, 0.2, 0.1], abs=0.03)
+    assert got[9]["score"] == got[9]["shares"][0] and sum(got[9]["shares"]) == pytest.approx(1)
+    assert got[0]["languages"] == ["de"] and got[0]["shares"] == [1.0]
+    assert got[10]["languages"] == [] == got[10]["shares"]
