@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries.registry import Tables
-from . import bpe, chat, exact_dedup, fertility, language, mixing, quality_fm, sharding, simhash, toxicity
+from . import alignment, bpe, chat, exact_dedup, fertility, language, mixing, periodic, quality_fm, sharding, simhash, toxicity, word_bpe
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,8 @@ ORACLES: dict[str, str] = {}
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 PATTERN = public_tokenizers.PATTERN
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def query(name: str, oracle: str | None = None):
@@ -170,3 +173,29 @@ FROM d WINDOW w AS (PARTITION BY s)
 @query("op10_exact_dedup", OP10_SQL)
 def op10(t: Tables) -> DataFrame:
     return exact_dedup.exact_duplicates(t.documents)
+
+
+def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """In one document of ten, the words from some place on repeat a few of the original ones to the end."""
+    h = zlib.crc32(("" if doc_id is None else str(doc_id)).encode())
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+@query("op11_periodic")
+def op11(t: Tables) -> DataFrame:
+    return periodic.digests(periodic.find_runs(t.documents, alter=repeated_tail))
+
+
+@query("op12_word_bpe")
+def op12(t: Tables) -> DataFrame:
+    return word_bpe.digests(word_bpe.encode(t.documents, WORDS))
+
+
+@query("op13_alignment")
+def op13(t: Tables) -> DataFrame:
+    return alignment.align(t.documents, BYTES, PATTERN, PIECES)
