@@ -58,6 +58,16 @@ def held_out(remainder: int, of: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % of == remainder
 
 
+def one_each(docs: DataFrame, picked: DataFrame, *more: str) -> DataFrame:
+    """One row per id of a bounded sample: doc_id, label, text and ``more``, of the smallest hash of the text.
+
+    Copies of a row, however many, are set aside before anything is counted, sent or collected.
+    """
+    rows = docs.select("doc_id", "text", *more).join(F.broadcast(picked), "doc_id")
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), F.col("text"), *more)).alias("row")
+    return rows.groupBy("doc_id", "label").agg(first).select("doc_id", "label", *(F.col("row")[c].alias(c) for c in ("text", *more)))
+
+
 def lower_hex(digests: Sequence[bytes]) -> list[str]:
     return [x.hex() for x in digests]
 

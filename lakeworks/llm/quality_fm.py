@@ -11,8 +11,9 @@ The machine is fitted on a bounded sample of labelled rows: up to ``PER_CLASS``
 the smallest hash of doc_id, weighted to the shares that the labels have in all training rows.
 
 Null text counts as empty, null n_chars as unknown; both have features of their own. A null label is no
-label; of several labels of one doc_id the largest counts. With no labels at all every score is 0.5.
-Repeated rows, ties, empty tables, very long texts and extra columns change nothing.
+label; of several labels of one doc_id the largest counts, and of several rows the one of the smallest hash of its
+text, so a repeated row enters the fit once. Every row is scored by its own text. With no labels at all every score is 0.5.
+Very long texts are read whole, an empty table gives an empty result, and extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, ids_and_texts, texts_of
+from .common import blocks, ids_and_texts, one_each, texts_of
 
 PER_CLASS = 3000
 WORD_SLOTS = 1 << 15
@@ -158,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mac
     sample = picked[0]
     for other in picked[1:]:
         sample = sample.unionByName(other)
-    texts = docs.select("doc_id", "text", "n_chars").join(F.broadcast(sample), "doc_id")
+    texts = one_each(docs, sample, "n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):

@@ -16,10 +16,11 @@ The order of a text's neighbours does not depend on its length, and its vote onl
 search runs over the words of examples, and the rest of the length, whose frequencies take a join, comes after.
 
 Examples are a bounded sample of the labelled rows: up to ``PER_CLASS`` of each label, those of the
-smallest hash of doc_id. A null label is no label; of several labels of a doc_id the largest counts. A
-text without a word of any example, a null or empty one included, gets the calibrated prior; with no toxic
-example every score is 0. Neighbours at equal cosine count in the order of the sample. Repeated rows,
-empty tables, very long texts and extra columns change nothing.
+smallest hash of doc_id. A null label is no label; of several labels of a doc_id the largest counts, and of several
+rows the one of the smallest hash of its text, so a repeated row is one example. Every row is scored by its own text, and
+counts in the frequencies of words. A text without a word of any example, a null or empty one included, gets the
+calibrated prior; with no toxic example every score is 0. Neighbours at equal cosine count in the order of the sample.
+Very long texts are read whole, an empty table gives an empty result, and extra columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, ids_and_texts, texts_of, written
+from .common import blocks, ids_and_texts, one_each, texts_of, written
 
 PER_CLASS = 2000
 FLOOR = 0.2  # of a word that leans nowhere
@@ -281,15 +282,15 @@ def lists_of(column: pa.Array, kind: type) -> list[np.ndarray]:
     return np.split(flat, ends[:-1])
 
 
-def learn(counted: DataFrame, picked: DataFrame, counts: dict[int, int], terms: list[str], leans: np.ndarray) -> Model | None:
-    """Index and calibration from the ``vectors`` of all documents and the sampled ids."""
+def learn(counted: DataFrame, examples: DataFrame, counts: dict[int, int], terms: list[str], leans: np.ndarray) -> Model | None:
+    """Index and calibration from the ``vectors`` of all documents and the examples, one row per id."""
     n_docs = counted.count()
     # A row per word of the examples.
     found = counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).toArrow()
     df = np.zeros(len(terms))
     df[found["t"].to_numpy()] = found["n"].to_numpy()
     weight = (np.log((1 + n_docs) / (1 + df)) + 1) * leans
-    table = counted.select("doc_id", "terms", "times").join(F.broadcast(picked), "doc_id").toArrow().sort_by("doc_id")
+    table = vectors(examples, terms, "label").select("doc_id", "label", "terms", "times").toArrow().sort_by("doc_id")
     labels = table["label"].to_numpy()
     if not len(labels) or not (labels == 1).any() or not terms:
         return None
@@ -364,11 +365,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, *more: str, per_class: int = PE
     none = docs.select("doc_id", *more, F.lit(0.0).alias("score"), F.array().cast("array<long>").alias("evidence"))
     if not counts.get(1):
         return none
-    picked = written(picked, "examples")
     sizes = {k: min(n, per_class) for k, n in counts.items()}
-    # At most twice ``per_class`` ids, so they fit a broadcast.
-    examples = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    # At most twice ``per_class`` rows.
+    examples = written(one_each(docs, written(picked, "picked")), "examples")
     terms, leans = example_words(examples, sizes)
     counted = written(vectors(docs, terms, *more), "terms")
-    model = learn(counted, picked, counts, terms, leans)
+    model = learn(counted, examples, counts, terms, leans)
     return none if model is None else score(counted, model, *more)

@@ -57,3 +57,10 @@ def test_awkward_rows_and_few_labels(spark):
     assert X.learn(docs, labels.limit(0)) is None
     assert {r["score"] for r in X.score(docs, None).collect()} == {0.5}
     assert X.score(spark.createDataFrame([], SCHEMA), machine).collect() == []
+
+
+def test_copies_of_labelled_rows_enter_the_fit_once(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    labels = spark.createDataFrame([(r["doc_id"], r["doc_id"] % 2) for r in docs.collect()], "doc_id long, label long")
+    once, often = X.learn(docs, labels), X.learn(docs.unionByName(docs.limit(20)).unionByName(docs.limit(20)), labels)
+    assert once.bias == often.bias and np.array_equal(once.w, often.w) and np.array_equal(once.v, often.v)

@@ -142,3 +142,30 @@ def test_index_as_sent():
     back = pickle.loads(sent)
     assert all(np.array_equal(x, y) for x, y in zip(vars(index).values(), vars(back).values()))
     assert len(sent) < sum(x.nbytes for x in vars(index).values() if isinstance(x, np.ndarray))
+
+
+def scores(spark, rows, labels):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = X.toxicity(docs, spark.createDataFrame(labels, "doc_id long, label int")).collect()
+    return {(r["doc_id"], round(r["score"], 9)) for r in found}
+
+
+@pytest.mark.parametrize("toxic", [15, 1])
+def test_copies_of_labelled_rows_are_one_example(spark, toxic):
+    """Copies count in the frequencies of words only, just as the same texts under ids without a label."""
+    rng = np.random.default_rng(6)
+    common = [f"word{chr(97 + i)}" for i in range(26)]
+    rude = [f"rude{chr(97 + i)}" for i in range(6)]
+    rows = []
+    for i in range(200):
+        bad = list(rng.choice(rude, 4)) if i % 10 == 0 else []
+        rows.append((i, " ".join([*rng.choice(common, 20), *bad])))
+    labels = [(i, int(i % 10 == 0 and i < 10 * toxic)) for i in range(150)]
+    copied = [r for r in rows if r[0] % 10 == 0 and r[0] < 10 * toxic][:4]
+    repeated = scores(spark, rows + copied * 4, labels)
+    elsewhere = scores(spark, rows + [(1000 + i, t) for i, (_, t) in enumerate(copied * 4)], labels)
+    assert repeated == {r for r in elsewhere if r[0] < 1000}
+    held = {i: s for i, s in repeated if i >= 150}
+    if toxic > 1:
+        assert all((s > 0.7) == (i % 10 == 0) for i, s in held.items())
+    assert all(0 <= s < 0.5 for i, s in held.items() if i % 10)
