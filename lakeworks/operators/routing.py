@@ -7,18 +7,14 @@ the order of additions.
 
 from __future__ import annotations
 
-from functools import reduce
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_RADIUS_M, distance_m, geohash, unit_vector, vector_lat, vector_lon, wkt_line, wkt_point
+from ..functions.geo import distance_m, geohash, unit_vector, vector_lat, vector_lon, wkt_line, wkt_point
 from ..functions.values import safe_divide
 from ..session import settle
+from .neighbours import AT_ONCE, LISTED, nearest_walks
 from .ordered import GroupOrder, ntile, ordered_lists
-from .skew import spread_join
 
 ZONES = 10
 ZONE_PRECISION, ROUTE_PRECISION = 10, 15
@@ -194,94 +190,9 @@ def compare_routes(routes: Routes, responses: DataFrame) -> DataFrame:
     return straight.unionByName(supplied)
 
 
-# --- greedy routes -----------------------------------------------------------------------
-
-_WALK_SCHEMA = "zone_id long, stop_id long, stop_number long, lat double, lon double, leg_m double"
-
-
-def _metres(lat1, lon1, lat2, lon2):
-    p1, p2 = np.radians(lat1), np.radians(lat2)
-    a = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
-    return 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(a, 1.0)))
-
-
-def _walker(near: int):
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        """Follow nearest stops while the next one is surely among the given rows.
-
-        The rows are the ``near`` nearest to the current stop plus one that marks how far the
-        unseen ones are at least.
-        """
-        rows = rows.sort_values(["center_m", "stop_id"], kind="stable")
-        horizon = np.inf
-        if len(rows) > near:
-            horizon = float(rows["center_m"].iloc[near])
-            rows = rows.iloc[:near]
-        ids = rows["stop_id"].to_numpy()
-        lat, lon = rows["lat"].to_numpy(), rows["lon"].to_numpy()
-        from_center = rows["center_m"].to_numpy()
-        here_lat, here_lon = float(rows["from_lat"].iloc[0]), float(rows["from_lon"].iloc[0])
-        number = int(rows["from_number"].iloc[0])
-        zone = int(rows["zone_id"].iloc[0])
-        open_ = np.ones(len(ids), dtype=bool)
-        travelled, walked = 0.0, []
-        while open_.any():
-            legs = np.where(open_, _metres(here_lat, here_lon, lat, lon), np.inf)
-            best = legs.min()
-            if walked and best >= horizon - travelled - 1e-6:
-                break
-            tied = np.flatnonzero(legs == best)
-            pick = tied[np.argmin(ids[tied])]
-            number += 1
-            walked.append((zone, int(ids[pick]), number, float(lat[pick]), float(lon[pick]), float(best)))
-            open_[pick] = False
-            here_lat, here_lon, travelled = float(lat[pick]), float(lon[pick]), float(from_center[pick])
-        return pd.DataFrame(walked, columns=[f.split()[0] for f in _WALK_SCHEMA.split(", ")])
-
-    return walk
-
-
-NEAR = 900  # with the stop itself below the 1,000 rows up to which Spark limits a group before its shuffle
-
-
-def first_heads(stops: DataFrame) -> DataFrame:
-    """Where the route of each zone begins: its lowest stop id."""
-    return stops.groupBy("zone_id").agg(
-        F.min_by("lat", "stop_id").alias("from_lat"), F.min_by("lon", "stop_id").alias("from_lon"), F.lit(0).cast("long").alias("from_number")
-    )
-
-
-def nearest_stops(left: DataFrame, heads: DataFrame, near: int) -> DataFrame:
-    """The ``near`` + 1 stops closest to each zone's current one; tasks cut a zone before it is shuffled."""
-    center = distance_m(F.col("from_lat"), F.col("from_lon"), F.col("lat"), F.col("lon"))
-    reach = spread_join(left, heads, ["zone_id"], ["stop_id"]).withColumn("center_m", center)
-    closest = Window.partitionBy("zone_id").orderBy("center_m", "stop_id")
-    return reach.withColumn("_rn", F.row_number().over(closest)).filter(F.col("_rn") <= near + 1).drop("_rn")
-
-
-def greedy_routes(zoned: DataFrame, near: int = NEAR) -> DataFrame:
+def greedy_routes(zoned: DataFrame, at_once: int = AT_ONCE, listed: int = LISTED) -> DataFrame:
     """Always go to the closest stop left, per zone, from the lowest stop id; ties by id.
 
-    Every round takes, per zone, the ``near`` stops closest to the current one and walks them
-    as far as the result is certain, so a task never holds more than ``near + 1`` stops and a
-    zone of any size comes out exact. Zones run side by side; a zone up to ``near`` stops takes
-    one round.
+    ``stop_number`` counts from 1, ``leg_m`` is the way to a stop. See ``neighbours.nearest_walks``.
     """
-    left = settle(zoned.select(F.col("zone_id").cast("long").alias("zone_id"), F.col("stop_id").cast("long").alias("stop_id"), "lat", "lon"))
-    heads = first_heads(left)
-    done: list[DataFrame] = []
-    while not left.isEmpty():
-        reach = nearest_stops(left, heads, near)
-        walked = settle(reach.groupBy("zone_id").applyInPandas(_walker(near), _WALK_SCHEMA))
-        done.append(walked)
-        if len(done) >= 20:
-            done = [settle(reduce(DataFrame.unionByName, done))]
-        heads = walked.groupBy("zone_id").agg(
-            F.max_by("lat", "stop_number").alias("from_lat"),
-            F.max_by("lon", "stop_number").alias("from_lon"),
-            F.max("stop_number").alias("from_number"),
-        )
-        left = settle(left.join(walked.select("zone_id", "stop_id"), ["zone_id", "stop_id"], "left_anti"))
-    if not done:
-        return zoned.sparkSession.createDataFrame([], _WALK_SCHEMA)
-    return reduce(DataFrame.unionByName, done)
+    return nearest_walks(zoned, at_once, listed)

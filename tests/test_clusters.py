@@ -56,7 +56,7 @@ def test_layers_and_greedy_routes_over_clusters(zoned):
     assert {r["layer_type"]: r["count"] for r in layers.groupBy("layer_type").count().collect()} == {
         "Stop": 120, "Route Path": 3, "Zone Center": 3,
     }
-    got = routing.greedy_routes(assigned, near=10).collect()
+    got = routing.greedy_routes(assigned, at_once=30).collect()
     for zone in {r["zone_id"] for r in got}:
         stops = [(r["stop_id"], (r["lat"], r["lon"])) for r in assigned.filter(f"zone_id = {zone}").collect()]
         route = [r["stop_id"] for r in sorted((r for r in got if r["zone_id"] == zone), key=lambda r: r["stop_number"])]

@@ -2,7 +2,6 @@
 
 import pytest
 
-from lakeworks.operators import routing
 from lakeworks.queries import ORACLES, QUERIES
 
 FLAGSHIP = [
@@ -41,12 +40,6 @@ def test_a_frequent_key_is_cut_before_the_shuffle(spark, sf):
     assert "WindowGroupLimit" in text[text.index("== Physical Plan ==") :]
 
 
-def test_greedy_rounds_cut_a_zone_before_the_shuffle(spark):
-    zoned = spark.range(3000).selectExpr("id % 2 AS zone_id", "id AS stop_id", "id % 60 / 10.0 AS lat", "id % 50 / 10.0 AS lon")
-    text = plan(routing.nearest_stops(zoned, routing.first_heads(zoned), routing.NEAR))
-    assert text.count("WindowGroupLimit") >= 2
-
-
 def test_top_k_does_not_sort_everything(spark, sf):
     assert "TakeOrderedAndProject" in plan(QUERIES["clv_top100"](spark, sf))
 
