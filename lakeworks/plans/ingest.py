@@ -116,12 +116,12 @@ def run_table(spark: SparkSession, plan: LoadPlan, location: str, warehouse: str
     watermark got lost replaces what it wrote.
     """
     state_path = f"{warehouse}/{plan.dataset}/_watermarks"
+    last = state.read_watermark(spark, state_path, plan.source_name, plan.db_name, plan.tbl_name)
     batch = extract(spark, plan, location, state_path)
     table = target(spark, plan, warehouse)
     if plan.write_mode == "overwrite":
         loaded = spark.read.schema(batch.schema).parquet(table.overwrite(batch))
     elif plan.write_mode == "append":
-        last = state.read_watermark(spark, state_path, plan.source_name, plan.db_name, plan.tbl_name)
         loaded = spark.read.schema(batch.schema).parquet(table.append(batch, load_id=f"after {last}"))
     else:
         loaded = settle(batch, "batch")
@@ -129,7 +129,7 @@ def run_table(spark: SparkSession, plan: LoadPlan, location: str, warehouse: str
     if plan.watermark_column:
         value = state.batch_watermark(loaded, plan.watermark_column)
         kind = batch.schema[plan.watermark_column].dataType.simpleString()
-        state.update_watermark(spark, state_path, plan.source_name, plan.db_name, plan.tbl_name, value, kind)
+        state.update_watermark(spark, state_path, plan.source_name, plan.db_name, plan.tbl_name, value, kind, previous=last)
     return table
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -20,25 +23,55 @@ def delete(spark: SparkSession, text: str) -> None:
     fs.delete(path, True)
 
 
-def finished_numbers(spark: SparkSession, folder: str, prefix: str, inside: str = "") -> list[int]:
-    """Numbers of the sub-folders ``<prefix><number>`` whose write (to ``inside``) finished, ascending."""
-    fs, path = _path(spark, folder)
-    if not fs.exists(path):
-        return []
-    found = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        digits = name[len(prefix) :]
-        if name.startswith(prefix) and digits.isdigit() and exists(spark, f"{folder}/{name}{inside}/_SUCCESS"):
-            found.append(int(digits))
-    return sorted(found)
-
-
-def finished(spark: SparkSession, folder: str, prefix: str) -> list[str]:
-    """Sub-folders whose name begins with the prefix and whose write finished, by name."""
-    fs, path = _path(spark, folder)
-    names = sorted(status.getPath().getName() for status in fs.listStatus(path)) if fs.exists(path) else []
-    return [f"{folder}/{n}" for n in names if n.startswith(prefix) and exists(spark, f"{folder}/{n}/_SUCCESS")]
+def read_text(spark: SparkSession, text: str) -> str:
+    fs, path = _path(spark, text)
+    stream = fs.open(path)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, text: str, content: str) -> None:
+    """Write a new small file; it must not exist."""
+    fs, path = _path(spark, text)
+    stream = fs.create(path, False)
+    try:
+        stream.write(bytearray(content.encode()))
+    finally:
+        stream.close()
+
+
+def move_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Move a file to a name that must be free, in one step; False if it is not."""
+    jvm = spark._jvm
+    fs, source_path = _path(spark, source)
+    _, target_path = _path(spark, target)
+    if fs.getUri().getScheme() == "file":
+        # Renaming within a POSIX folder replaces; a second link to the file does not.
+        try:
+            os.link(source_path.toUri().getPath(), target_path.toUri().getPath())
+        except FileExistsError:
+            return False
+        fs.delete(source_path, False)
+        return True
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.NONE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target_path.toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(source_path, target_path, options)
+        return True
+    except Py4JJavaError:
+        if exists(spark, target):
+            return False
+        raise
+
+
+def finished_numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """Numbers of the sub-folders ``<prefix><number>`` whose write finished, ascending."""
+    found = [n for n in names(spark, folder, prefix) if n[len(prefix) :].isdigit()]
+    return sorted(int(n[len(prefix) :]) for n in found if exists(spark, f"{folder}/{n}/_SUCCESS"))
 
 
 def names(spark: SparkSession, folder: str, prefix: str) -> list[str]:

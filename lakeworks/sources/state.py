@@ -1,13 +1,16 @@
-"""Load watermarks kept in a small Parquet table."""
+"""Load watermarks: one numbered snapshot of all tables' watermarks after the other, the newest counts."""
 
 from __future__ import annotations
 
 import logging
+import random
+import time
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import files
+from .snapshots import Snapshots
 
 logger = logging.getLogger(__name__)
 KEY = ["source_name", "db_name", "tbl_name"]
@@ -15,25 +18,35 @@ SCHEMA = (
     "source_name string, db_name string, tbl_name string, watermark_value string, "
     "value_type string, updated_at timestamp"
 )
+KEPT = 10  # snapshots
+ATTEMPTS = 50
+WAIT = 0.01  # seconds more after each lost attempt, at most
+_COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+class _Any:
+    """Whatever the watermark was."""
+
+
+ANY = _Any()
+
+
+def _rows(document: dict | None) -> list[list]:
+    return (document or {"rows": []})["rows"]
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame | None:
     """Latest watermark per table, None before the first load."""
-    if not files.exists(spark, path):
+    number, document = Snapshots(spark, path).newest()
+    if not number:
         return None
-    log = spark.read.schema(SCHEMA).parquet(path)
-    latest = log.groupBy(*KEY).agg(
-        F.max_by(F.struct("watermark_value", "value_type", "updated_at"), "updated_at").alias("_l")
-    )
-    return latest.select(*KEY, "_l.*")
+    rows = [(*r[:-1], datetime.fromisoformat(r[-1])) for r in _rows(document)]
+    return spark.createDataFrame(rows, SCHEMA)
 
 
 def read_watermark(spark: SparkSession, path: str, source: str, db: str, table: str) -> str | None:
-    state = read_state(spark, path)
-    if state is None:
-        return None
-    row = state.filter((F.col("source_name") == source) & (F.col("db_name") == db) & (F.col("tbl_name") == table)).first()
-    return None if row is None else row["watermark_value"]
+    _, document = Snapshots(spark, path).newest()
+    return next((r[3] for r in _rows(document) if r[:3] == [source, db, table]), None)
 
 
 def batch_watermark(batch: DataFrame, column: str) -> str | None:
@@ -42,24 +55,32 @@ def batch_watermark(batch: DataFrame, column: str) -> str | None:
 
 
 def update_watermark(
-    spark: SparkSession, path: str, source: str, db: str, table: str, value: str | None, value_type: str
+    spark: SparkSession, path: str, source: str, db: str, table: str, value: str | None, value_type: str, previous: str | None | _Any = ANY
 ) -> bool:
     """Record a watermark. No value is skipped; a failure is logged and never fails the load,
-    because the next run then reads some rows again, which a merge absorbs."""
+    because the next run then reads some rows again, which a merge absorbs.
+
+    With ``previous``, the watermark a run began from, only the first of several runs that began there is
+    recorded. Runs of other tables at the same time do not disturb each other.
+    """
     if value is None:
         logger.warning("no watermark in the batch of %s.%s, keeping the old one", db, table)
         return False
     try:
-        row = spark.range(1).select(
-            F.lit(source).alias("source_name"),
-            F.lit(db).alias("db_name"),
-            F.lit(table).alias("tbl_name"),
-            F.lit(value).alias("watermark_value"),
-            F.lit(value_type).alias("value_type"),
-            F.current_timestamp().alias("updated_at"),
-        )
-        row.coalesce(1).write.mode("append").parquet(path)
-        return True
+        snapshots = Snapshots(spark, path)
+        for attempt in range(ATTEMPTS):
+            time.sleep(random.uniform(0, WAIT * attempt))
+            number, document = snapshots.newest()
+            rows = _rows(document)
+            now = next((r[3] for r in rows if r[:3] == [source, db, table]), None)
+            if previous is not ANY and now != previous:
+                logger.warning("the watermark of %s.%s moved from %s to %s meanwhile, not recording %s", db, table, previous, now, value)
+                return False
+            row = [source, db, table, value, value_type, datetime.now(UTC).isoformat()]
+            if snapshots.commit(number + 1, {"rows": [r for r in rows if r[:3] != row[:3]] + [row]}):
+                snapshots.prune(KEPT)
+                return True
+        logger.error("other runs keep recording, the watermark of %s.%s is not", db, table)
     except Exception:
         logger.exception("could not record the watermark of %s.%s", db, table)
-        return False
+    return False

@@ -1,34 +1,41 @@
 """Parquet tables with overwrite, append and merge.
 
-A table is a folder of numbered versions, a version a folder of loads: the base and what was
-appended to it. A load counts once Spark has finished it, so a reader sees the old or the new
-version, and a lost job leaves no half table behind. A load that runs again under the same load
-id replaces its folder. Only a merge into a partitioned table works in place:
-partition after partition, and running it again completes it.
+A version of a table is a numbered list of immutable data files. Every load writes new files to a folder of
+its own and then commits a list that has them; so a reader sees the old or the new version, a job that stops
+half way leaves the old one as it was, and a merge rewrites only files that hold a matching key.
 """
 
 from __future__ import annotations
 
+import random
+import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from hashlib import md5
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import settle
 from . import files
+from .snapshots import Snapshots
 
 CELLS_PER_FILE = 12_000_000
 DAY = "_day"
-LOAD, BASE = "_load", "_load=base"
+LOAD = "_load"
+ATTEMPTS = 50
+WAIT = 0.01  # seconds more after each lost attempt, at most
 
 
 class DuplicateKeys(ValueError):
     """A merge source holds a key more than once."""
 
 
+class TableChanged(RuntimeError):
+    """Another writer committed a version while a merge was reading the one before."""
+
+
 def file_rows(df: DataFrame) -> int:
     """Rows of one file: fewer for wide tables, so that a file is a fair share of work."""
     return max(1, CELLS_PER_FILE // len(df.columns))
@@ -67,31 +74,43 @@ class ParquetTable:
     ):
         self.spark, self.root = spark, root.rstrip("/")
         self.partition_by, self.sort_by, self.rows_per_file = partition_by, list(sort_by), rows_per_file
+        self._lists = Snapshots(spark, f"{self.root}/versions")
 
     def versions(self) -> list[int]:
-        return files.finished_numbers(self.spark, self.root, "v", f"/{BASE}")
+        return self._lists.numbers()
 
     def exists(self) -> bool:
         return bool(self.versions())
 
-    def path(self) -> str:
-        versions = self.versions()
-        if not versions:
+    def _newest(self) -> tuple[int, dict]:
+        number, listed = self._lists.newest()
+        if listed is None:
             raise FileNotFoundError(f"no table at {self.root}")
-        return f"{self.root}/v{versions[-1]}/{BASE}"
+        return number, listed
+
+    def files(self, version: int | None = None) -> list[str]:
+        """Data files of a version, the newest by default, below the table's folder."""
+        return (self._newest()[1] if version is None else self._lists.read(version))["files"]
+
+    def read(self, version: int | None = None) -> DataFrame:
+        listed = self._newest()[1] if version is None else self._lists.read(version)
+        return self._of_files(listed, listed["files"])
 
-    def paths(self) -> list[str]:
-        """Folders of the newest version: its base and what was appended to it."""
-        return files.finished(self.spark, self.path().removesuffix(f"/{BASE}"), f"{LOAD}=")
+    def _of_files(self, listed: dict, names: Sequence[str]) -> DataFrame:
+        schema = T.StructType.fromJson(listed["schema"])
+        if not names:
+            return self.spark.createDataFrame([], schema)
+        return self._stored(schema, names).select(*[F.col(f"`{f.name}`") for f in schema.fields])
 
-    def read(self) -> DataFrame:
-        df = self._stored()
-        return df.drop(self.partition_by + DAY) if self.partition_by else df
+    def _stored(self, schema: T.StructType, names: Sequence[str]) -> DataFrame:
+        reader = self.spark.read.schema(schema).option("basePath", f"{self.root}/data")
+        return reader.parquet(*[f"{self.root}/{n}" for n in names])
 
-    def _stored(self) -> DataFrame:
-        paths = self.paths()
-        version = paths[0].rpartition("/")[0]
-        return self.spark.read.option("basePath", version).parquet(*paths).drop(LOAD)
+    @staticmethod
+    def _below(path: str) -> str:
+        """The part below the table's folder of a file's path as Spark reports it, with URL escapes."""
+        text = unquote(path)
+        return text[text.rindex(f"/data/{LOAD}=") + 1 :]
 
     def _folder_column(self, df: DataFrame) -> str:
         """Timestamps are partitioned by their day, other columns by value."""
@@ -104,41 +123,71 @@ class ParquetTable:
         name = self._folder_column(df)
         return df if name == self.partition_by else df.withColumn(name, F.to_date(self.partition_by))
 
-    def _write(self, df: DataFrame, path: str, mode: str, only_touched: bool = False) -> None:
+    def _write(self, df: DataFrame, load: str) -> list[str]:
+        """Write a load and return its files."""
         df = self._laid_out(df)
         lead = [self._folder_column(df)] if self.partition_by else []
         if lead:
             df = by_partition(df, lead[0], self.rows_per_file)
         if self.sort_by:
             df = df.sortWithinPartitions(*lead, *self.sort_by)
-        writer = df.write.mode(mode).option("compression", "snappy").option("maxRecordsPerFile", self.rows_per_file or file_rows(df))
-        if lead:
-            replace = "dynamic" if only_touched else "static"
-            writer = writer.option("partitionOverwriteMode", replace).partitionBy(*lead)
-        writer.parquet(path)
+        writer = df.write.option("compression", "snappy").option("maxRecordsPerFile", self.rows_per_file or file_rows(df))
+        path = f"{self.root}/data/{load}"
+        (writer.partitionBy(*lead) if lead else writer).parquet(path)
+        return [self._below(f) for f in self.spark.read.schema(df.schema).parquet(path).inputFiles()]
+
+    def _load_name(self, load_id: str | None = None) -> str:
+        """``_load=<id>-<attempt>``: every attempt has a folder of its own."""
+        name = "" if load_id is None else md5(load_id.encode()).hexdigest()
+        return f"{LOAD}={name}-{uuid.uuid4().hex}"
+
+    def _commit(self, change: Callable[[dict | None], dict]) -> None:
+        """Commit what ``change`` makes of the newest list; again if another writer was faster."""
+        for attempt in range(ATTEMPTS):
+            time.sleep(random.uniform(0, WAIT * attempt))
+            number, listed = self._lists.newest()
+            if self._lists.commit(number + 1, change(listed)):
+                return
+        raise TableChanged(f"other writers keep changing {self.root}")
 
     def overwrite(self, df: DataFrame) -> str:
-        """Replace the table by a new version; returns its folder."""
-        versions = self.versions()
-        path = f"{self.root}/v{(versions[-1] if versions else 0) + 1}/{BASE}"
-        self._write(df, path, "overwrite")
-        return path
+        """Replace the table by a new version; returns the folder written."""
+        load = self._load_name()
+        written = self._write(df, load)
+        schema = _nullable(df.schema)
+        self._commit(lambda _: {"schema": schema, "files": written})
+        return f"{self.root}/data/{load}"
 
     def append(self, df: DataFrame, load_id: str | None = None) -> str:
-        """Add rows and return the folder written. The same ``load_id`` again replaces what it added."""
-        if not self.exists():
-            self._write(df.limit(0), f"{self.root}/v1/{BASE}", "overwrite")
-        name = uuid.uuid4().hex if load_id is None else md5(load_id.encode()).hexdigest()
-        path = self.path().replace(BASE, f"{LOAD}={name}")
-        self._write(df, path, "overwrite")
-        return path
+        """Add rows and return the folder written. The same ``load_id`` again replaces what it added.
+
+        Columns that are not sent are NULL; a column the table does not have raises.
+        """
+        _, listed = self._lists.newest()
+        if listed is not None:
+            _refuse_unknown(df, [f["name"] for f in listed["schema"]["fields"]])
+            df = _completed(df, T.StructType.fromJson(listed["schema"]))
+        load = self._load_name(load_id)
+        written = self._write(df, load)
+        schema = _nullable(df.schema)
+        before = load.rpartition("-")[0] + "-" if load_id is not None else None
+
+        def added(now: dict | None) -> dict:
+            if now is None:
+                return {"schema": schema, "files": written}
+            kept = [f for f in now["files"] if before is None or not f.startswith(f"data/{before}")]
+            return {**now, "files": kept + written}
+
+        self._commit(added)
+        return f"{self.root}/data/{load}"
 
     def merge(self, source: DataFrame, keys: Sequence[str]) -> None:
         """Upsert by key: matching rows take the columns sent, others are added; a missing table is created.
 
-        Columns that the source does not send keep their values, and are NULL in new rows. A column
-        that the table does not have raises, and so does a repeated key, as in MERGE. Rows with a
-        missing key match nothing.
+        Only files that hold a matching key are read whole and rewritten; of the others the keys are read. Columns
+        that the source does not send keep their values, and are NULL in new rows. A column that the table does not
+        have raises, and so does a repeated key, as in MERGE. Rows with a missing key match nothing. If
+        another writer commits meanwhile, the merge raises ``TableChanged`` and changes nothing.
         """
         keys = list(keys)
         repeated = source.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").limit(1)
@@ -147,47 +196,47 @@ class ParquetTable:
         if not self.exists():
             self.overwrite(source)
             return
-        columns = self.read().columns
-        unknown = [c for c in source.columns if c not in columns]
-        if unknown:
-            raise ValueError(f"merge source has columns the table does not have: {unknown}")
+        number, listed = self._newest()
+        schema = T.StructType.fromJson(listed["schema"])
+        _refuse_unknown(source, schema.names)
         if set(source.columns) == set(keys):
             # Nothing to update.
-            self.append(_completed(source.join(self.read().select(*keys), keys, "left_anti"), self.read().schema))
-        elif self.partition_by in source.columns:
-            self._merge_partitions(source, keys)
+            here = self._of_files(listed, listed["files"]).select(*keys)
+            rows, touched = _completed(source.join(here, keys, "left_anti"), schema), set()
         else:
-            # Without the partition column, a row's new folder is known only row by row.
-            self.overwrite(_upserted(self.read(), source, keys))
+            touched = self._holding(listed, schema, source.select(*keys), keys)
+            rows = _upserted(self._of_files(listed, sorted(touched)), source, keys)
+        written = self._write(rows, self._load_name())
+        kept = [f for f in listed["files"] if f not in touched]
+        if not self._lists.commit(number + 1, {**listed, "files": kept + written}):
+            raise TableChanged(f"{self.root} got another version while merging into version {number}")
+
+    def _holding(self, listed: dict, schema: T.StructType, wanted: DataFrame, keys: list[str]) -> set[str]:
+        """Files that hold one of the wanted keys; there are no more of them than the list has."""
+        if not listed["files"]:
+            return set()
+        stored = self._stored(schema, listed["files"])
+        where = stored.metadataColumn("_metadata").getField("file_path").alias("_in_file")
+        found = stored.select(*keys, where).join(wanted, keys, "left_semi").select("_in_file").distinct()
+        return {self._below(r["_in_file"]) for r in found.collect()}
 
-    def _merge_partitions(self, source: DataFrame, keys: list[str]) -> None:
-        """Rewrite the partitions that hold a matching or a new row; the rest is not read.
+    def prune(self, keep: int = 2) -> None:
+        """Delete all but the newest versions, and files that none of those lists; call it when no
+        reader uses the old ones and no writer is at work."""
+        used = {f.split("/")[1] for n in self._lists.prune(keep) for f in self.files(n)}
+        for load in files.names(self.spark, f"{self.root}/data", f"{LOAD}="):
+            if load not in used:
+                files.delete(self.spark, f"{self.root}/data/{load}")
 
-        The new rows are settled first, so the folders replaced are no longer read. What was
-        appended goes into the version before.
-        """
-        if len(self.paths()) > 1:
-            self.overwrite(self.read())
-        path, name = self.path(), self._folder_column(source)
-        matched = self._stored().select(name, *[k for k in keys if k != name]).join(source.select(*keys), keys, "left_semi")
-        values = matched.select(name).union(self._laid_out(source).select(name)).distinct()
-        touched = settle(values.select(F.col(name).alias("_touched")), "touched")
-        target = self.read() if name == self.partition_by else self._stored()
-        before = target.join(touched, F.col(name).eqNullSafe(F.col("_touched")), "left_semi")
-        before = before if name == self.partition_by else before.drop(name)
-        merged = settle(_upserted(before, source, keys), "merged")
-        self._write(merged, path, "overwrite", only_touched=True)
-        left = self._laid_out(merged).select(F.col(name).alias("_left")).distinct()
-        emptied = touched.join(left, F.col("_touched").eqNullSafe(F.col("_left")), "left_anti")
-        utils = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-        for (value,) in emptied.toLocalIterator():  # one folder each
-            text = None if value is None else str(value)
-            files.delete(self.spark, f"{path}/{utils.getPartitionPathString(name, text)}")
 
-    def prune(self, keep: int = 2) -> None:
-        """Delete all but the newest versions; call it when no reader uses the old ones."""
-        for number in self.versions()[:-keep]:
-            files.delete(self.spark, f"{self.root}/v{number}")
+def _nullable(schema: T.StructType) -> dict:
+    return T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields]).jsonValue()
+
+
+def _refuse_unknown(df: DataFrame, columns: Sequence[str]) -> None:
+    unknown = [c for c in df.columns if c not in columns]
+    if unknown:
+        raise ValueError(f"the source has columns the table does not have: {unknown}")
 
 
 def _completed(df: DataFrame, schema: T.StructType) -> DataFrame:
