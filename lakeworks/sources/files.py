@@ -68,12 +68,6 @@ def move_new(spark: SparkSession, source: str, target: str) -> bool:
         raise
 
 
-def finished_numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]:
-    """Numbers of the sub-folders ``<prefix><number>`` whose write finished, ascending."""
-    found = [n for n in names(spark, folder, prefix) if n[len(prefix) :].isdigit()]
-    return sorted(int(n[len(prefix) :]) for n in found if exists(spark, f"{folder}/{n}/_SUCCESS"))
-
-
 def names(spark: SparkSession, folder: str, prefix: str) -> list[str]:
     """Names of the entries that begin with the prefix, sorted."""
     fs, path = _path(spark, folder)

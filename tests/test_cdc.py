@@ -50,21 +50,68 @@ def test_a_late_upsert_does_not_revive_a_deleted_key(spark, folder):
     assert table.state().count() == 1
 
 
-def test_compaction_touches_only_buckets_with_changes(spark, folder):
-    table = cdc.ChangeTable(spark, folder, ["id"], buckets=8)
+def test_linear_hashing_moves_one_bucket_at_a_time(spark):
+    placed = spark.range(2000).select("id", *[cdc.bucket_of(["id"], n).alias(f"b{n}") for n in range(1, 20)]).collect()
+    for n in range(1, 19):
+        moved = [r for r in placed if r[f"b{n}"] != r[f"b{n + 1}"]]
+        assert moved and {r[f"b{n + 1}"] for r in moved} == {n}
+        assert {r[f"b{n}"] for r in moved} == cdc.split_by(n, n + 1)
+        assert {r[f"b{n}"] for r in placed if r[f"b{n}"] != r["b19"]} == cdc.split_by(n, 19)
+        assert {r[f"b{n}"] for r in placed} == set(range(n))
+
+
+def test_folds_open_only_buckets_with_changes(spark, folder):
+    table = cdc.ChangeTable(spark, folder, ["id"], bucket_rows=8)
     table.apply(spark.createDataFrame([(i, "a", "UPSERT", 1) for i in range(60)] + [(None, "none", "UPSERT", 1)], SCHEMA), 0)
-    table.compact()
-    before = table._folders()
-    assert len(before) == 8
+    assert table.compact() == []
+    _, before = table._listed()
+    assert before["buckets"] == 8 and len(before["files"]) == 8 and sum(table.bucket_sizes().values()) == 61
     table.apply(spark.createDataFrame([(5, "b", "UPSERT", 2), (None, "late", "UPSERT", 0)], SCHEMA), 1)
     expected = {(i, "b" if i == 5 else "a") for i in range(60)} | {(None, "none")}
     assert rows(table.snapshot()) == expected
-    table.compact()
-    after = table._folders()
-    assert sum(after[k] != before[k] for k in before) <= 2
+    opened = table.compact()
+    _, after = table._listed()
+    changed = {k for k in before["files"] if after["files"][k] != before["files"][k]}
+    assert after["buckets"] == 8 and 1 <= len(changed) <= 2 and opened == [f for k in sorted(changed, key=int) for f in before["files"][k]]
     assert rows(table.snapshot()) == expected
     table.prune()
-    assert rows(table.snapshot()) == expected and table._folders() == after
+    assert rows(table.snapshot()) == expected and table._listed()[1] == after
+    assert table._lists.numbers() == [2]
+
+
+def test_buckets_stay_bounded_while_the_table_grows(spark, folder):
+    table = cdc.ChangeTable(spark, folder, ["id"], bucket_rows=50)
+    expected = {}
+    for fold in range(10):
+        changes = [(i, f"v{fold}", "DELETE" if i % 7 == fold else "UPSERT", fold * 10) for i in range(fold * 40, fold * 100 + 60)]
+        table.apply(spark.createDataFrame(changes, SCHEMA), fold)
+        for i, name, kind, _ in changes:
+            expected[i] = None if kind == "DELETE" else name
+        table.compact()
+        sizes = table.bucket_sizes()
+        # Buckets not yet split in a round are twice as large as the others, and keys scatter by chance.
+        assert max(sizes.values()) <= 2 * 50 + 40 and sum(sizes.values()) == len(expected)
+    assert table._listed()[1]["buckets"] >= 18
+    assert rows(table.snapshot()) == {(i, n) for i, n in expected.items() if n is not None}
+    table.apply(spark.createDataFrame([(0, "old", "UPSERT", -1), (5000, "new", "UPSERT", 1)], SCHEMA), 10)
+    wanted = spark.createDataFrame([(0,), (1,), (5000,), (999_999,), (None,)], "id long")
+    assert rows(table.lookup(wanted)) == {(i, expected[i]) for i in (0, 1) if expected[i]} | {(5000, "new")}
+    opened = table.lookup(wanted).inputFiles()
+    assert len([f for f in opened if "/base/" in f]) <= 5
+
+
+def test_a_fold_that_stops_half_way_changes_nothing(spark, folder, monkeypatch):
+    table = cdc.ChangeTable(spark, folder, ["id"], bucket_rows=2)
+    for number, part in enumerate((EVENTS[:2], EVENTS[2:])):
+        table.apply(spark.createDataFrame(part, SCHEMA), number)
+    with monkeypatch.context() as m:
+        m.setattr(cdc.Snapshots, "commit", lambda *_: False)
+        with pytest.raises(RuntimeError):
+            table.compact()
+    assert rows(table.snapshot()) == EXPECTED and table._listed()[0] == 0
+    table.compact()
+    table.prune()
+    assert rows(table.snapshot()) == EXPECTED
 
 
 def test_stream(spark, folder):
@@ -75,7 +122,7 @@ def test_stream(spark, folder):
     for _ in range(2):  # the second run finds nothing new
         table.start(stream, f"{folder}/checkpoint", available_now=True, compact_every=2).awaitTermination()
         assert rows(table.snapshot()) == EXPECTED
-    assert table._base() is not None
+    assert table._listed()[0] > 0
     table.compact()
     table.prune()
     assert rows(table.snapshot()) == EXPECTED
