@@ -1,12 +1,14 @@
 """Data tests, table-against-table parity, result comparison and profiles.
 
-Parity functions return rows (test, metric, base, other, diff, passed); the two sides are
-brought together by one union and a grouping, never by a join of every row.
+Parity functions return rows (test, metric, base, other, diff, passed). Tests say what they need of a side;
+``parity`` takes all aggregates from one pass over it, and all counts of values from one more. The two
+sides are brought together by one union and a grouping, never by a join of every row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -64,54 +66,166 @@ def _tall(row: DataFrame, columns: Sequence[str], name: str, value: str) -> Data
 # --- parity ------------------------------------------------------------------------------
 
 
-def _sides(base: DataFrame, other: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, base, other) from two tall tables of the same shape."""
-    tagged = base.withColumn("_side", F.lit(0)).unionByName(other.withColumn("_side", F.lit(1)))
-    return tagged.groupBy(*keys).agg(
-        F.max(F.when(F.col("_side") == 0, F.col(value))).alias("base"),
-        F.max(F.when(F.col("_side") == 1, F.col(value))).alias("other"),
-    )
-
-
 def relative_diff(base: Column, other: Column) -> Column:
     """Difference relative to the base; a zero base differs by 0 or by 1."""
     none = F.when(other == 0, F.lit(0.0)).otherwise(F.lit(1.0))
     return F.when(base == 0, none).otherwise(safe_divide(F.abs(base - other), F.abs(base)))
 
 
-def _judge(rows: DataFrame, test: str, diff: Column, tolerance: float, keys: Sequence[str] = ("metric",)) -> DataFrame:
-    return rows.withColumn("diff", diff).select(
-        F.lit(test).alias("test"),
-        *keys,
-        F.col("base").cast("double").alias("base"),
-        F.col("other").cast("double").alias("other"),
-        "diff",
-        F.coalesce(F.col("diff") <= tolerance, F.lit(False)).alias("passed"),
-    )
+@dataclass(frozen=True)
+class Check:
+    """What one parity test asks of both sides: aggregates of the whole table, or rows per value of a column.
 
+    ``relative`` differences are measured against the base. ``top`` keeps the most frequent values of either
+    side and compares their shares. Text aggregates must be equal.
+    """
 
-def _compare_aggs(
-    base: DataFrame, other: DataFrame, aggs: Mapping[str, Column], test: str, tolerance: float, relative: bool = True
-) -> DataFrame:
-    """One aggregation per side, compared metric by metric."""
-    names = list(aggs)
+    test: str
+    tolerance: float = 0.0
+    relative: bool = True
+    aggs: Mapping[str, Column] | None = None
+    text: Mapping[str, Column] | None = None
+    value: Column | None = None
+    top: int | None = None
+
+
+def rows_check(tolerance: float = ROW_TOLERANCE) -> Check:
+    return Check("row_count", tolerance, aggs={"rows": F.count("*")})
+
+
+def distinct_check(keys: Sequence[str]) -> Check:
+    return Check("distinct_count", aggs={"+".join(keys): F.count_distinct(*keys)})
+
+
+def sums_check(columns: Sequence[str], tolerance: float = METRIC_TOLERANCE, places: int = 2) -> Check:
+    return Check("metric_sum", tolerance, aggs={c: fixed_sum(c, places) for c in columns})
+
+
+def stats_check(columns: Sequence[str], tolerance: float = METRIC_TOLERANCE, places: int = 2) -> Check:
+    aggs: dict[str, Column] = {}
+    for c in columns:
+        aggs[f"{c}.sum"] = fixed_sum(c, places)
+        aggs[f"{c}.avg"] = safe_divide(fixed_sum(c, places), F.count(c))
+        aggs[f"{c}.min"] = F.min(c)
+        aggs[f"{c}.max"] = F.max(c)
+    return Check("metric_stats", tolerance, aggs=aggs)
+
+
+def null_rates_check(columns: Sequence[str], tolerance: float = NULL_TOLERANCE) -> Check:
+    rates = {c: safe_divide(F.count_if(F.col(c).isNull()), F.count("*")) for c in columns}
+    return Check("null_rate", tolerance, relative=False, aggs=rates)
+
+
+def null_counts_check(columns: Sequence[str]) -> Check:
+    return Check("null_count", relative=False, aggs={c: F.count_if(F.col(c).isNull()) for c in columns})
+
+
+def ranges_check(columns: Sequence[str]) -> Check:
+    return Check("date_range", text={f"{c}.{n}": f(c).cast("string") for c in columns for n, f in (("min", F.min), ("max", F.max))})
 
-    def side(df: DataFrame) -> DataFrame:
-        row = df.agg(*[c.cast("double").alias(n) for n, c in aggs.items()])
-        return _tall(row, names, "metric", "value")
 
-    rows = _sides(side(base), side(other), ["metric"], "value")
-    rows = rows.withColumns({"base": F.coalesce("base", F.lit(0.0)), "other": F.coalesce("other", F.lit(0.0))})
-    diff = relative_diff(F.col("base"), F.col("other")) if relative else F.abs(F.col("base") - F.col("other"))
-    return _judge(rows, test, diff, tolerance)
+def distribution_check(column: str, top: int = 10, tolerance: float = 0.05) -> Check:
+    return Check("distribution", tolerance, relative=False, value=F.col(column).cast("string"), top=top)
+
+
+def temporal_check(column: str, grain: str = "month", tolerance: float = ROW_TOLERANCE) -> Check:
+    return Check("temporal", tolerance, value=F.date_format(F.date_trunc(grain, F.col(column)), "yyyy-MM-dd"))
+
+
+def partitions_check(column: str) -> Check:
+    return Check("partition_count", relative=False, value=F.col(column).cast("string"))
+
+
+def _aggregated(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """(place, metric, value, text) of all aggregates, from one pass over the table."""
+    packed = []
+    for i, check in enumerate(checks):
+        for name, c in (check.aggs or {}).items():
+            value = F.coalesce(c.cast("double"), F.lit(0.0))
+            packed.append(F.struct(F.lit(i).alias("place"), F.lit(name).alias("metric"), value.alias("value"), F.lit(None).cast("string").alias("text")))
+        for name, c in (check.text or {}).items():
+            packed.append(F.struct(F.lit(i).alias("place"), F.lit(name).alias("metric"), F.lit(None).cast("double").alias("value"), c.alias("text")))
+    return df.agg(F.array(*packed).alias("_all")).select(F.inline("_all"))
+
+
+def _counted(df: DataFrame, values: Mapping[int, Column]) -> DataFrame:
+    """(place, metric, value) with the rows per value of several columns, from one pass; ``place`` -1 has all rows."""
+    names = {place: f"_v{place}" for place in values}
+    rows = df.select(*[c.alias(names[place]) for place, c in values.items()])
+    sets = [[n] for n in names.values()] + [[]]
+    counts = rows.groupingSets(sets, *names.values()).agg(F.grouping_id().alias("_set"), F.count("*").cast("double").alias("value"))
+    full = (1 << len(names)) - 1
+    place, metric = F.lit(-1), F.lit(None).cast("string")
+    for i, (number, name) in enumerate(names.items()):
+        mine = F.col("_set") == full - (1 << (len(names) - 1 - i))
+        place, metric = F.when(mine, number).otherwise(place), F.when(mine, F.col(name)).otherwise(metric)
+    return counts.select(place.alias("place"), metric.alias("metric"), "value")
+
+
+def _judge(rows: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """Rows of place, metric, base, other and their texts, with the tests' names and verdicts."""
+    known = [F.struct(F.lit(c.test).alias("test"), F.lit(float(c.tolerance)).alias("tolerance"), F.lit(c.relative).alias("relative")) for c in checks]
+    found = F.element_at(F.array(*known), F.col("place") + 1)
+    away = F.abs(F.col("base") - F.col("other"))
+    diff = F.when(F.col("_check.relative"), relative_diff(F.col("base"), F.col("other"))).otherwise(away)
+    near = F.coalesce(F.col("diff") <= F.col("_check.tolerance"), F.lit(False))
+    same = F.col("base_text").eqNullSafe(F.col("other_text"))
+    judged = rows.withColumn("_check", found).withColumn("diff", diff)
+    is_text = F.col("base").isNull() & F.col("other").isNull()
+    return judged.select(
+        F.col("_check.test").alias("test"), "metric", "base", "other", "diff", F.when(is_text, same).otherwise(near).alias("passed"), "place", "base_text", "other_text"
+    )
+
+
+def _parity(base: DataFrame, other: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    sides = (base, other)
+    parts = []
+    if any(c.aggs or c.text for c in checks):
+        tall = [_aggregated(df, checks).withColumn("_side", F.lit(i)) for i, df in enumerate(sides)]
+        mine = [F.col("_side") == i for i in range(2)]
+        picked = [F.max(F.when(m, F.col(v))).alias(n) for v, names in (("value", ("base", "other")), ("text", ("base_text", "other_text"))) for m, n in zip(mine, names)]
+        parts.append(tall[0].unionByName(tall[1]).groupBy("place", "metric").agg(*picked))
+    values = {i: c.value for i, c in enumerate(checks) if c.value is not None}
+    if values:
+        tall = [_counted(df, values).withColumn("_side", F.lit(i)) for i, df in enumerate(sides)]
+        picked = [F.coalesce(F.max(F.when(F.col("_side") == i, F.col("value"))), F.lit(0.0)).alias(n) for i, n in enumerate(("base", "other"))]
+        counts = tall[0].unionByName(tall[1]).groupBy("place", "metric").agg(*picked)
+        none = {n: F.lit(None).cast("string") for n in ("base_text", "other_text")}
+        shared = {i: c.top for i, c in enumerate(checks) if c.top is not None}
+        if shared:
+            # Read several times: one row per value.
+            counts = settle(counts, "counts")
+            totals = counts.filter("place = -1").select(F.col("base").alias("_base_rows"), F.col("other").alias("_other_rows")).first() or (0.0, 0.0)
+            of = {n: F.lit(total) for n, total in zip(("base", "other"), totals)}
+            for place, top in shared.items():
+                shares = counts.filter(F.col("place") == place).withColumns({n: F.coalesce(safe_divide(F.col(n), of[n]), F.lit(0.0)) for n in of})
+                leaders = [shares.filter(F.col(n) > 0).orderBy(F.col(n).desc(), "metric").limit(top).select("place", "metric") for n in of]
+                kept = leaders[0].union(leaders[1]).distinct().withColumnRenamed("metric", "_named")
+                parts.append(shares.join(kept.select("_named"), F.col("metric").eqNullSafe(F.col("_named")), "left_semi").withColumns(none))
+        whole = [i for i in values if i not in shared]
+        if whole:
+            parts.append(counts.filter(F.col("place").isin(whole)).withColumns(none))
+    columns = ["place", "metric", "base", "other", "base_text", "other_text"]
+    return _judge(reduce(DataFrame.unionByName, [p.select(*columns) for p in parts]), checks)
+
+
+def parity(base: DataFrame, other: DataFrame, checks: Sequence[tuple[Check, str]]) -> DataFrame:
+    """Many tests at once: (test, metric, base, other, diff, passed, priority, base_text, other_text).
+
+    ``checks`` pairs tests with priorities. All aggregates come from one pass over each side, and all counts of
+    values from one more, whatever the number of tests.
+    """
+    rows = _parity(base, other, [c for c, _ in checks])
+    priority = F.element_at(F.array(*[F.lit(p) for _, p in checks]), F.col("place") + 1)
+    return rows.withColumn("priority", priority).select(*PARITY, "priority", "base_text", "other_text")
 
 
 def row_count(base: DataFrame, other: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
-    return _compare_aggs(base, other, {"rows": F.count("*")}, "row_count", tolerance)
+    return _parity(base, other, [rows_check(tolerance)]).select(*PARITY)
 
 
 def distinct_count(base: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return _compare_aggs(base, other, {"+".join(keys): F.count_distinct(*keys)}, "distinct_count", 0.0)
+    return _parity(base, other, [distinct_check(keys)]).select(*PARITY)
 
 
 def key_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -121,79 +235,43 @@ def key_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def metric_sums(base: DataFrame, other: DataFrame, columns: Sequence[str], tolerance: float = METRIC_TOLERANCE, places: int = 2) -> DataFrame:
-    return _compare_aggs(base, other, {c: fixed_sum(c, places) for c in columns}, "metric_sum", tolerance)
+    return _parity(base, other, [sums_check(columns, tolerance, places)]).select(*PARITY)
 
 
 def metric_stats(base: DataFrame, other: DataFrame, columns: Sequence[str], tolerance: float = METRIC_TOLERANCE, places: int = 2) -> DataFrame:
     """Sum, mean, least and greatest value per column."""
-    aggs: dict[str, Column] = {}
-    for c in columns:
-        aggs[f"{c}.sum"] = fixed_sum(c, places)
-        aggs[f"{c}.avg"] = safe_divide(fixed_sum(c, places), F.count(c))
-        aggs[f"{c}.min"] = F.min(c)
-        aggs[f"{c}.max"] = F.max(c)
-    return _compare_aggs(base, other, aggs, "metric_stats", tolerance)
+    return _parity(base, other, [stats_check(columns, tolerance, places)]).select(*PARITY)
 
 
 def null_rates(base: DataFrame, other: DataFrame, columns: Sequence[str] | None = None, tolerance: float = NULL_TOLERANCE) -> DataFrame:
-    """Difference of the null share of every column, one pass per side."""
+    """Difference of the null share of every column."""
     names = list(columns or [c for c in base.columns if c in other.columns])
-    rates = {c: safe_divide(F.count_if(F.col(c).isNull()), F.count("*")) for c in names}
-    return _compare_aggs(base, other, rates, "null_rate", tolerance, relative=False)
+    return _parity(base, other, [null_rates_check(names, tolerance)]).select(*PARITY)
 
 
 def null_counts(base: DataFrame, other: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return _compare_aggs(base, other, {c: F.count_if(F.col(c).isNull()) for c in columns}, "null_count", 0.0, relative=False)
+    return _parity(base, other, [null_counts_check(columns)]).select(*PARITY)
 
 
 def date_ranges(base: DataFrame, other: DataFrame, columns: Sequence[str]) -> DataFrame:
     """First and last value per column must be the same."""
-
-    def side(df: DataFrame) -> DataFrame:
-        ends = {f"{c}.{n}": f(c).cast("string") for c in columns for n, f in (("min", F.min), ("max", F.max))}
-        return _tall(df.agg(*[v.alias(k) for k, v in ends.items()]), list(ends), "metric", "value")
-
-    rows = _sides(side(base), side(other), ["metric"], "value")
-    return rows.select(
-        F.lit("date_range").alias("test"), "metric", "base", "other", F.col("base").eqNullSafe(F.col("other")).alias("passed")
-    )
+    rows = _parity(base, other, [ranges_check(columns)])
+    return rows.select("test", "metric", F.col("base_text").alias("base"), F.col("other_text").alias("other"), "passed")
 
 
 def distribution(base: DataFrame, other: DataFrame, column: str, top: int = 10, tolerance: float = 0.05) -> DataFrame:
     """Shares of the most frequent values; the top values of either side are compared."""
-
-    def side(df: DataFrame) -> DataFrame:
-        total = df.agg(F.count("*").cast("double")).scalar()
-        counts = df.groupBy(F.col(column).cast("string").alias("metric")).agg(F.count("*").alias("_n"))
-        return counts.withColumn("value", safe_divide(F.col("_n"), total)).drop("_n")
-
-    a, b = side(base), side(other)
-    leaders = [s.orderBy(F.col("value").desc(), "metric").limit(top).select("metric") for s in (a, b)]
-    names = leaders[0].union(leaders[1]).distinct()
-    rows = _sides(a, b, ["metric"], "value").fillna(0.0, ["base", "other"])
-    kept = rows.join(names, rows["metric"].eqNullSafe(names["metric"]), "left_semi")
-    return _judge(kept, "distribution", F.abs(F.col("base") - F.col("other")), tolerance)
+    return _parity(base, other, [distribution_check(column, top, tolerance)]).select(*PARITY)
 
 
 def temporal(base: DataFrame, other: DataFrame, column: str, grain: str = "month", tolerance: float = ROW_TOLERANCE) -> DataFrame:
     """Rows per period on both sides."""
-
-    def side(df: DataFrame) -> DataFrame:
-        period = F.date_format(F.date_trunc(grain, F.col(column)), "yyyy-MM-dd").alias("metric")
-        return df.groupBy(period).agg(F.count("*").cast("double").alias("value"))
-
-    rows = _sides(side(base), side(other), ["metric"], "value").fillna(0.0, ["base", "other"])
-    return _judge(rows, "temporal", relative_diff(F.col("base"), F.col("other")), tolerance)
+    return _parity(base, other, [temporal_check(column, grain, tolerance)]).select(*PARITY)
 
 
 def partition_counts(base: DataFrame, other: DataFrame, column: str) -> DataFrame:
     """Rows per partition must be equal."""
-
-    def side(df: DataFrame) -> DataFrame:
-        return df.groupBy(F.col(column).cast("string").alias("metric")).agg(F.count("*").cast("double").alias("value"))
-
-    rows = _sides(side(base), side(other), ["metric"], "value").fillna(0.0, ["base", "other"])
-    return _judge(rows, "partition_count", F.abs(F.col("base") - F.col("other")), 0.0)
+    return _parity(base, other, [partitions_check(column)]).select(*PARITY)
 
 
 def width(df: DataFrame, schema: T.StructType | Sequence[str]) -> tuple[int, int, bool]:

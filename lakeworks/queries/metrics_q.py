@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import distinct
 from ..plans import metrics as MT
 from ..plans.metrics import Contract, Dimension, Filter, Join, Metric, Table
 from . import mapping as S
@@ -213,6 +214,17 @@ def _(t):
     return orders_metric(t, "completed_orders", ["order_status", "country"])
 
 
+@query(
+    "distinct_rollup",
+    """SELECT CASE WHEN GROUPING(o_orderstatus) + GROUPING(o_orderpriority) = 0 THEN 0 WHEN GROUPING(o_orderstatus) = 0 THEN 1
+  WHEN GROUPING(o_orderpriority) = 0 THEN 2 ELSE 3 END AS grouping, o_orderstatus, o_orderpriority, COUNT(DISTINCT o_custkey) AS buyers
+FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), (o_orderpriority), ())""",
+)
+def _(t):
+    sets = [["o_orderstatus", "o_orderpriority"], ["o_orderstatus"], ["o_orderpriority"], []]
+    return distinct.distinct_rollup(t.orders, "o_custkey", sets, "buyers")
+
+
 @query("metric_sum", with_sql(I, O, U, body=f"SELECT country, {fsum('sale_price')} AS completed_revenue {IOU} WHERE {DONE} GROUP BY ALL"))
 def _(t):
     return orders_metric(t, "completed_revenue", ["country"])

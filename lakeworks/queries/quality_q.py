@@ -307,21 +307,55 @@ DECISION_ROWS = [
     ),
 )
 def _(t):
-    a, b = base(t), other(t)
-    tests = [
-        (Q.row_count(a, b), "CRITICAL"),
-        (Q.metric_sums(a, b, ["o_totalprice"]), "CRITICAL"),
-        (Q.distinct_count(a, b, ["o_custkey"]), "HIGH"),
-        (Q.null_counts(a, b, ["o_custkey", "o_orderstatus"]), "HIGH"),
-        (Q.null_rates(a, b, ["o_orderstatus", "o_custkey", "o_orderdate"]), "HIGH"),
+    checks = [
+        (Q.rows_check(), "CRITICAL"),
+        (Q.sums_check(["o_totalprice"]), "CRITICAL"),
+        (Q.distinct_check(["o_custkey"]), "HIGH"),
+        (Q.null_counts_check(["o_custkey", "o_orderstatus"]), "HIGH"),
+        (Q.null_rates_check(["o_orderstatus", "o_custkey", "o_orderdate"]), "HIGH"),
     ]
-    rows = None
-    for result, priority in tests:
-        part = result.select("test", "metric", "passed", F.lit(priority).alias("priority"))
-        rows = part if rows is None else rows.unionByName(part)
+    rows = Q.parity(base(t), other(t), checks)
     return Q.decision(rows)
 
 
+def _counts_sql(value: str, side: str) -> str:
+    return f"SELECT CAST({value} AS VARCHAR) AS metric, COUNT(*)::DOUBLE AS n FROM {side} GROUP BY ALL"
+
+
+def _by_value_sql(test: str, value: str, tolerance: float, rel: bool = True) -> str:
+    both = f"({_counts_sql(value, 'orders')}) a FULL JOIN ({_counts_sql(value, 'other')}) b USING (metric)"
+    return judged(test, tolerance, rel).replace("FROM v", f"FROM (SELECT metric, COALESCE(a.n, 0) AS base, COALESCE(b.n, 0) AS other FROM {both})")
+
+
+@query(
+    "parity_report",
+    with_sql(
+        OTHER,
+        (
+            "r",
+            " UNION ALL ".join(
+                [
+                    judged("row_count", 0.001).replace("FROM v", "FROM (SELECT 'rows' AS metric, (SELECT COUNT(*) FROM orders) AS base, (SELECT COUNT(*) FROM other) AS other)"),
+                    judged("null_count", 0, rel=False).replace(
+                        "FROM v",
+                        "FROM (SELECT 'o_orderstatus' AS metric, (SELECT COUNT(*) - COUNT(o_orderstatus) FROM orders) AS base, (SELECT COUNT(*) - COUNT(o_orderstatus) FROM other) AS other)",
+                    ),
+                    _by_value_sql("partition_count", "o_orderpriority", 0, rel=False),
+                    _by_value_sql("temporal", "strftime(date_trunc('month', o_orderdate), '%Y-%m-%d')", 0.001),
+                    f"""SELECT 'date_range', 'o_orderdate.' || e, NULL, NULL, NULL, a = b FROM (
+  SELECT 'min' AS e, (SELECT {DATE.format("MIN")} FROM orders) AS a, (SELECT {DATE.format("MIN")} FROM other) AS b
+  UNION ALL SELECT 'max', (SELECT {DATE.format("MAX")} FROM orders), (SELECT {DATE.format("MAX")} FROM other))""",
+                ]
+            ),
+        ),
+        body="SELECT * FROM r",
+    ),
+)
+def _(t):
+    checks = [Q.rows_check(), Q.null_counts_check(["o_orderstatus"]), Q.partitions_check("o_orderpriority"), Q.temporal_check("o_orderdate"), Q.ranges_check(["o_orderdate"])]
+    return Q.parity(base(t), other(t), [(c, "HIGH") for c in checks]).select(*Q.PARITY)
+
+
 @query(
     "result_compare",
     with_sql(

@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +51,39 @@ def test_distribution_sees_values_of_either_side(spark):
     assert passed(Q.distribution(base, other, "v")) == {"a": False, "b": False, "c": False}
 
 
+def test_many_tests_read_each_side_twice(spark, folder):
+    rows = [(i, f"v{i % 7}", None if i % 5 == 0 else float(i), datetime(2024, 1 + i % 12, 1)) for i in range(200)]
+    schema = "k long, v string, x double, at timestamp"
+    for name, kept in (("a", rows), ("b", rows[:190])):
+        spark.createDataFrame(kept, schema).write.parquet(f"{folder}/{name}")
+    a, b = (spark.read.parquet(f"{folder}/{n}") for n in "ab")
+    aggregates = [Q.rows_check(), Q.distinct_check(["k", "v"]), Q.sums_check(["x"]), Q.stats_check(["x"]), Q.null_rates_check(["k", "x"]), Q.null_counts_check(["x"]), Q.ranges_check(["at"])]
+    by_value = [Q.temporal_check("at"), Q.partitions_check("v")]
+    fused = Q.parity(a, b, [(c, "HIGH") for c in aggregates + by_value])
+    assert str(fused._jdf.queryExecution().optimizedPlan()).count("Relation [") == 4
+    top = Q.distribution_check("v", 3)
+    every = Q.parity(a, b, [(c, "LOW") for c in [*aggregates, top, *by_value]])
+    assert str(every._jdf.queryExecution().optimizedPlan()).count(f"Relation [k") == 2  # counts of values are settled before
+    single = [
+        Q.row_count(a, b), Q.distinct_count(a, b, ["k", "v"]), Q.metric_sums(a, b, ["x"]), Q.metric_stats(a, b, ["x"]), Q.null_rates(a, b, ["k", "x"]),
+        Q.null_counts(a, b, ["x"]), Q.temporal(a, b, "at"), Q.partition_counts(a, b, "v"), Q.distribution(a, b, "v", 3),
+    ]
+    want = sorted(str(tuple(r)) for df in single for r in df.collect())
+    got = every.filter("test <> 'date_range'").select(*Q.PARITY)
+    assert sorted(str(tuple(r)) for r in got.collect()) == want
+    ranges = {r["metric"]: (r["base_text"], r["other_text"], r["passed"], r["priority"]) for r in every.filter("test = 'date_range'").collect()}
+    assert ranges == {m: (d, d, True, "LOW") for m, d in (("at.min", "2024-01-01 00:00:00"), ("at.max", "2024-12-01 00:00:00"))}
+
+
+def test_values_that_are_null_or_missing_on_a_side(spark):
+    base = spark.createDataFrame([("a",), (None,), (None,)], "v string")
+    other = spark.createDataFrame([("a",), ("b",), (None,)], "v string")
+    rows = {r["metric"]: (r["base"], r["other"]) for r in Q.partition_counts(base, other, "v").collect()}
+    assert rows == {"a": (1.0, 1.0), "b": (0.0, 1.0), None: (2.0, 1.0)}
+    assert {r["metric"] for r in Q.distribution(base, other, "v").collect()} == {"a", "b", None}
+    assert Q.distribution(base.limit(0), other.limit(0), "v").count() == 0
+
+
 def test_decision(spark):
     schema = "priority string, passed boolean"
     ten = [("HIGH", True)] * 10

@@ -11,7 +11,7 @@ PICKED = [
     "weekday_pattern", "market_overview", "opening_hours", "uncovered_cells", "radius_benchmark", "ntile_zones", "geo_routes",
     "nearest_neighbor_route", "rls_range", "secure_view", "range_expand", "result_compare", "parity_decision", "group_expand",
     "lineage_merge", "lineage_levels", "error_breakdown", "slot_distribution", "metric_topn", "gold_aov_by_country", "load_merge",
-    "load_merge_partitioned", "cdc_apply_stream", "txn_generate", "fn_geohash", "fn_array_agg_ordered",
+    "load_merge_partitioned", "cdc_apply_stream", "txn_generate", "fn_geohash", "fn_array_agg_ordered", "parity_report", "distinct_rollup", "parity_distribution",
 ]
 
 
