@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from ..functions.values import fixed_sum, safe_divide
 from ..session import settle
 from .dedup import schema_diff
-from .ordered import GroupOrder, with_global_rank
+from .ordered import with_global_rank
+from .pairing import near, pairs_within
 
 # Fixed thresholds.
 ROW_TOLERANCE = 0.001
@@ -322,10 +323,8 @@ def result_compare(
 ) -> DataFrame:
     """Rows compared, rows that differ beyond the tolerance and rows only on one side.
 
-    Without ``order`` the rows are multisets: of rows that agree in every exact column, equal ones
-    go together first and the others along their sorted fractions, so a fraction may be off by the
-    tolerance. Where several of these are left and their leading fraction is off too, the sorting
-    may pair them otherwise than a person would. With ``order`` (a unique one) rows pair by
+    Without ``order`` the rows are multisets: of rows that agree in every exact column as many as can be
+    are paired within the tolerance, and the rest that have a counterpart differ. With ``order`` (a unique one) rows pair by
     position. Columns pair by position too.
     """
     names = [f"c{i}" for i in range(len(base.columns))]
@@ -344,8 +343,7 @@ def result_compare(
         a, b = F.col(f"a.{n}"), F.col(f"b.{n}")
         if n not in fractions:
             return a.eqNullSafe(b)
-        near = F.abs(a - b) <= F.greatest(F.lit(relative) * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute))
-        return F.coalesce(near, F.lit(False)) | a.eqNullSafe(b)
+        return F.coalesce(near(a, b, relative, absolute), F.lit(False)) | a.eqNullSafe(b)
 
     def counts(pairs: DataFrame, compared: Sequence[str]) -> DataFrame:
         """Counts of pairs ``a``, ``b``, where a missing side is NULL."""
@@ -355,7 +353,7 @@ def result_compare(
         return pairs.agg(*[F.count_if(c).alias(n) for n, c in zip(_COUNTS, found)])
 
     if order is None:
-        found = _multiset_counts(plain(base), plain(other), exact, fractions, counts)
+        found = _multiset_counts(plain(base), plain(other), exact, fractions, relative, absolute)
     else:
         by_name = dict(zip(base.columns, names))
         sort = [by_name[c] for c in order]
@@ -366,35 +364,50 @@ def result_compare(
     return found.withColumn("equal", (F.col("different") == 0) & (F.col("base_only") == 0) & (F.col("other_only") == 0))
 
 
-def _multiset_counts(base: DataFrame, other: DataFrame, exact: Sequence[str], fractions: Sequence[str], counts) -> DataFrame:
+def _multiset_counts(base: DataFrame, other: DataFrame, exact: Sequence[str], fractions: Sequence[str], relative: float, absolute: float) -> DataFrame:
     # 128 bits stand for the exact columns; a marker per column keeps a NULL apart from a value moved to its neighbour.
+    # A fraction that is NULL, NaN or infinite pairs with its like only, so its kind is exact too.
     marked = [x for n in exact for x in (F.col(n).isNull(), F.col(n))]
-    hashes = [F.xxhash64(F.lit(i + 1), *marked).alias(h) for i, h in enumerate(_HASH)]
-    packed = F.struct(F.lit(True).alias("here"), *fractions)
-    sides = [df.select(*hashes, F.lit(tag).alias("_side"), packed.alias("_values")) for df, tag in ((base, "a"), (other, "b"))]
-    rows = settle(sides[0].unionByName(sides[1]), "compared")
+    kinds = [F.when(F.isnan(n), 1).when(F.abs(n) == float("inf"), F.signum(n) + 3) for n in fractions]
+    numbers = [F.when(F.isnan(n) | (F.abs(n) == float("inf")), 0.0).otherwise(F.coalesce(n, F.lit(0.0))) for n in fractions]
+    kinds = [F.when(F.col(n).isNull(), 0).otherwise(F.coalesce(k, F.lit(9))).cast("int") for n, k in zip(fractions, kinds)]
+    hashes = [F.xxhash64(F.lit(i + 1), *marked, *kinds).alias(h) for i, h in enumerate(_HASH)]
+    # -0.0 equals 0.0.
+    plain = [(F.when(x == 0, 0.0).otherwise(x)).alias(n) for n, x in zip(fractions, numbers)]
+    sides = [df.select(*hashes, F.lit(tag).alias("_side"), *plain) for df, tag in ((base, "a"), (other, "b"))]
+    rows = sides[0].unionByName(sides[1])
     mine = {tag: F.col("_side") == tag for tag in "ab"}
+    # Sums of halves of hashes tell whether both sides hold the same rows, whatever their order.
+    value = [F.xxhash64(F.lit(i + 7), *fractions) for i in range(2)]
+    halves = [h for v in value for h in (F.shiftrightunsigned(v, 32), v.bitwiseAND(F.lit((1 << 32) - 1)))]
+    balance = [F.sum(F.when(mine["a"], h).otherwise(-h)).alias(f"_s{i}") for i, h in enumerate(halves)]
     groups = rows.groupBy(*_HASH).agg(
-        *[F.count_if(m).alias(f"_n{tag}") for tag, m in mine.items()], *[F.max(F.when(m, F.col("_values"))).alias(tag) for tag, m in mine.items()]
+        *[F.count_if(m).alias(f"n{tag}") for tag, m in mine.items()],
+        *balance,
+        *[F.max(F.when(m, F.struct(F.lit(True).alias("here"), *fractions))).alias(tag) for tag, m in mine.items()],
     )
-    # A group with a row of each side at most has one way to pair.
-    crowded = (F.col("_na") > 1) | (F.col("_nb") > 1)
-    groups = groups.withColumn("_crowded", crowded)
-    few = counts(groups.filter("not _crowded"), fractions)
-    # In the others equal rows go first, many at a time.
-    many = rows.join(groups.filter("_crowded").select(*_HASH), _HASH, "left_semi")
-    times = many.groupBy(*_HASH, "_values").agg(*[F.count_if(m).alias(f"_n{tag}") for tag, m in mine.items()])
-    times = settle(times.withColumn("_matched", F.least("_na", "_nb")), "times")
-    numbered = []
-    for tag in "ab":
-        left = times.withColumn("_left", F.col(f"_n{tag}") - F.col("_matched")).filter("_left > 0")
-        one = left.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_left"))))
-        side = one.select(*_HASH, "_values", "_copy")
-        numbered.append(GroupOrder(side, _HASH, ["_values", "_copy"]).numbered("_rank").select(*_HASH, "_rank", F.col("_values").alias(tag)))
-    paired = counts(numbered[0].join(numbered[1], [*_HASH, "_rank"], "full"), fractions)
-    matched = times.agg(F.coalesce(F.sum("_matched"), F.lit(0)).alias("compared"), *[F.lit(0).cast("long").alias(n) for n in _COUNTS[1:]])
-    parts = few.unionByName(paired).unionByName(matched)
-    return parts.agg(*[F.sum(n).alias(n) for n in _COUNTS])
+    both = F.least("na", "nb")
+    equal = reduce(lambda x, y: x & y, [F.col(f"_s{i}") == 0 for i in range(len(halves))])
+    single = (F.col("na") == 1) & (F.col("nb") == 1)
+    close = reduce(lambda x, y: x & y, [near(F.col(f"a.{n}"), F.col(f"b.{n}"), relative, absolute) for n in fractions], F.lit(True))
+    crowded = F.lit(False) if not fractions else (both > 0) & ~single & ~(equal & (F.col("na") == F.col("nb")))
+    matched = F.when(single, close.cast("long")).otherwise(both)
+    marked_groups = groups.select(*_HASH, "na", "nb", crowded.alias("_crowded"), matched.alias("matched"))
+    # Written are the groups that need a closer look, and one row per task for all others.
+    keys = [F.when(F.col("_crowded"), F.col(h)).otherwise(F.spark_partition_id()).alias(h) for h in _HASH]
+    sums = [F.sum(F.when(F.col("_crowded"), 0).otherwise(F.col("matched"))).alias("matched")]
+    sums += [F.sum(x).alias(n) for n, x in (("paired", both), ("base_only", F.col("na") - both), ("other_only", F.col("nb") - both))]
+    summed = settle(marked_groups.groupBy("_crowded", *keys).agg(*sums), "compared")
+    totals = summed.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("matched", "paired", "base_only", "other_only")])
+    looked_at = summed.filter("_crowded").select(*_HASH)
+    if fractions and not looked_at.isEmpty():
+        # Equal rows are counted before they are brought together.
+        times = rows.join(looked_at, _HASH, "left_semi").groupBy(*_HASH, *fractions).agg(*[F.count_if(m).alias(f"n{tag}") for tag, m in mine.items()])
+        found = pairs_within(times, _HASH, fractions, relative, absolute)
+        zeros = [F.lit(0).cast("long").alias(n) for n in ("paired", "base_only", "other_only")]
+        parts = totals.unionByName(found.select("matched", *zeros))
+        totals = parts.agg(*[F.sum(n).alias(n) for n in ("matched", "paired", "base_only", "other_only")])
+    return totals.select(F.col("paired").alias("compared"), (F.col("paired") - F.col("matched")).alias("different"), "base_only", "other_only")
 
 
 # --- profiles ----------------------------------------------------------------------------

@@ -1,8 +1,11 @@
+import random
+from collections import Counter
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from lakeworks.operators import pairing
 from lakeworks.operators import quality as Q
 
 
@@ -121,6 +124,74 @@ def test_equal_rows_pair_first(spark):
     assert Q.result_compare(a, c).first()[:] == (2, 0, 0, 2, False)
 
 
+def test_as_many_rows_pair_as_can(spark):
+    """Each row has a partner, but not the one that sorting by the first number would give it."""
+    schema = "x double, y double"
+    a = spark.createDataFrame([(1.0, 5.0), (1.0000001, 3.0)], schema)
+    b = spark.createDataFrame([(1.0000001, 5.0), (1.0, 3.0)], schema)
+    assert Q.result_compare(a, b).first()[:] == (2, 0, 0, 0, True)
+    c = spark.createDataFrame([(1.0, 5.0), (1.0000001, 4.0)], schema)
+    assert Q.result_compare(a, c).first()[:] == (2, 1, 0, 0, False)
+    inf, nan = float("inf"), float("nan")
+    odd = [(inf, 1.0), (-inf, 1.0), (nan, 1.0), (None, 1.0), (0.0, 1.0), (-0.0, 1.0)]
+    mixed = spark.createDataFrame(odd, schema)
+    assert Q.result_compare(mixed, spark.createDataFrame(odd[::-1], schema)).first()[:] == (6, 0, 0, 0, True)
+    assert Q.result_compare(mixed, mixed.fillna(0.0)).first()[:] == (4, 0, 2, 2, False)
+
+
+def test_a_value_repeated_very_often_stays_one_row(spark):
+    many = spark.range(200_000).select(F.lit(1.0).alias("x"), F.lit("k").alias("k"))
+    near = many.select(F.when(F.rand(1) < 0.5, 1.0).otherwise(1.0 + 1e-9).alias("x"), "k").unionByName(spark.createDataFrame([(3.0, "k")], "x double, k string"))
+    assert Q.result_compare(many, near).first()[:] == (200_000, 0, 0, 1, False)
+
+
+def brute_pairs(a, b, relative, absolute):
+    """Largest matching by trying every partner."""
+    def fits(x, y):
+        return all(abs(p - q) <= max(relative * max(abs(p), abs(q)), absolute) for p, q in zip(x, y))
+
+    def best(rest, free):
+        if not rest:
+            return 0
+        most = best(rest[1:], free)
+        for j in free:
+            if fits(rest[0], b[j]):
+                most = max(most, 1 + best(rest[1:], free - {j}))
+        return most
+
+    return best(a, frozenset(range(len(b))))
+
+
+def test_most_pairs_by_brute_force():
+    rng = random.Random(8)
+    for trial in range(400):
+        k = rng.choice([1, 2, 3])
+        scale, relative, absolute = rng.choice([(1, 0.0, 1.0), (1, 0.3, 0.1), (-1, 0.3, 0.1)])
+        make = lambda n: [tuple(float(scale * rng.randrange(0, 5)) for _ in range(k)) for _ in range(n)]
+        a, b = make(rng.randrange(0, 6)), make(rng.randrange(0, 6))
+        sides = []
+        for rows in (a, b):
+            counts = sorted(Counter(rows).items())
+            sides += [[v for v, _ in counts], [n for _, n in counts]]
+        assert pairing.most_pairs(*sides, relative, absolute) == brute_pairs(a, b, relative, absolute), (a, b, relative, absolute)
+
+
+def test_compare_by_brute_force_in_ranges(spark):
+    rng = random.Random(9)
+    make = lambda n: [(rng.choice("pq"), float(rng.randrange(30)), float(rng.randrange(3))) for _ in range(n)]
+    a, b = make(60), make(55)
+    got = Q.result_compare(spark.createDataFrame(a, "k string, x double, y double"), spark.createDataFrame(b, "k string, x double, y double"), 0.0, 1.0).first()
+    paired = matched = 0
+    for k in "pq":
+        sides = []
+        for rows in (a, b):
+            counts = sorted(Counter(r[1:] for r in rows if r[0] == k).items())
+            sides += [[v for v, _ in counts], [n for _, n in counts]]
+        paired += min(sum(sides[1]), sum(sides[3]))
+        matched += pairing.most_pairs(*sides, 0.0, 1.0)
+    assert (got["compared"], got["different"]) == (paired, paired - matched)
+
+
 def test_ordered_compare_pairs_in_the_given_order(spark):
     a = spark.createDataFrame([(1, 5.0), (2, 6.0)], "rank long, x double")
     b = spark.createDataFrame([(1, 6.0), (2, 5.0)], "rank long, x double")
