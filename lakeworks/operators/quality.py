@@ -7,7 +7,7 @@ sides are brought together by one union and a grouping, never by a join of every
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -413,34 +413,66 @@ def _multiset_counts(base: DataFrame, other: DataFrame, exact: Sequence[str], fr
 # --- profiles ----------------------------------------------------------------------------
 
 
+TOP_VALUES = 5
+TRACKED = 10_000  # values that a column's sketch of frequent values holds; counts are exact below three quarters of it
+_TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _as_number(c: Column, kind: T.DataType) -> Column | None:
+    """Numbers as they are, times as microseconds; what quartiles are taken of."""
+    if isinstance(kind, T.NumericType):
+        return c.cast("double")
+    return F.unix_micros(c.cast("timestamp")).cast("double") if isinstance(kind, _TIMES) else None
+
+
+def _as_text(kind: T.DataType) -> Callable[[Column], Column]:
+    if isinstance(kind, _TIMES):
+        return lambda c: F.timestamp_micros(c.cast("long")).cast(kind).cast("string")
+    return lambda c: c.cast(kind).cast("string")
+
+
 def table_profile(df: DataFrame, sample: float | None = None, columns: Sequence[str] | None = None) -> DataFrame:
-    """Per column: rows, null share, approximate distinct values, range, mean, deviation and quartiles.
+    """Per column of any type: rows, null share, approximate distinct values, range, quartiles, frequent values.
 
-    One pass over the table; ``sample`` is a percentage for a quick look.
+    Numbers have a mean and a deviation, text and binary columns have lengths. Columns that cannot be ordered, such as maps,
+    have the counts only. One pass over the table: quartiles, distinct and frequent values come from sketches of
+    bounded size that tasks make and merge. ``sample`` is a percentage for a quick look.
     """
     if sample is not None:
         df = df.sample(fraction=sample / 100.0, seed=42)
-    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    none = F.lit(None)
     packed = []
-    for f in fields:
-        c = F.col(f"`{f.name}`")
-        numeric = isinstance(f.dataType, T.NumericType)
-        number = c.cast("double") if numeric else F.lit(None).cast("double")
-        quartiles = (
-            F.percentile_approx(number, [0.25, 0.5, 0.75]) if numeric else F.lit(None).cast("array<double>")
-        )
+    for f in df.schema.fields:
+        if columns is not None and f.name not in columns:
+            continue
+        c, kind = F.col(f"`{f.name}`"), f.dataType
+        plain = isinstance(kind, (T.NumericType, *_TIMES, T.StringType, T.BooleanType, T.BinaryType))
+        number = _as_number(c, kind)
+        value = number if isinstance(kind, T.NumericType) else none.cast("double")
+        length = F.length(c).cast("double") if isinstance(kind, (T.StringType, T.BinaryType)) else none.cast("double")
+        quartiles = none.cast("array<string>")
+        if number is not None:
+            quartiles = F.transform(F.percentile_approx(number, [0.25, 0.5, 0.75]), _as_text(kind))
+        frequent = none.cast("array<struct<value: string, count: bigint>>")
+        if plain and not isinstance(kind, T.BinaryType):
+            # The sketch keeps text; a column of all values NULL has no frequent ones.
+            found = F.call_function("approx_top_k", c.cast("string"), F.lit(TOP_VALUES), F.lit(TRACKED))
+            frequent = F.transform(F.filter(found, lambda x: x["item"].isNotNull()), lambda x: F.struct(x["item"].alias("value"), x["count"].alias("count")))
         packed.append(
             F.struct(
                 F.lit(f.name).alias("column"),
-                F.lit(f.dataType.simpleString()).alias("type"),
+                F.lit(kind.simpleString()).alias("type"),
                 F.count("*").alias("rows"),
                 safe_divide(F.count_if(c.isNull()), F.count("*")).alias("null_ratio"),
-                F.approx_count_distinct(c).alias("approx_distinct"),
-                F.min(c).cast("string").alias("least"),
-                F.max(c).cast("string").alias("greatest"),
-                F.avg(number).alias("mean"),
-                F.stddev_samp(number).alias("deviation"),
+                (F.approx_count_distinct(c) if plain else none.cast("long")).alias("approx_distinct"),
+                (F.min(c) if plain else none).cast("string").alias("least"),
+                (F.max(c) if plain else none).cast("string").alias("greatest"),
+                F.avg(value).alias("mean"),
+                F.stddev_samp(value).alias("deviation"),
                 quartiles.alias("quartiles"),
+                F.min(length).cast("long").alias("shortest"),
+                F.max(length).cast("long").alias("longest"),
+                frequent.alias("frequent"),
             )
         )
     return df.agg(F.array(*packed).alias("_p")).select(F.inline("_p"))

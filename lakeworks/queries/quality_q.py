@@ -376,38 +376,51 @@ def _(t):
     return Q.result_compare(left, nudged.filter("order_id % 70 <> 0").unionByName(extra))
 
 
-PROFILED = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double"}
+PROFILED = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
+FEW = ("o_orderstatus", "o_orderpriority")
 
 
-@query(
-    "table_profile",
-    with_sql(
-        OTHER,
-        body=" UNION ALL ".join(
-            f"""SELECT '{c}' AS column, '{ty}' AS type, COUNT(*) AS rows, COUNT(*) FILTER (WHERE {c} IS NULL)::DOUBLE / COUNT(*)
-  AS null_ratio, CAST(MIN({c}) AS DOUBLE) AS least, CAST(MAX({c}) AS DOUBLE) AS greatest, ROUND(AVG({c}), 4) AS mean,
-  ROUND(STDDEV_SAMP({c}), 4) AS deviation, TRUE AS distinct_close, TRUE AS quartiles_ordered FROM other"""
-            for c, ty in PROFILED.items()
-        ),
-    ),
-)
+def _profile_sql(c: str, kind: str) -> str:
+    text = f"strftime({{}}({c}), '%Y-%m-%d %H:%M:%S')" if kind == "timestamp_ntz" else f"CAST({{}}({c}) AS VARCHAR)"
+    numeric, words = kind in ("bigint", "double"), kind == "string"
+    most = f"(SELECT {c} FROM other WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY COUNT(*) DESC LIMIT 1)" if c in FEW else "CAST(NULL AS VARCHAR)"
+    times = f"(SELECT COUNT(*) FROM other WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY COUNT(*) DESC LIMIT 1)" if c in FEW else "CAST(NULL AS BIGINT)"
+    return f"""SELECT '{c}' AS column, '{kind}' AS type, COUNT(*) AS rows, COUNT(*) FILTER (WHERE {c} IS NULL)::DOUBLE / COUNT(*)
+  AS null_ratio, {text.format("MIN")} AS least, {text.format("MAX")} AS greatest, {f"ROUND(AVG({c}), 4)" if numeric else "CAST(NULL AS DOUBLE)"} AS mean,
+  {f"ROUND(STDDEV_SAMP({c}), 4)" if numeric else "CAST(NULL AS DOUBLE)"} AS deviation, {f"MIN(length({c}))" if words else "CAST(NULL AS BIGINT)"} AS shortest,
+  {f"MAX(length({c}))" if words else "CAST(NULL AS BIGINT)"} AS longest, {most} AS most_frequent, {times} AS times, TRUE AS distinct_close,
+  {"CAST(NULL AS BOOLEAN)" if words else "TRUE"} AS quartiles_close FROM other"""
+
+
+@query("table_profile", with_sql(OTHER, body=" UNION ALL ".join(_profile_sql(c, kind) for c, kind in PROFILED.items())))
 def _(t):
     rows = other(t)
     exact = rows.agg(*[F.count_distinct(c).alias(c) for c in PROFILED])
     exact = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in PROFILED])))
-    profile = Q.table_profile(rows, columns=list(PROFILED)).join(exact, "column")
-    q = F.col("quartiles")
+    # Share of rows up to each quartile, which must be near the quartile's own.
+    marks = Q.table_profile(rows).select("column", "quartiles").filter("quartiles IS NOT NULL")
+    ordered = {r["column"]: r["quartiles"] for r in marks.collect()}  # one row per column
+    shares = [F.avg((F.col(c) <= F.lit(q).cast(PROFILED[c])).cast("double")).alias(f"{c}_{i}") for c, qs in ordered.items() for i, q in enumerate(qs)]
+    found = rows.agg(*shares)
+    near = {c: (F.abs(F.col(f"{c}_0") - 0.25) < 0.02) & (F.abs(F.col(f"{c}_1") - 0.5) < 0.02) & (F.abs(F.col(f"{c}_2") - 0.75) < 0.02) for c in ordered}
+    close = found.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), x.alias("quartiles_close")) for c, x in near.items()])))
+    profile = Q.table_profile(rows).join(exact, "column").join(close, "column", "left")
+    few = F.col("column").isin(*FEW)
     return profile.select(
         "column",
         "type",
         "rows",
         "null_ratio",
-        F.col("least").cast("double").alias("least"),
-        F.col("greatest").cast("double").alias("greatest"),
+        "least",
+        "greatest",
         F.round("mean", 4).alias("mean"),
         F.round("deviation", 4).alias("deviation"),
+        "shortest",
+        "longest",
+        F.when(few, F.get("frequent", F.lit(0))["value"]).alias("most_frequent"),
+        F.when(few, F.get("frequent", F.lit(0))["count"]).alias("times"),
         (F.abs(F.col("approx_distinct") - F.col("n")) <= F.col("n") * 0.15).alias("distinct_close"),
-        ((F.get(q, F.lit(0)) <= F.get(q, F.lit(1))) & (F.get(q, F.lit(1)) <= F.get(q, F.lit(2)))).alias("quartiles_ordered"),
+        "quartiles_close",
     )
 
 

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
-from datetime import datetime
+from datetime import date, datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -205,10 +206,26 @@ def test_ns_fidelity(spark):
     assert tuple(Q.ns_fidelity(exact, cut, "k", "ns").first()) == (2, 1, 1, 0)
 
 
+def test_profile_of_every_type_in_one_pass(spark, folder):
+    day, at = date(2024, 1, 1), datetime(2024, 1, 1, 12)
+    rows = [(i, Decimal(i) / 4, day + timedelta(i), at + timedelta(hours=i), i % 3 == 0, f"v{i % 4}" * (1 + i % 2), bytes(i % 5), [i], {"a": i}, None) for i in range(41)]
+    schema = "n int, d decimal(9,2), day date, at timestamp, b boolean, s string, raw binary, list array<int>, m map<string, int>, none string"
+    spark.createDataFrame(rows, schema).write.parquet(folder)
+    df = Q.table_profile(spark.read.parquet(folder))
+    assert str(df._jdf.queryExecution().optimizedPlan()).count("Relation [") == 1
+    got = {r["column"]: r for r in df.collect()}
+    assert list(got) == [f.split()[0] for f in schema.split(", ") if not f.startswith("int>")]
+    assert got["d"]["mean"] == 5.0 and got["d"]["greatest"] == "10.00" and got["n"]["quartiles"] == ["10", "20", "30"]
+    assert got["day"]["quartiles"] == ["2024-01-11", "2024-01-21", "2024-01-31"] and got["at"]["quartiles"][1] == "2024-01-02 08:00:00"
+    assert got["b"]["frequent"] == [("false", 27), ("true", 14)] and (got["s"]["shortest"], got["s"]["longest"]) == (2, 4) and got["raw"]["longest"] == 4
+    assert got["m"]["rows"] == 41 and got["m"]["least"] is None and got["none"]["null_ratio"] == 1.0 and got["none"]["frequent"] == []
+
+
 def test_profile_and_descriptions(spark):
     df = spark.createDataFrame([(i, None if i % 4 == 0 else "x") for i in range(100)], "n long, s string")
     rows = {r["column"]: r for r in Q.table_profile(df).collect()}
-    assert rows["s"]["null_ratio"] == 0.25 and rows["s"]["mean"] is None and rows["n"]["quartiles"][1] in (49.0, 50.0)
+    assert rows["s"]["null_ratio"] == 0.25 and rows["s"]["mean"] is None and rows["n"]["quartiles"][1] in ("49", "50")
+    assert rows["s"]["frequent"] == [("x", 75)] and (rows["s"]["shortest"], rows["s"]["longest"]) == (1, 1) and rows["n"]["longest"] is None
     assert 0 < Q.table_profile(df, sample=50, columns=["n"]).first()["rows"] < 100
     described = Q.merge_descriptions(df, {"n": "number"})
     again = Q.merge_descriptions(described, {"n": "changed", "s": "text"})
