@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 
 from .common import blocks, ids_and_texts, written
 
-BLOCK = 8 << 20  # bytes of text aligned together
+BLOCK = 1 << 20  # bytes of text aligned together
+AT_ONCE = 10_000  # stretches whose ids are lists of numbers at one time
 _SPACE = "▁"  # how a piece writes a space
 _ODD = re.compile(r"\s | \s|^ | $")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
@@ -81,13 +82,21 @@ class Tokenizers:
 
     def encode(self, stretches: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
         """Ids of both tokenizers for each stretch, with a space in front."""
+        parts = [stretches[i : i + AT_ONCE] for i in range(0, len(stretches), AT_ONCE)]
         encode = self._ranked.encode_ordinary
-        return _lists([encode(" " + x) for x in stretches]), _lists(self._pieces.encode(stretches, num_threads=1) if stretches else [])
+        a = [_flat([encode(" " + x) for x in part]) for part in parts]
+        b = [_flat(self._pieces.encode(part, num_threads=1)) for part in parts]
+        return _lists(a), _lists(b)
 
 
-def _lists(rows: list[list[int]]) -> pa.ListArray:
-    upto = np.concatenate([[0], np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))])
-    flat = np.fromiter(chain.from_iterable(rows), np.int32, upto[-1])
+def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+    return lengths, np.fromiter(chain.from_iterable(rows), np.int32, lengths.sum())
+
+
+def _lists(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.ListArray:
+    upto = np.cumsum(np.concatenate([[0], *(lengths for lengths, _ in parts)]))
+    flat = np.concatenate([np.empty(0, np.int32), *(ids for _, ids in parts)])
     return pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(flat))
 
 
@@ -245,6 +254,8 @@ def _read(docs: DataFrame, byte_path: str, pattern: str, piece_path: str) -> Dat
             one = [pa.array([name]), *(pa.nulls(1, x.type) for x in columns[1:-2])]
             pairs = pa.array([coded.dictionary.to_numpy()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*one, pairs, pa.array([table["count_all"].to_numpy()], pa.list_(pa.int64()))], names=names)
+            del held, links, coded, table, stretch, hashed, none, columns, one, pairs
+            pa.default_memory_pool().release_unused()
 
     rows = ids_and_texts(docs)
     names = ["block", "doc_id", *_FIGURES, "groups_sha256", "slots", "times", "pairs", "n_docs"]
