@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.principals import acl_member, acl_member_type, classify_email, member_type, path_part
 from ..functions.values import case_map
+from .skew import BLOCK_PAIRS, blocked_join
 
 # Asset types and the resource type each one stands for (fixed values).
 ASSET_RESOURCE = {
@@ -118,16 +119,19 @@ def scan_stats(entries: DataFrame) -> DataFrame:
     )
 
 
-def group_entries(entries: DataFrame, members: DataFrame) -> DataFrame:
+def group_entries(entries: DataFrame, members: DataFrame, rows_per_task: int = BLOCK_PAIRS) -> DataFrame:
     """One more entry per member of every group entry, naming the group it came from.
 
     ``members`` holds (group_email, member_email); pass the closure for nested groups. The
-    result holds the new entries; append it to the originals.
+    result holds the new entries; append it to the originals. A group with many members and many entries is cut
+    on both sides, so that no task yields much more than ``rows_per_task``.
     """
     email = F.substring_index("member", ":", -1)
     groups = entries.filter(F.col("member_type") == "group").withColumn("group_email", email)
     kind = classify_email("member_email")
-    return groups.join(members, "group_email").select(
+    named = members.select("group_email", "member_email")
+    joined = blocked_join(groups, named, ["group_email"], ["project_id", "dataset_id", "resource_id", "role"], ["member_email"], rows_per_task)
+    return joined.select(
         "project_id",
         "dataset_id",
         "resource_id",

@@ -33,24 +33,50 @@ class _Parts:
         return reduce(DataFrame.unionByName, self.parts)
 
 
+TARGETS = 64  # walks that go on side by side, one bit each
+
+
 def lineage_levels(edges: DataFrame, start, max_depth: int | None = None) -> DataFrame:
     """(node, level): every node upstream of ``start`` at its shortest distance.
 
     ``edges`` holds (node, upstream).
     """
-    spark = edges.sparkSession
+    return lineage_of_many(edges, [start], max_depth).select("node", "level")
+
+
+def lineage_of_many(edges: DataFrame, starts: Sequence, max_depth: int | None = None) -> DataFrame:
+    """(start, node, level): every node upstream of each of ``starts`` at its shortest distance.
+
+    Up to 64 walks share a round: a node carries one bit per walk that has reached it, so there are as many rounds as the
+    deepest walk has levels. The edges are written once; a round reads them and the newest nodes.
+    """
     node_type = edges.schema["node"].dataType
-    frontier = settle(spark.range(1).select(F.lit(start).cast(node_type).alias("node"), F.lit(0).alias("level")))
+    steps = settle(edges.select("node", "upstream"), "steps")
+    found = [_marked_levels(steps, starts[i : i + TARGETS], node_type, max_depth) for i in range(0, len(starts), TARGETS)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _marked_levels(steps: DataFrame, starts: Sequence, node_type, max_depth: int | None) -> DataFrame:
+    spark = steps.sparkSession
+    bits = [F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(len(starts))]
+    first = [F.struct(F.lit(x).cast(node_type).alias("node"), b.alias("walks"), F.lit(0).alias("level")) for x, b in zip(starts, bits)]
+    begun = spark.range(1).select(F.explode(F.array(*first)).alias("s")).select("s.*")
+    frontier = settle(begun.groupBy("node", "level").agg(F.bit_or("walks").alias("walks")), "frontier")
     seen = _Parts(frontier)
     level = 0
     while max_depth is None or level < max_depth:
         level += 1
-        ahead = frontier.select("node").join(edges, "node").select(F.col("upstream").alias("node")).distinct()
-        frontier = settle(ahead.join(seen.all().select("node"), "node", "left_anti").withColumn("level", F.lit(level)))
+        ahead = frontier.select("node", "walks").join(steps, "node").groupBy(F.col("upstream").alias("node")).agg(F.bit_or("walks").alias("walks"))
+        known = seen.all().groupBy("node").agg(F.bit_or("walks").alias("_known"))
+        fresh = F.col("walks").bitwiseAND(F.bitwise_not(F.coalesce("_known", F.lit(0).cast("long"))))
+        new = ahead.join(known, "node", "left").withColumn("walks", fresh).filter("walks <> 0")
+        frontier = settle(new.select("node", F.lit(level).alias("level"), "walks"), "frontier")
         if frontier.isEmpty():
             break
         seen.add(frontier)
-    return seen.all()
+    named = F.array(*[F.struct(F.lit(x).cast(node_type).alias("start"), b.alias("bit")) for x, b in zip(starts, bits)])
+    rows = seen.all().withColumn("w", F.explode(named)).filter(F.col("walks").bitwiseAND(F.col("w.bit")) != 0)
+    return rows.select("w.start", "node", "level")
 
 
 def limited_lineage(
@@ -66,7 +92,8 @@ def limited_lineage(
     spark = edges.sparkSession
     node_type = edges.schema["node"].dataType
     away = projects.select(F.col("node").alias("upstream"), (F.col("project") != home).alias("_foreign"))
-    steps = edges.join(away, "upstream", "left").withColumn("_foreign", F.coalesce("_foreign", F.lit(True)))
+    marked = edges.join(away, "upstream", "left").select("node", "upstream", F.coalesce("_foreign", F.lit(True)).alias("_foreign"))
+    steps = settle(marked, "steps")  # joined and written once; a level reads them and the newest nodes
     count = F.col("levels_since_foreign")
     frontier = settle(
         spark.range(1).select(

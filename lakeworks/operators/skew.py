@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 HOT_SHARE = 1000
 SALTS = "_salts"
+BLOCK_PAIRS = 4_000_000
 
 
 def hot_keys(counts: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
@@ -22,6 +23,33 @@ def hot_keys(counts: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
     return counts.filter(F.col(n) * HOT_SHARE > total).select(*keys, salts)
 
 
+def blocked_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_by: Sequence[str], right_by: Sequence[str], rows: int = BLOCK_PAIRS
+) -> DataFrame:
+    """Inner join where a key may have very many rows on both sides.
+
+    A key that yields more than ``rows`` result rows is cut on both sides, into blocks of about the square
+    root of that, and each pair of blocks is joined by itself: no task yields more than a few times ``rows`` of
+    one key. A row is repeated once per block of the other side. ``left_by`` and ``right_by`` tell rows apart.
+    """
+    side = max(1, int(rows**0.5))
+    counts = [df.groupBy(*keys).agg(F.count("*").alias(n)) for df, n in ((left, "_nl"), (right, "_nr"))]
+    # One row per key that is cut; a sum of the two sides' rows for none of them.
+    large = counts[0].join(counts[1], list(keys)).filter(F.col("_nl").cast("double") * F.col("_nr") > rows)
+    cuts = large.select(*keys, *[F.ceil(F.col(n) / side).cast("int").alias(c) for n, c in (("_nl", "_cl"), ("_nr", "_cr"))])
+
+    def blocks(df: DataFrame, own: str, by: Sequence[str], mine: str, others: str, across: str) -> DataFrame:
+        marked = df.join(cuts, list(keys), "left")
+        # The partition a row comes from tells copies of it apart, and is the same when a task runs again.
+        salt = F.pmod(F.xxhash64(F.spark_partition_id(), *by), F.coalesce(F.col(mine), F.lit(1))).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(others), F.lit(1)) - 1))
+        return marked.withColumn(own, salt).withColumn(across, every).drop("_cl", "_cr")
+
+    cut_left = blocks(left, "_bl", left_by, "_cl", "_cr", "_br")
+    cut_right = blocks(right, "_br", right_by, "_cr", "_cl", "_bl")
+    return cut_left.join(cut_right, [*keys, "_bl", "_br"]).drop("_bl", "_br")
+
+
 def spread_join(
     many: DataFrame,
     one: DataFrame,

@@ -286,6 +286,20 @@ def _(t):
     return GR.lineage_levels(edges(t), 1)
 
 
+STARTS = [1, 2, 3, 10, 11, 500]
+
+
+@query(
+    "lineage_many",
+    f"""WITH RECURSIVE edges AS ({EDGES[1]}),
+walk AS (SELECT s AS start, s AS node, 0 AS level FROM (SELECT unnest({STARTS})::BIGINT AS s)
+  UNION SELECT start, upstream, level + 1 FROM walk JOIN edges USING (node) WHERE level < 24)
+SELECT start, level, COUNT(*) AS nodes FROM (SELECT start, node, MIN(level) AS level FROM walk GROUP BY ALL) GROUP BY ALL""",
+)
+def _(t):
+    return GR.lineage_of_many(edges(t), STARTS).groupBy("start", "level").agg(F.count("*").alias("nodes"))
+
+
 @query(
     "lineage_roots",
     levels_sql("SELECT node, level, CASE WHEN node % 10 = 0 THEN 'seed' ELSE 'source' END AS type FROM levels WHERE node % 10 IN (0, 1)"),

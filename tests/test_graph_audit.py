@@ -1,4 +1,4 @@
-from collections import deque
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +45,42 @@ def test_levels_with_cycle_and_diamond(edges):
     assert [r["node"] for r in G.lineage_levels(edges, "nowhere").collect()] == ["nowhere"]
 
 
+def test_many_walks_equal_single_ones(spark):
+    rng = random.Random(3)
+    links = sorted({(rng.randrange(150), rng.randrange(150)) for _ in range(260)})
+    edges = spark.createDataFrame(links, "node long, upstream long")
+    starts = list(range(70)) + [149, 999]  # more than one word of bits
+    ahead = {}
+    for a, b in links:
+        ahead.setdefault(a, []).append(b)
+    want = set()
+    for s in starts:
+        level, frontier, seen = 0, {s}, set()
+        while frontier:
+            want |= {(s, n, level) for n in frontier}
+            seen |= frontier
+            frontier, level = {b for n in frontier for b in ahead.get(n, [])} - seen, level + 1
+    got = {tuple(r) for r in G.lineage_of_many(edges, starts).collect()}
+    assert got == want
+    assert {tuple(r) for r in G.lineage_of_many(edges, [0, 0, 1], max_depth=2).collect()} == {x for x in want if x[0] < 2 and x[2] <= 2}
+
+
+def test_edges_are_read_once(spark, folder):
+    spark.createDataFrame(EDGES, "node string, upstream string").write.parquet(f"{folder}/raw")
+    raw = spark.read.parquet(f"{folder}/raw")
+    before = G.settle
+    plans = []
+    try:
+        G.settle = lambda df, *name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or before(df, *name)
+        G.lineage_levels(raw, "t").collect()
+    finally:
+        G.settle = before
+    assert len(plans) > 5
+    raw_ids = raw._jdf.queryExecution().analyzed().toString()
+    named = raw_ids[raw_ids.index("[") + 1 : raw_ids.index("]")].split(",")[0]
+    assert sum(named in p for p in plans) == 1
+
+
 @pytest.mark.parametrize("limit, depth", [(0, 0), (1, 0), (2, 0), (9, 0), (0, 3), (1, 1)])
 def test_foreign_limit(edges, projects, limit, depth):
     got = {r["node"]: (r["level"], r["levels_since_foreign"]) for r in G.limited_lineage(edges, projects, "t", "home", limit, depth).collect()}
@@ -117,6 +153,30 @@ def test_policies_flatten(policies):
     assert A.iam_flatten(policies).columns == A.ENTRY
 
 
+def test_a_group_large_on_both_sides_is_cut(spark):
+    """5,000 members times 200 entries: no task may yield much more than the others."""
+    entries = spark.range(201).select(
+        *[F.lit("p").alias(c) for c in ("project_id", "dataset_id")], F.col("id").cast("string").alias("resource_id"), *[F.lit("x").alias(c) for c in ("resource_type", "role", "source")],
+        F.when(F.col("id") == 200, "group:small").otherwise("group:big").alias("member"), F.lit("group").alias("member_type"), F.lit(None).cast("string").alias("inherited_from_group"),
+    )
+    entries = entries.unionByName(entries.limit(3))  # copies stay copies
+    members = spark.range(5000).select(F.lit("big").alias("group_email"), F.format_string("u%d@x", "id").alias("member_email"))
+    members = members.unionByName(spark.createDataFrame([("small", "s@x"), ("none", "n@x")], members.schema))
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        made = A.group_entries(entries, members, rows_per_task=2500)
+        per_task = sorted(r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(per_task) == 203 * 5000 + 1 and len(per_task) == 16
+    assert per_task[-1] <= 3 * per_task[len(per_task) // 2]
+    assert made.filter("inherited_from_group = 'big'").distinct().count() == 200 * 5000
+
+
 def test_scan_and_group_expansion(spark, policies, folder):
     acl = spark.createDataFrame([("p", "d", None, "groupByEmail", "g"), ("z", "d", "OWNER", None, "e")], "project string, dataset string, role string, entity_type string, entity_id string")
     entries = A.scan_union(A.iam_flatten(policies), A.acl_flatten(acl))
