@@ -66,10 +66,12 @@ def _marked_levels(steps: DataFrame, starts: Sequence, node_type, max_depth: int
     level = 0
     while max_depth is None or level < max_depth:
         level += 1
-        ahead = frontier.select("node", "walks").join(steps, "node").groupBy(F.col("upstream").alias("node")).agg(F.bit_or("walks").alias("walks"))
-        known = seen.all().groupBy("node").agg(F.bit_or("walks").alias("_known"))
-        fresh = F.col("walks").bitwiseAND(F.bitwise_not(F.coalesce("_known", F.lit(0).cast("long"))))
-        new = ahead.join(known, "node", "left").withColumn("walks", fresh).filter("walks <> 0")
+        none = F.lit(0).cast("long")
+        ahead = frontier.select("node", "walks").join(steps, "node").select(F.col("upstream").alias("node"), "walks", none.alias("_known"))
+        known = seen.all().select("node", none.alias("walks"), F.col("walks").alias("_known"))
+        # One grouping tells which walks are new at a node.
+        met = ahead.unionByName(known).groupBy("node").agg(*[F.bit_or(c).alias(c) for c in ("walks", "_known")])
+        new = met.withColumn("walks", F.col("walks").bitwiseAND(F.bitwise_not("_known"))).filter("walks <> 0")
         frontier = settle(new.select("node", F.lit(level).alias("level"), "walks"), "frontier")
         if frontier.isEmpty():
             break
