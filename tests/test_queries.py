@@ -1,5 +1,9 @@
 """A spread of registered queries against their check SQL on the smallest tables."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -41,3 +45,11 @@ def test_entry(spark, sf):
     df = entry.entry(spark)
     assert df.columns[:2] == ["order_date", "country"] and not df.isEmpty()
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("package", ["tiktoken", "public_tokenizers", "sentencepiece", "lakeworks.llm", "corpus_pipeline"])
+def test_entry_without_an_optional_package(package):
+    code = f"import sys; sys.modules[{package!r}] = None; import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') and n[2].isdigit() for n in e.queries()))"
+    found = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).resolve().parent.parent, check=True)
+    number, has_operators = found.stdout.split()
+    assert int(number) == len(QUERIES) and has_operators == "False"
