@@ -8,8 +8,8 @@ have letters beyond Latin-1 or combining marks (Yoruba, Vietnamese) has one of i
 scripts that are not listed, most of whose letters fall back to bytes. The edges hold samples of
 the Human Rights declaration in such languages, composed and decomposed, besides the given tables.
 
-Words are cut into tokens once per block and kept in a bounded table, so a text costs a lookup per
-word. Null text counts as empty, which fails the base rule for want of words. A script without a
+The distinct words of a block of texts are cut into tokens once; all measures are then sums over arrays of the block's
+words, by text. Null text counts as empty, which fails the base rule for want of words. A script without a
 band is judged by the band of ``other``. Rows are judged one by one: ties, repeated rows, empty
 tables and extra columns change nothing.
 """
@@ -21,20 +21,21 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .bpe import Recent
-from .common import WHITE, blocks, ids_and_texts, texts_of
+from .common import WHITE, blocks, ids_and_texts
 
 SYMBOLS = "#*$%&|<>"
 FEWEST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
-KNOWN = 60_000  # entries after which a worker's table of cut words begins anew
+AT_ONCE = 20_000  # words whose pieces are lists of numbers at one time
 
 # First and last code points of the letters by which a word is given a script; all else is "latin"
 # or "latin_marked" if it has a Latin letter, "unlisted" if it has another and "other" if it has none.
@@ -81,7 +82,6 @@ BANDS = {
     "unlisted": Band(0.2, 8.0, 0.97, 0.35),
     "other": Band(0.3, 12.0, 0.70, 0.45),
 }
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 LENGTH_FOR_ENTROPY = 256  # distinct tokens beyond which a longer text need not be more varied
 
 
@@ -115,7 +115,7 @@ def main_script(words: np.ndarray) -> str:
 
 
 class Fertility:
-    """Both vocabularies of a worker, and the words they have cut."""
+    """Both vocabularies of a worker."""
 
     def __init__(self, ranks_path: str, pattern: str, pieces_path: str):
         with open(ranks_path, "rb") as lines:
@@ -125,30 +125,30 @@ class Fertility:
         self.begins = np.zeros(max(ranks.values()) + 1, dtype=bool)
         self.begins[[i for token, i in ranks.items() if token[:1] == b" "]] = True
         self.fallback = np.array([self.pieces.is_byte(i) for i in range(self.pieces.vocab_size())])
-        self.known = Recent(KNOWN)
 
-    def _merged(self, words: list[str]) -> list[np.ndarray]:
-        """Token ids of each word after a space. One call cuts all: only a word's first token begins with a space."""
+    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of the words, each after a space, one after another, and how many each has.
+
+        One call cuts all: only a word's first token begins with a space."""
         if not words:
-            return []
-        ids = np.array(self.merges.encode_ordinary(" " + " ".join(words)), np.int32)
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        ids = np.array(self.merges.encode_ordinary(" " + " ".join(words)), np.int64)
         starts = np.flatnonzero(self.begins[ids])
-        if len(starts) != len(words):
-            return [np.array(self.merges.encode_ordinary(" " + w), np.int32) for w in words]
-        return np.split(ids, starts[1:])
-
-    def learn(self, words: set[str]) -> dict[str, tuple]:
-        """Per word: script, tokens, pieces, pieces that are bytes, and the token ids."""
-        new = list(self.known.missing(words))
-        pieced = self.pieces.encode(new, num_threads=1) if new else []
-        sizes = np.fromiter(map(len, pieced), np.int64, len(new))
-        raw = self.fallback[np.fromiter((i for x in pieced for i in x), np.int64, int(sizes.sum()))]
-        ends = np.cumsum(sizes)
-        before = np.concatenate([[0], np.cumsum(raw)])
-        raw = (before[ends] - before[ends - sizes]).tolist()
-        scripts, merged = map(script_of, new), self._merged(new)
-        self.known.now.update(zip(new, zip(scripts, map(len, merged), sizes.tolist(), raw, merged)))
-        return self.known.now
+        if len(starts) == len(words):
+            return ids, np.diff(np.append(starts, len(ids)))
+        apart = [self.merges.encode_ordinary(" " + w) for w in words]
+        return np.fromiter((i for x in apart for i in x), np.int64), np.fromiter(map(len, apart), np.int64)
+
+    def pieced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of each word, and how many of them are bytes."""
+        sizes, raw = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for at in range(0, len(words), AT_ONCE):
+            found = self.pieces.encode(words[at : at + AT_ONCE], num_threads=1)
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            is_raw = self.fallback[np.fromiter(chain.from_iterable(found), np.int64, int(n.sum()))]
+            sizes.append(n)
+            raw.append(np.bincount(np.repeat(np.arange(len(n)), n)[is_raw], minlength=len(n)))
+        return np.concatenate(sizes), np.concatenate(raw)
 
 
 @lru_cache(maxsize=2)
@@ -156,20 +156,26 @@ def _fertility(ranks_path: str, pattern: str, pieces_path: str) -> Fertility:
     return Fertility(ranks_path, pattern, pieces_path)
 
 
-def repeated_words(ids: np.ndarray, distinct: int) -> int:
-    """Words that lie in a window of three found twice or more."""
-    if len(ids) < 4:
-        return 0
-    pairs = ids[:-1] * distinct + ids[1:]
-    if distinct >= 1 << 20:
-        pairs = np.unique(pairs, return_inverse=True)[1]
-    windows = pairs[:-1] * distinct + ids[2:]
-    _, which, times = np.unique(windows, return_inverse=True, return_counts=True)
-    again = times[which] > 1
-    inside = np.zeros(len(ids), dtype=bool)
+def _codes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Small numbers for whole numbers, equal for equal ones, and the number each stands for."""
+    coded = pa.array(keys).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy()
+
+
+def repeated_words(text: np.ndarray, words: np.ndarray, n_texts: int) -> np.ndarray:
+    """Per text, its words that lie in a window of three found twice or more in it."""
+    begin = np.flatnonzero(text[:-2] == text[2:]) if len(text) > 2 else np.empty(0, np.int64)
+    distinct = int(words.max()) + 1 if len(words) else 1
+    window = words[begin]
+    for k in (1, 2):
+        # Numbered anew at each step, so that the keys stay small.
+        window, _ = _codes(window * distinct + words[begin + k])
+    window, _ = _codes(text[begin] * (int(window.max(initial=0)) + 1) + window)
+    again = begin[np.bincount(window)[window] > 1] if len(window) else begin
+    inside = np.zeros(len(words), dtype=bool)
     for k in range(3):
-        inside[k : k + len(again)] |= again
-    return int(inside.sum())
+        inside[again + k] = True
+    return np.bincount(text[inside], minlength=n_texts)
 
 
 def repeated_lines(text: str) -> int:
@@ -181,13 +187,23 @@ def repeated_lines(text: str) -> int:
     return n
 
 
-def _entropy(counts: np.ndarray) -> float:
-    """Of token counts, as a share of the most that so many tokens can have."""
-    n = counts.sum()
-    if n < 2:
-        return 0.0
-    p = counts / n
-    return float(-(p * np.log2(p)).sum() / np.log2(min(n, LENGTH_FOR_ENTROPY)))
+def entropies(text: np.ndarray, words: np.ndarray, tokens: np.ndarray, n_tokens: np.ndarray, n_texts: int) -> np.ndarray:
+    """Per text, the entropy of its tokens as a share of the most that so many can have."""
+    n_words = len(n_tokens) or 1
+    code, key = _codes(text * n_words + words)
+    times, word = np.bincount(code, minlength=len(key)), key % n_words
+    taken = n_tokens[word] if len(word) else np.empty(0, np.int64)
+    ends = np.cumsum(taken)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat((np.cumsum(n_tokens) - n_tokens)[word] - (ends - taken) if len(word) else taken, taken)
+    most = int(tokens.max(initial=0)) + 1
+    code, pair = _codes(np.repeat(key // n_words, taken) * most + tokens[at])
+    counts = np.bincount(code, weights=np.repeat(times, taken), minlength=len(pair))
+    of = pair // most
+    total = np.bincount(of, weights=counts, minlength=n_texts)
+    inner = np.bincount(of, weights=counts * np.log2(np.maximum(counts, 1)), minlength=n_texts)
+    several = np.maximum(total, 2)
+    spread = (np.log2(several) - inner / several) / np.log2(np.minimum(several, LENGTH_FOR_ENTROPY))
+    return np.where(total < 2, 0.0, np.maximum(spread, 0.0))
 
 
 COLUMNS = {
@@ -205,35 +221,42 @@ COLUMNS = {
 }
 
 
-def judge(texts: list[str], vocabularies: Fertility, bands: dict[str, Band] = BANDS) -> dict[str, list]:
+def judge(texts: pa.Array | list[str], vocabularies: Fertility, bands: dict[str, Band] = BANDS) -> dict[str, list]:
     """The ``COLUMNS`` of each text; measures of a text without tokens are 0."""
-    words = [_WORDS(x) for x in texts]
-    known = vocabularies.learn(set().union(*words))
-    out: dict[str, list] = {c: [] for c in COLUMNS}
-    for text, own in zip(texts, words):
-        number = {w: i for i, w in enumerate(dict.fromkeys(own))}
-        ids = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
-        chars = len(text) - sum(map(text.count, WHITE))
-        again = repeated_words(ids, len(number))
-        failed = len(own) < FEWEST_WORDS or 100 * again > MOST_REPEATED_PERCENT * len(own)
-        name, per_token, fallback, spread = "other", 0.0, 0.0, 0.0
-        if own:
-            times = np.bincount(ids)
-            facts = [known[w] for w in number]
-            script, tokens, pieces, raw = (np.array([f[k] for f in facts]) for k in range(4))
-            name = main_script(np.bincount(script, weights=times))
-            all_tokens = np.concatenate([f[4] for f in facts])
-            counts = np.bincount(np.unique(all_tokens, return_inverse=True)[1], weights=np.repeat(times, tokens))
-            per_token = chars / int((tokens * times).sum())
-            fallback = float((raw * times).sum() / (pieces * times).sum())
-            spread = _entropy(counts)
-        band = bands.get(name, bands["other"])
-        inside = band.fewest_chars <= per_token <= band.most_chars
-        kept = not failed and inside and fallback <= band.most_fallback and spread >= band.least_entropy
-        row = (len(own), chars, sum(map(text.count, SYMBOLS)), repeated_lines(text), again, failed, kept)
-        for c, value in zip(COLUMNS, (*row, name, per_token, fallback, spread)):
-            out[c].append(value)
-    return out
+    texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
+    n = len(texts)
+    split = pc.ascii_split_whitespace(texts)
+    flat, text = split.flatten(), pc.list_parent_indices(split).to_numpy().astype(np.int64)
+    filled = pc.greater(pc.binary_length(flat), 0)
+    coded = flat.filter(filled).dictionary_encode()
+    text, words, distinct = text[filled.to_numpy(zero_copy_only=False)], coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    listed = distinct.to_pylist()
+
+    def summed(per_word: np.ndarray) -> np.ndarray:
+        return np.bincount(text, weights=per_word[words], minlength=n).astype(np.int64)
+
+    # ASCII words have a script if they have a letter; the others are looked at letter by letter.
+    scripts = pc.match_substring_regex(distinct, "[A-Za-z]").to_numpy(zero_copy_only=False).astype(np.int64)
+    for i in np.flatnonzero(~pc.string_is_ascii(distinct).to_numpy(zero_copy_only=False)).tolist():
+        scripts[i] = script_of(listed[i])
+    tokens, n_tokens = vocabularies.merged(listed)
+    pieces, raw = (summed(x) for x in vocabularies.pieced(listed))
+    n_words = np.bincount(text, minlength=n)
+    chars = summed(pc.utf8_length(distinct).to_numpy().astype(np.int64))
+    symbols = summed(pc.count_substring_regex(distinct, "[" + re.escape(SYMBOLS) + "]").to_numpy().astype(np.int64))
+    again = repeated_words(text, words, n)
+    failed = (n_words < FEWEST_WORDS) | (100 * again > MOST_REPEATED_PERCENT * n_words)
+    of_script = np.bincount(text * len(NAMES) + scripts[words], minlength=n * len(NAMES)).reshape(n, len(NAMES))
+    names = [main_script(row) if k else "other" for row, k in zip(of_script, n_words)]
+    per_token = chars / np.maximum(summed(n_tokens), 1)
+    fallback = raw / np.maximum(pieces, 1)
+    spread = entropies(text, words, tokens, n_tokens, n)
+    own = [bands.get(name, bands["other"]) for name in names]
+    least, most, most_raw, even = (np.array([getattr(b, f) for b in own]) for f in ("fewest_chars", "most_chars", "most_fallback", "least_entropy"))
+    kept = ~failed & (least <= per_token) & (per_token <= most) & (fallback <= most_raw) & (spread >= even)
+    lines = [repeated_lines(x) for x in texts.to_pylist()]
+    values = n_words, chars, symbols, lines, again, failed, kept, names, per_token, fallback, spread
+    return {c: v if isinstance(v, list) else v.tolist() for c, v in zip(COLUMNS, values)}
 
 
 def measures(docs: DataFrame, ranks_path: str, pattern: str, pieces_path: str, bands: dict[str, Band] = BANDS) -> DataFrame:
@@ -242,10 +265,9 @@ def measures(docs: DataFrame, ranks_path: str, pattern: str, pieces_path: str, b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabularies = _fertility(ranks_path, pattern, pieces_path)
         for block in blocks(batches):
-            found = judge(texts_of(block.column(1)), vocabularies, bands)
+            found = judge(block.column(1), vocabularies, bands)
             arrays = [block.column(0), *map(pa.array, found.values())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *found])
-        vocabularies.known.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + ", ".join(f"{c} {t}" for c, t in COLUMNS.items())
@@ -260,8 +282,7 @@ def passing(docs: DataFrame, ranks_path: str, pattern: str, pieces_path: str, ba
         vocabularies = _fertility(ranks_path, pattern, pieces_path)
         for batch in batches:
             for block in blocks(iter([batch]), batch.schema.names[at]):
-                kept = judge(texts_of(block.column(at)), vocabularies, bands)["kept"]
+                kept = judge(block.column(at), vocabularies, bands)["kept"]
                 yield block.filter(pa.array(kept))
-        vocabularies.known.forget()
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,7 +1,10 @@
+import math
+import random
 import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lakeworks.llm import fertility as X
@@ -55,11 +58,33 @@ def vocabularies():
 
 def test_words_cut_together_as_cut_alone(vocabularies):
     words = ["the", "naïve", "漢字", "don't", "\x1c", "a\xa0b", "\x85", "!!", "ééé", "x" * 200]
-    known = vocabularies.learn(set(words))
-    for w in words:
-        assert known[w][4].tolist() == vocabularies.merges.encode_ordinary(" " + w)
-        pieces = vocabularies.pieces.encode(w)
-        assert known[w][2:4] == (len(pieces), sum(vocabularies.pieces.is_byte(i) for i in pieces))
+    for some in (words, [w for w in words if w != "a\xa0b"], []):
+        ids, lengths = vocabularies.merged(some)
+        pieces, raw = vocabularies.pieced(some)
+        ends = lengths.cumsum()
+        for i, w in enumerate(some):
+            assert ids[ends[i] - lengths[i] : ends[i]].tolist() == vocabularies.merges.encode_ordinary(" " + w)
+            own = vocabularies.pieces.encode(w)
+            assert (pieces[i], raw[i]) == (len(own), sum(vocabularies.pieces.is_byte(k) for k in own))
+
+
+def test_measures_by_brute_force(vocabularies):
+    """Token by token, for texts of one block that share words."""
+    rng = random.Random(2)
+    vocabulary = ["the", "naïve", "漢字", "don't", "#tag", "ééé", "x" * 30, "A|B", "mot", "слово", "ẹ̀tọ́", "12", "\x1c", "a\xa0b"]
+    texts = [" ".join(rng.choice(vocabulary[: rng.randrange(1, 15)]) for _ in range(rng.randrange(0, 300))) for _ in range(40)] + ["", "one", "a b c", "a b a b a b"]
+    found = X.judge(texts, vocabularies)
+    for i, text in enumerate(texts):
+        words = text.split(" ") if text else []
+        tokens = Counter(t for w in words for t in vocabularies.merges.encode_ordinary(" " + w))
+        pieces = [p for w in words for p in vocabularies.pieces.encode(w)]
+        n = tokens.total()
+        spread = -sum(k / n * math.log2(k / n) for k in tokens.values()) / math.log2(min(n, X.LENGTH_FOR_ENTROPY)) if n > 1 else 0.0
+        assert found["token_entropy"][i] == pytest.approx(spread, abs=1e-9)
+        assert found["chars_per_token"][i] == pytest.approx(sum(map(len, words)) / n if n else 0.0)
+        assert found["fallback_share"][i] == pytest.approx(sum(map(vocabularies.pieces.is_byte, pieces)) / len(pieces) if pieces else 0.0)
+        assert tuple(found[c][i] for c in list(X.COLUMNS)[:6]) == slow_base(text)
+        assert found["script"][i] == (X.main_script(np.bincount([X.script_of(w) for w in words])) if words else "other")
 
 
 def test_scripts_and_measures(vocabularies):
