@@ -53,6 +53,25 @@ def _(t):
     )
 
 
+@query(
+    "jdbc_stride_balance",
+    "SELECT 9 AS reads, COUNT(*) AS rows, COUNT(*) FILTER (WHERE o_orderkey % 10 = 0) AS without_key, TRUE AS balanced FROM orders",
+)
+def _(t):
+    """Strides of a key most of whose values lie close together; Spark SQL answers in place of a database."""
+    k = F.col("o_orderkey")
+    key = F.when(k % 10 != 0, F.when(k % 3 == 0, k * k * 1000).otherwise(k))
+    t.orders.select(key.alias("key")).createOrReplaceTempView("src_skewed")
+    low, high = jdbc.bounds(t.spark.table("src_skewed"), "key")
+    cells = jdbc.even_cells(lambda sql: [tuple(r) for r in t.spark.sql(sql).collect()], "src_skewed", "key", low, high, 8)
+    parts = jdbc.stride_predicates("key", jdbc.uneven_bounds(cells, 8))
+    counts = [F.count_if(F.expr(p)).alias(f"n{i}") for i, p in enumerate(parts)]
+    row = t.spark.table("src_skewed").agg(*counts, F.count("*").alias("rows"))
+    strides = F.array_sort(F.array(*[F.col(f"n{i}") for i in range(len(parts) - 1)]))
+    balanced = F.element_at(strides, -1) <= 2 * F.element_at(strides, len(parts) // 2)
+    return row.select(F.lit(len(parts)).alias("reads"), "rows", F.col(f"n{len(parts) - 1}").alias("without_key"), balanced.alias("balanced"))
+
+
 @query("incremental_extract", _counts("(SELECT * FROM orders WHERE o_orderdate > TIMESTAMP '1999-06-30')"))
 def _(t):
     newer = get_extractor("parquet")(t.spark, t.folder, "orders", newer_than=("o_orderdate", "1999-06-30 00:00:00"))

@@ -1,7 +1,9 @@
-"""JDBC reads: one query, or parallel strides of a key."""
+"""JDBC reads: one query, or parallel strides of a key, of equal width or of equal numbers of rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,76 @@ def stride_of(column: Column, low: int, high: int, partitions: int) -> Column:
     return F.coalesce(F.greatest(F.lit(0), F.least(stride, F.lit(partitions - 1))), F.lit(0))
 
 
+CELLS_PER_STRIDE = 32
+REFINEMENTS = 4  # times that cells with too many rows are counted in smaller ones
+
+
+def histogram_query(table: str, column: str, low, high, cells: int, newer_than: tuple[str, object] | None = None) -> str:
+    """Rows per cell of equal width from ``low`` to ``high``, for whole-number keys: least and greatest key, and rows."""
+    width = max((int(high) - int(low)) // cells + 1, 1)
+    where = newer_clause(newer_than)
+    where = f"{where} AND" if where else " WHERE"
+    cell = f"FLOOR(({column} - {literal(int(low))}) / {width}.0)"
+    inside = f"{column} BETWEEN {literal(int(low))} AND {literal(int(high))}"
+    return f"SELECT MIN({column}) AS low, MAX({column}) AS high, COUNT(*) AS n FROM {table}{where} {inside} GROUP BY {cell}"
+
+
+def even_cells(ask: Callable[[str], Sequence[tuple]], table: str, column: str, low, high, strides: int, newer_than: tuple[str, object] | None = None) -> list[tuple]:
+    """(least key, greatest key, rows) of cells that hold no more than a small part of a stride, in order of the key.
+
+    ``ask`` runs a query in the database. It answers with one row per cell; a cell that holds too much is asked for
+    again by itself, unless all its rows have one key.
+    """
+    cells = [(int(a), int(b), int(n)) for a, b, n in ask(histogram_query(table, column, low, high, strides * CELLS_PER_STRIDE, newer_than))]
+    for _ in range(REFINEMENTS):
+        most = max(1, sum(n for _, _, n in cells) // (strides * 4))
+        full = [c for c in cells if c[2] > most and c[0] < c[1]]
+        if not full:
+            break
+        cells = [c for c in cells if c not in full]
+        for a, b, _ in full:
+            cells += [(int(x), int(y), int(n)) for x, y, n in ask(histogram_query(table, column, a, b, CELLS_PER_STRIDE, newer_than))]
+    return sorted(cells)
+
+
+def uneven_bounds(cells: Sequence[tuple], strides: int) -> list[int]:
+    """Keys at which strides begin, the first left out, so that they hold about the same number of rows."""
+    total, held, starts = sum(n for _, _, n in cells), 0, []
+    for low, _, n in cells:
+        # A stride ends before the cell that would take it further beyond its share than it is short of it.
+        if held and held + n / 2 > total * (len(starts) + 1) / strides and len(starts) < strides - 1:
+            starts.append(low)
+        held += n
+    return starts
+
+
+def stride_predicates(column: str, starts: Sequence[int]) -> list[str]:
+    """Conditions that part the table: one per stride, and one for rows without a key."""
+    if not starts:
+        return [f"{column} IS NOT NULL", f"{column} IS NULL"]
+    inner = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(starts, starts[1:])]
+    return [f"{column} < {starts[0]}", *inner, f"{column} >= {starts[-1]}", f"{column} IS NULL"]
+
+
+def extract_evenly(
+    spark: SparkSession, url: str, table: str, column: str, strides: int, newer_than: tuple[str, object] | None = None, **options: str
+) -> DataFrame:
+    """Read a table in strides of about as many rows each, however its whole-number key is distributed.
+
+    The database counts rows per cell of the key; the rows that have no key are a read of their own.
+    """
+    base = read_options(url, table, newer_than=newer_than, **options)
+
+    def ask(query: str) -> list[tuple]:
+        rows = spark.read.format("jdbc").options(**{**base, "dbtable": f"({query}) AS _h"}).load()
+        return [tuple(r) for r in rows.collect()]  # one row per cell
+
+    ends = spark.read.format("jdbc").options(**bounds_options(base, table, column, newer_than)).load().first()
+    cells = [] if ends is None or ends[0] is None else even_cells(ask, table, column, *ends, strides, newer_than)
+    properties = {k: v for k, v in base.items() if k not in ("url", "dbtable")}
+    return spark.read.jdbc(url, base["dbtable"], predicates=stride_predicates(column, uneven_bounds(cells, strides)), properties=properties)
+
+
 def extract(
     spark: SparkSession,
     url: str,

@@ -2,6 +2,8 @@ import json
 import threading
 from datetime import date, datetime
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,6 +93,35 @@ def test_jdbc_options_carry_both_bounds(spark):
     assert {r["s"]: r["count"] for r in strides.collect()} == {0: 25, 1: 25, 2: 25, 3: 26}
 
 
+@pytest.mark.parametrize("keys", ["uniform", "skewed", "one", "few", "negative"])
+def test_strides_hold_as_many_rows(keys):
+    """The generated SQL, run by a library in this process."""
+    n = 20_000
+    table = {  # noqa: F841 (DuckDB reads the variable)
+        "uniform": range(n), "skewed": [i**3 for i in range(n // 2)] + [5] * 50 + list(range(n // 2)), "one": [7] * n,
+        "few": [i % 12 * 10**12 for i in range(n)], "negative": [-(i * i) for i in range(n)],
+    }[keys]
+    con = duckdb.connect()
+    con.register("rows_of", pa.table({"k": pa.array([*table, None, None, None], pa.int64()), "seen": pa.array(range(len(table) + 3))}))
+    asked = []
+
+    def ask(sql):
+        asked.append(sql)
+        return con.execute(sql).fetchall()
+
+    for newer_than in (None, ("seen", 999)):
+        where = jdbc.newer_clause(newer_than)
+        low, high = con.execute(f"SELECT MIN(k), MAX(k) FROM rows_of{where}").fetchone()
+        starts = jdbc.uneven_bounds(jdbc.even_cells(ask, "rows_of", "k", low, high, 6, newer_than), 6)
+        assert starts == sorted(set(starts)) and len(starts) <= 5
+        sizes = [con.execute(f"SELECT COUNT(*) FROM (SELECT * FROM rows_of{where}) WHERE {p}").fetchone()[0] for p in jdbc.stride_predicates("k", starts)]
+        assert sizes[-1] == 3 and sum(sizes) == con.execute(f"SELECT COUNT(*) FROM rows_of{where}").fetchone()[0]
+        if keys != "one":
+            own = sorted(sizes[:-1])
+            assert len(own) == 6 and own[-1] <= 2 * own[3] and own[0] > 0
+    assert len(asked) < 200
+
+
 def test_watermark_is_typed_and_missing_column_raises(spark):
     df = spark.createDataFrame([(9,), (10,), (100,)], "n long")
     assert [r["n"] for r in jdbc.newer(df, "n", "10").collect()] == [100]  # as text, "9" would be above "10"
