@@ -8,9 +8,15 @@ from pyspark.sql import types as T
 from ..session import scratch_path
 from ..streaming import cdc
 from ..streaming import generator as G
+from ..streaming import rates
 from .registry import Tables, query, with_sql
 
 
+def spread(numbers, by: str):
+    """Numbers that grow to rows of kilobytes, in as many parts as a shuffle has; a named number is not merged again."""
+    return numbers.repartition(int(numbers.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+
+
 def changes(t: Tables):
     """Events as changes of a user row: an error deletes it, anything else sets it."""
     return t.events.select(
@@ -101,7 +107,7 @@ FROM (SELECT o_orderkey AS n FROM orders)""",
 )
 def _(t):
     # Each number grows to kilobytes, so the few input files are spread over all cores first.
-    numbers = t.orders.select(F.col("o_orderkey").alias("n")).repartition(t.spark.sparkContext.defaultParallelism)
+    numbers = spread(t.orders.select(F.col("o_orderkey").alias("n")), "n")
     schema = """street_address string, city string, postal_code string, unit string,
       coordinates struct<latitude: double>, metadata map<string, string>"""
     parsed = numbers.select("n", F.from_json(G.address_blob("n"), schema).alias("j"))
@@ -131,6 +137,25 @@ def _(t):
     return back.groupBy("payment_method").agg(F.count("*").alias("n"), F.sum("quantity").alias("units"))
 
 
+@query(
+    "stream_rates",
+    "SELECT COUNT(*) AS rows, CAST(SUM(strlen(transaction_id) + strlen(customer_email)) AS BIGINT) AS bytes, COUNT(*) AS in_sink, TRUE AS peak_above_mean FROM (" + TXN + ")",
+)
+def _(t):
+    """What the stream measured of itself, batch by batch, beside a count of what it wrote."""
+    numbers = scratch_path(t.spark, "numbers")
+    rows = t.orders.select("o_orderkey", "o_orderdate")
+    rows.repartition("o_orderkey").write.parquet(numbers)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(numbers)
+    sink = scratch_path(t.spark, "rated")
+    made = G.transactions(stream, "o_orderkey", "o_orderdate")
+    size = F.octet_length("transaction_id") + F.octet_length("customer_email")
+    rates.append_with_rates(made, sink, scratch_path(t.spark, "checkpoint"), size, available_now=True).awaitTermination()
+    found = rates.report(rates.batch_rates(t.spark, sink))
+    arrived = rates.written(t.spark, sink).agg(F.count("*")).scalar()
+    return found.select("rows", "bytes", arrived.alias("in_sink"), (F.col("peak_bytes_per_second") >= F.col("avg_bytes_per_second")).alias("peak_above_mean"))
+
+
 @query("stress_verify", "SELECT COUNT(*) AS rows, SUM(strlen(text)) / 1e9 AS gigabytes FROM documents")
 def _(t):
     return G.verify(t.documents, "text")
@@ -165,7 +190,7 @@ SELECT 'mt' || lpad(CAST(g AS VARCHAR), 2, '0') AS message_type, COUNT(DISTINCT
   COUNT(*) FILTER (WHERE present AND f >= {len(G.INT_FIELDS)}) AS filled_others, 428 AS width FROM k GROUP BY g""",
 )
 def _(t):
-    numbers = t.events.select("event_id", "ts").repartition(t.spark.sparkContext.defaultParallelism)
+    numbers = spread(t.events.select("event_id", "ts"), "event_id")
     wide = G.wide_messages(numbers, "event_id", "ts")
     groups = range(1, G.GROUPS + 1)
     ints = ", ".join(f"mt{g:02d}__{f}" for g in groups for f in G.INT_FIELDS)
