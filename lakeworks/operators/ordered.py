@@ -124,13 +124,16 @@ class GroupOrder:
     def with_next(self, values: Sequence[str], prefix: str = "next_", number: str | None = None) -> DataFrame:
         """``LEAD`` of the named columns, NULL on the last row of a group; ``number`` adds the row number."""
         packed = F.struct(*values)
-        firsts = self.df.groupBy(PART, *self.group).agg(F.min_by(packed, AT).alias("_first"))
-        edges = firsts.select(PART, *self.group, F.lead("_first").over(self._earlier).alias("_edge"))
+        counted = [F.count("*").alias("_n"), F.min(AT).alias("_first_at")]
+        runs = self.df.groupBy(PART, *self.group).agg(F.min_by(packed, AT).alias("_first"), *counted)
+        before = F.coalesce(F.sum("_n").over(self._earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        # One table of runs ties the ranges together, for the next rows and for the numbers.
+        bases = [(before - F.col("_first_at") + 1).alias("_base")] if number else []
+        edges = runs.select(PART, *self.group, F.lead("_first").over(self._earlier).alias("_edge"), *bases)
         rows = self._with_run(self.df.withColumn("_lead", F.lead(packed).over(self._local)), edges)
-        kept = [*self.columns, PART, AT]
+        kept = [F.col(f"`{c}`") for c in (*self.columns, PART, AT)]
         if number:
-            rows = self._numbered(rows, number)
-            kept.append(number)
+            kept.append((F.col("_base") + F.col(AT)).cast("long").alias(number))
         nxt = F.coalesce(F.col("_lead"), F.col("_edge"))
         return rows.select(*kept, *[nxt[v].alias(prefix + v) for v in values])
 
