@@ -13,20 +13,21 @@ Default weights are the square roots of the sources' row counts (temperature 2),
 add up to about ``PERIOD``. Only row counts per source reach the driver.
 
 A null source is a source of its own. Ties and repeated rows are placed one by one; a null doc_id is
-hashed like an empty one. An empty table gives an empty result.
+hashed like an empty one. Texts are not read, so their length does not matter, and extra columns only go along with
+their rows. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, written
-from .numbering import number_in_groups
+from .numbering import number_as_stored, number_in_groups
 
 BLOCK_ROWS = 8
 PERIOD = 1000
@@ -82,17 +83,18 @@ def tempered(rows: Mapping[str | None, int], temperature: float = TEMPERATURE, t
 
 
 def mixed(
-    docs: DataFrame, weights: Mapping[str | None, int] | None = None, block_rows: int = BLOCK_ROWS, seed: str = "17"
+    docs: DataFrame, weights: Mapping[str | None, int] | None = None, block_rows: int = BLOCK_ROWS, seed: str = "17", more: Sequence[str] = ()
 ) -> DataFrame:
-    """Per row: doc_id, source, weight, block, phase, release, deadline, slot and position.
+    """Per row: doc_id, source, ``more``, weight, block, phase, release, deadline, slot and position.
 
     ``block`` counts within the source, ``slot`` is where the block runs; ``release`` and ``deadline``
-    bound that slot. ``position`` orders the rows of the whole mix. ``weights`` names every source.
+    bound that slot. ``position`` orders the rows of the whole mix. ``weights`` names every source. ``more`` names
+    columns to carry along, by which rows of one doc_id are told apart.
     """
     spark = docs.sparkSession
     turn = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
-    rows = docs.select("doc_id", "source", turn.alias("turn"))
-    numbered = written(number_in_groups(rows, "source", ["turn", "doc_id"]), "numbered")
+    rows = docs.select("doc_id", "source", *more, turn.alias("turn"))
+    numbered = written(number_in_groups(rows, "source", ["turn", "doc_id", *more]), "numbered")
     # One row per source.
     counts = {r["source"]: r["n"] for r in numbered.groupBy("source").agg(F.count("*").alias("n")).collect()}
     if weights is None:
@@ -117,6 +119,7 @@ def mixed(
     placed = own.withColumn("j", F.expr("block - p.done")).selectExpr(
         "doc_id",
         "source",
+        *more,
         "p.w as weight",
         "block",
         "p.phase as phase",
@@ -131,11 +134,12 @@ def mixed(
 def in_mixed_order(docs: DataFrame, weights: Mapping[str | None, int] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All rows with their columns, range-partitioned and sorted in the order of the mix.
 
-    Rows equal in doc_id and source stand together.
+    Every row has a place of its own, by its number in the stored table; so copies of one row, and rows
+    without a doc_id, are mixed like any others.
     """
-    place, doc, source = (free_name(docs, x) for x in ("place", "doc", "source"))
-    placed = mixed(docs, weights, block_rows).groupBy("doc_id", "source").agg(F.min("position").alias(place))
-    placed = placed.select(F.col("doc_id").alias(doc), F.col("source").alias(source), place)
-    same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source))
-    ordered = docs.join(placed, same).repartitionByRange(place).sortWithinPartitions(place)
+    place, row, of_row = (free_name(docs, x) for x in ("place", "row", "of_row"))
+    numbered = number_as_stored(docs, docs.columns, row)
+    placed = mixed(numbered.select("doc_id", "source", row), weights, block_rows, more=[row])
+    placed = placed.select(F.col(row).alias(of_row), F.col("position").alias(place))
+    ordered = numbered.join(placed, F.col(row) == F.col(of_row)).repartitionByRange(place).sortWithinPartitions(place)
     return ordered.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 
 _LOCAL = (1 << 33) - 1  # monotonically_increasing_id() keeps the partition above 33 bits
 
@@ -43,14 +43,17 @@ def number_as_stored(df: DataFrame, columns: Sequence[str], name: str = "number"
     if df._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
         df = written(df.select(*columns), "stored")
     stored = df.metadataColumn("_metadata")
-    file, at = stored.getField("file_path").alias("of_file"), stored.getField("row_index").alias("at")
+    of_file, at, file, start = (free_name(df, x) for x in ("of_file", "at", "file", "start"))
+    path, row = stored.getField("file_path"), stored.getField("row_index").alias(at)
     # One row per file. Spark numbers the files it writes, with five digits or more.
-    sizes = df.select(file, at).groupBy("of_file").agg((F.max("at") + 1).alias("n"))
-    part = F.regexp_extract("of_file", r"part-(\d+)[^/]*$", 1).try_cast("long")
-    earlier = Window.orderBy(part.asc_nulls_first(), "of_file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = F.broadcast(sizes.select(F.col("of_file").alias("file"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start")))
-    rows = df.select(*columns, file, at)
-    return rows.join(starts, F.col("of_file") == F.col("file")).select(*columns, (F.col("start") + F.col("at")).alias(name))
+    sizes = df.select(path.alias(of_file), row).groupBy(of_file).agg((F.max(at) + 1).alias("n"))
+    part = F.regexp_extract(of_file, r"part-(\d+)[^/]*$", 1).try_cast("long")
+    earlier = Window.orderBy(part.asc_nulls_first(), of_file).rowsBetween(Window.unboundedPreceding, -1)
+    # Sixteen bytes per file: 64 bits of its path and its first number, so a million files are a broadcast of 16 MB.
+    starts = F.broadcast(sizes.select(F.xxhash64(of_file).alias(file), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(start)))
+    kept = [F.col(f"`{c}`") for c in columns]
+    rows = df.select(*kept, F.xxhash64(path).alias(of_file), row).join(starts, F.col(of_file) == F.col(file))
+    return rows.select(*kept, (F.col(start) + F.col(at)).alias(name))
 
 
 def number_in_groups(df: DataFrame, group: str, order: Sequence[str | Column], name: str = "number") -> DataFrame:

@@ -76,11 +76,30 @@ def test_stage_is_ordered_and_whole(spark, folder):
     assert spark.read.parquet(folder).columns == docs.columns
     got = [(r["doc_id"], r["source"]) for r in back.orderBy("file", "at").collect()]
     assert Counter(got) == Counter((r[0], r[3]) for r in rows)
-    place = {}
-    for r in X.mixed(docs, block_rows=3).collect():
-        place[r["doc_id"], r["source"]] = min(r["position"], place.get((r["doc_id"], r["source"]), 1 << 60))
-    order = [place[x] for x in got]
-    assert order == sorted(order)
+    # Every source is less than a block off its target at every slot, however many rows share a doc_id.
+    weights = {r["source"]: r["weight"] for r in X.mixed(docs, block_rows=3).collect()}
+    ran, total = Counter(), sum(weights.values())
+    first_to_end = min(-(-n // 3) * total // weights[s] for s, n in Counter(s for _, s in got).items())
+    for t in range(first_to_end // 2):
+        ran[got[3 * t][1]] += 1
+        assert len({s for _, s in got[3 * t : 3 * t + 3]}) == 1
+        assert all(abs(ran[s] - Fraction(w * (t + 1), total)) < 1 for s, w in weights.items())
+
+
+def test_rows_without_a_doc_id_are_mixed(spark, folder):
+    rows = [(None, "x", "en", "ab"[i % 2], i) for i in range(4000)] + [(7, "x", "en", "a", 1)] * 80
+    spark.createDataFrame(rows, SCHEMA).repartition(4).write.parquet(f"{folder}/in")
+    X.in_mixed_order(spark.read.parquet(f"{folder}/in")).write.parquet(f"{folder}/out")
+    back = spark.read.parquet(f"{folder}/out").withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id())
+    got = [r["source"] for r in back.orderBy("file", "at").collect()]
+    assert Counter(got) == Counter(r[3] for r in rows)
+    blocks = [got[i : i + 8] for i in range(0, 3200, 8)]
+    assert all(len(set(b)) == 1 for b in blocks)
+    weights = X.tempered({"a": 2080, "b": 2000})
+    share = Fraction(weights["a"], sum(weights.values()))
+    assert all(abs(sum(b[0] == "a" for b in blocks[:t]) - t * share) < 1 for t in range(1, len(blocks)))
+    # Copies of one doc_id are spread over the mix, too.
+    assert max(i for i, r in enumerate(back.orderBy("file", "at").collect()) if r["doc_id"] == 7) < len(got)
 
 
 def test_no_python_in_the_plan(spark):
