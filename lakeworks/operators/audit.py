@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.principals import acl_member, acl_member_type, classify_email, member_type, path_part
 from ..functions.values import case_map
+from ..session import settle
 from .skew import BLOCK_PAIRS, blocked_join
 
 # Asset types and the resource type each one stands for (fixed values).
@@ -129,7 +130,8 @@ def group_entries(entries: DataFrame, members: DataFrame, rows_per_task: int = B
     email = F.substring_index("member", ":", -1)
     groups = entries.filter(F.col("member_type") == "group").withColumn("group_email", email)
     kind = classify_email("member_email")
-    named = members.select("group_email", "member_email")
+    # Read to be counted and to be joined, and a closure is costly to work out.
+    named = settle(members.select("group_email", "member_email"), "members")
     joined = blocked_join(groups, named, ["group_email"], ["project_id", "dataset_id", "resource_id", "role"], ["member_email"], rows_per_task)
     return joined.select(
         "project_id",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dedup
 from ..operators import quality as Q
+from ..session import settle
 from . import models_q
 from .models_q import FCT_SQL, fsum
 from .places_q import PLACES, places
@@ -395,16 +396,16 @@ def _profile_sql(c: str, kind: str) -> str:
 @query("table_profile", with_sql(OTHER, body=" UNION ALL ".join(_profile_sql(c, kind) for c, kind in PROFILED.items())))
 def _(t):
     rows = other(t)
-    exact = rows.agg(*[F.count_distinct(c).alias(c) for c in PROFILED])
-    exact = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in PROFILED])))
     # Share of rows up to each quartile, which must be near the quartile's own.
-    marks = Q.table_profile(rows).select("column", "quartiles").filter("quartiles IS NOT NULL")
+    found = settle(Q.table_profile(rows), "profile")
+    marks = found.select("column", "quartiles").filter("quartiles IS NOT NULL")
     ordered = {r["column"]: r["quartiles"] for r in marks.collect()}  # one row per column
     shares = [F.avg((F.col(c) <= F.lit(q).cast(PROFILED[c])).cast("double")).alias(f"{c}_{i}") for c, qs in ordered.items() for i, q in enumerate(qs)]
-    found = rows.agg(*shares)
+    row = rows.agg(*shares, *[F.count_distinct(c).alias(c) for c in PROFILED])
     near = {c: (F.abs(F.col(f"{c}_0") - 0.25) < 0.02) & (F.abs(F.col(f"{c}_1") - 0.5) < 0.02) & (F.abs(F.col(f"{c}_2") - 0.75) < 0.02) for c in ordered}
-    close = found.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), x.alias("quartiles_close")) for c, x in near.items()])))
-    profile = Q.table_profile(rows).join(exact, "column").join(close, "column", "left")
+    near |= {c: F.lit(None).cast("boolean") for c in PROFILED if c not in ordered}
+    exact = [F.struct(F.lit(c).alias("column"), F.col(c).alias("n"), near[c].alias("quartiles_close")) for c in PROFILED]
+    profile = found.join(row.select(F.inline(F.array(*exact))), "column")
     few = F.col("column").isin(*FEW)
     return profile.select(
         "column",
