@@ -1,3 +1,4 @@
+import json
 from dataclasses import replace
 from datetime import datetime, timedelta
 
@@ -178,3 +179,14 @@ def test_wide_rows_fill_only_their_own_group(spark):
     timed = {k: [r[f"{r['message_type']}__{G.TIME_FIELD}"] is not None for r in rows if (int(r["message_type"][2:]) % 3 == 0) == k] for k in (True, False)}
     assert 0.2 < sum(timed[True]) / len(timed[True]) < 0.6 and sum(timed[False]) / len(timed[False]) < 0.1
     assert any(r["timestamp_nanos"] % 1000 for r in rows)
+
+
+def test_address_metadata_is_joined_from_constant_pieces(spark):
+    rows = spark.createDataFrame([(0,), (-7,), (123456789012,), (None,)], "n long").select("n", G.address_blob("n").alias("blob"))
+    for r in rows.collect():
+        value = (lambda i: None) if r["n"] is None else (lambda i: f"value_{r['n']}_{i}" * 20)
+        metadata = {f"field_{i}": value(i) for i in range(50)}
+        assert r["blob"].endswith(',"metadata":' + json.dumps(metadata, separators=(",", ":")) + "}")
+        assert list(json.loads(r["blob"]))[-2:] == ["delivery_instructions", "metadata"]
+    # The long text neither goes through a function per field nor through the JSON writer.
+    assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
