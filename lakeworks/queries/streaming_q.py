@@ -124,14 +124,18 @@ def _(t):
     )
 
 
-@query("stream_append", "SELECT payment_method, COUNT(*) AS n, CAST(SUM(quantity) AS BIGINT) AS units FROM (" + TXN + ") GROUP BY ALL")
-def _(t):
+def numbers_stream(t: Tables):
+    """The orders in shuffled files as a stream of several batches. A batch has two files, so its numbers are spread over all cores."""
     numbers = scratch_path(t.spark, "numbers")
     rows = t.orders.select("o_orderkey", "o_orderdate")
     rows.repartition("o_orderkey").write.parquet(numbers)
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(numbers)
+    return spread(t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(numbers), "o_orderkey")
+
+
+@query("stream_append", "SELECT payment_method, COUNT(*) AS n, CAST(SUM(quantity) AS BIGINT) AS units FROM (" + TXN + ") GROUP BY ALL")
+def _(t):
     sink = scratch_path(t.spark, "sink")
-    made = G.transactions(stream, "o_orderkey", "o_orderdate")
+    made = G.transactions(numbers_stream(t), "o_orderkey", "o_orderdate")
     G.append_stream(made, sink, scratch_path(t.spark, "checkpoint"), available_now=True).awaitTermination()
     back = t.spark.read.schema(made.schema).parquet(sink)
     return back.groupBy("payment_method").agg(F.count("*").alias("n"), F.sum("quantity").alias("units"))
@@ -143,12 +147,8 @@ def _(t):
 )
 def _(t):
     """What the stream measured of itself, batch by batch, beside a count of what it wrote."""
-    numbers = scratch_path(t.spark, "numbers")
-    rows = t.orders.select("o_orderkey", "o_orderdate")
-    rows.repartition("o_orderkey").write.parquet(numbers)
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(numbers)
     sink = scratch_path(t.spark, "rated")
-    made = G.transactions(stream, "o_orderkey", "o_orderdate")
+    made = G.transactions(numbers_stream(t), "o_orderkey", "o_orderdate")
     size = F.octet_length("transaction_id") + F.octet_length("customer_email")
     rates.append_with_rates(made, sink, scratch_path(t.spark, "checkpoint"), size, available_now=True).awaitTermination()
     found = rates.report(rates.batch_rates(t.spark, sink))

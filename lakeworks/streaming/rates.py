@@ -26,7 +26,7 @@ def recorded_append(path: str, size: Column) -> Callable[[DataFrame, int], None]
         measured = Observation()
         counted = rows.observe(measured, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"))
         began = time.time()
-        counted.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        counted.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/rows/batch={batch}")
         record = {"batch": batch, **measured.get, "began": began, "ended": time.time()}
         spark, name = rows.sparkSession, f"{path}/rates/{batch:012d}.json"
         files.delete(spark, name)

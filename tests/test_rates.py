@@ -33,3 +33,11 @@ def test_a_batch_delivered_again_counts_once(spark, folder):
     assert (row["rows"], row["bytes"]) == (11, 33) and R.written(spark, folder).count() == 11
     none = R.report(R.batch_rates(spark, f"{folder}-none")).first()
     assert (none["rows"], none["bytes"], none["avg_row_bytes"]) == (0, 0, None)
+
+
+def test_a_batch_of_few_files_is_spread_before_its_rows_grow(spark, sf):
+    from lakeworks.queries import streaming_q
+    from lakeworks.queries.registry import Tables
+
+    plan = streaming_q.numbers_stream(Tables(spark, sf))._jdf.queryExecution().logical().toString()
+    assert "RepartitionByExpression" in plan.splitlines()[0]
