@@ -168,3 +168,13 @@ def test_models_run_in_reference_order(spark, sources, folder, fact):
     assert built["stg_order_items"].filter(F.col("product_name").isNull()).isEmpty()
     with pytest.raises(KeyError):
         M.run_models(spark, {}, folder)
+
+
+def test_lines_of_an_order_are_shuffled_once(spark):
+    schema = "order_id long, line_id long, product_id long, quantity long, unit_price double"
+    rows = [(1, 11, 5, 1, 2.0), (1, 11, 5, 1, 2.0), (1, 12, 5, 4, 1.0), (1, None, None, 1, 1.0), (1, 13, 6, None, 3.0), (None, 1, 1, 1, 1.0), (None, 2, 1, 1, 1.0), (2, None, None, 2, None)]
+    found = M.order_item_summary(M.with_line_totals(spark.createDataFrame(rows, schema)))
+    counts = {r["order_id"]: (r["total_line_items"], r["total_units"], r["unique_products"]) for r in found.collect()}
+    assert counts == {1: (3, 7, 2), None: (2, 2, 1), 2: (0, 2, 0)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("Exchange") == plan.count("Exchange hashpartitioning(order_id")
