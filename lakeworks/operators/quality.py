@@ -377,9 +377,10 @@ def _multiset_counts(base: DataFrame, other: DataFrame, exact: Sequence[str], fr
     sides = [df.select(*hashes, F.lit(tag).alias("_side"), *plain) for df, tag in ((base, "a"), (other, "b"))]
     rows = sides[0].unionByName(sides[1])
     mine = {tag: F.col("_side") == tag for tag in "ab"}
-    # Sums of halves of hashes tell whether both sides hold the same rows, whatever their order.
-    value = [F.xxhash64(F.lit(i + 7), *fractions) for i in range(2)]
-    halves = [h for v in value for h in (F.shiftrightunsigned(v, 32), v.bitwiseAND(F.lit((1 << 32) - 1)))]
+    # Sums of the halves of a hash tell whether both sides hold the same rows, whatever their order. They are shuffled with
+    # every row, which a second hash would make a tenth longer.
+    value = F.xxhash64(F.lit(7), *fractions)
+    halves = [F.shiftrightunsigned(value, 32), value.bitwiseAND(F.lit((1 << 32) - 1))]
     balance = [F.sum(F.when(mine["a"], h).otherwise(-h)).alias(f"_s{i}") for i, h in enumerate(halves)]
     groups = rows.groupBy(*_HASH).agg(
         *[F.count_if(m).alias(f"n{tag}") for tag, m in mine.items()],

@@ -206,11 +206,11 @@ FCT_SQL = with_sql(*FCT_PARTS, body=FCT_ORDERS)
 
 
 def fct_orders(t: Tables):
-    return M.fct_orders(stg_orders(t), M.stg_customers(S.raw_customers(t)), order_lines(t))
+    return M.fct_orders(stg_orders(t), M.stg_customers(S.raw_customers(t)), S.raw_items(t))
 
 
 def fct_chain(t: Tables):
-    return M.fct_orders_chain(S.raw_orders(t), M.stg_customers(S.raw_customers(t)), order_lines(t))
+    return M.fct_orders_chain(S.raw_orders(t), M.stg_customers(S.raw_customers(t)), S.raw_items(t))
 
 
 @query("fct_orders", FCT_SQL)

@@ -178,3 +178,12 @@ def test_lines_of_an_order_are_shuffled_once(spark):
     assert counts == {1: (3, 7, 2), None: (2, 2, 1), 2: (0, 2, 0)}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and plan.count("Exchange") == plan.count("Exchange hashpartitioning(order_id")
+
+
+def test_lines_without_totals_get_them(spark):
+    rows = [(1, 10, 7, 1, 2.5), (1, 11, 7, 3, 10.01), (1, 11, 8, 4, 0.3), (2, 20, None, None, 4.0), (2, None, 9, 3, None), (None, 30, 9, 3, 1.0)]
+    lines = spark.createDataFrame(rows, "order_id long, line_id long, product_id long, quantity long, unit_price double")
+    found = M.order_item_summary(lines)
+    assert sorted(map(str, found.collect())) == sorted(map(str, M.order_item_summary(M.with_line_totals(lines)).collect()))
+    first = found.filter("order_id = 1").first()
+    assert (first["total_line_items"], first["unique_products"], first["subtotal"]) == (2, 2, 33.73)

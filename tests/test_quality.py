@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lakeworks.operators import pairing
 from lakeworks.operators import quality as Q
+from lakeworks.queries import QUERIES
 
 
 def passed(df):
@@ -146,6 +147,30 @@ def test_a_value_repeated_very_often_stays_one_row(spark):
     assert Q.result_compare(many, near).first()[:] == (200_000, 0, 0, 1, False)
 
 
+def test_the_compared_facts_share_their_shuffles(spark, folder, monkeypatch):
+    """Each table is shuffled once for both sides, and the fact once on its way to the customers."""
+    n = spark.range(700)
+    n.selectExpr("id % 50 AS c_custkey", "'Customer#1' AS c_name", "1 AS c_nationkey").distinct().write.parquet(f"{folder}/customer.parquet")
+    n.selectExpr(
+        "id AS o_orderkey", "id % 60 AS o_custkey", "'F' AS o_orderstatus", "id * 1.5D AS o_totalprice", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS o_orderdate", "'1-URGENT' AS o_orderpriority"
+    ).write.parquet(f"{folder}/orders.parquet")
+    lines = n.selectExpr("id % 350 AS l_orderkey", "1 AS l_linenumber", "id % 9 AS l_partkey", "id % 5 AS l_quantity", "id * 0.01D AS l_extendedprice")
+    lines.write.parquet(f"{folder}/lineitem.parquet")
+    assert QUERIES["result_compare"](spark, folder).first()[:] == (690, 12, 10, 8, False)
+    monkeypatch.setattr(Q, "result_compare", lambda a, b: a.unionByName(b))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = QUERIES["result_compare"](spark, folder)
+        assert both.count() == 700 + 690 + 8
+        both.collect()
+        final = both._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    made = [x for x in final.splitlines() if "Exchange hashpartitioning" in x and "Reused" not in x]
+    assert len(made) == 4, final
+
+
 def brute_pairs(a, b, relative, absolute):
     """Largest matching by trying every partner."""
     def fits(x, y):
