@@ -4,9 +4,11 @@ A text is a vector of its lower-cased words, each weighted (1 + log tf) * idf *
 all documents, for words of no example too: those meet no example, but belong to the length of the text.
 ``lean`` is ``FLOOR`` for every word and grows with the square of the z value by which the word tells toxic
 examples from others; so no word is left out. The examples lie in blocks of ``BLOCK``; the index keeps per
-word and block the postings and the largest weight. A query adds up the block maxima of its words, opens
-the ``FIRST_BLOCKS`` of the largest bounds and then only blocks whose bound reaches the cosine of the
-``NEAREST`` found, in one scan if those are many. So the neighbours are exact.
+word and block the postings and the largest weight. What the ``FREQUENT`` words with the most postings add to
+the cosines comes from one product of matrices for ``TOGETHER`` queries. A query adds to the most of that in a block the
+block maxima of its other words, and opens only blocks whose bound reaches what ``NEAREST`` examples have by
+the frequent words alone: the ``FIRST_BLOCKS`` of the largest bounds, then those that reach the cosines found there,
+or in one scan of the other postings if they are many. So the neighbours are exact.
 
 Neighbours vote with the square of their cosine, each label weighted to its share in all labelled rows,
 against a prior of fixed weight. The votes of the examples among each other, each left out of its own
@@ -27,27 +29,35 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, ids_and_texts, one_each, texts_of, written
+from .common import blocks, bytes_of, ids_and_texts, one_each, written
 
 PER_CLASS = 2000
 FLOOR = 0.2  # of a word that leans nowhere
 SURE_LEAN = 3.0  # z value that adds 1 to the floor
 BLOCK = 64
 FIRST_BLOCKS = 6
-MANY_BLOCKS = 16  # from which on one scan of all is cheaper
+MANY_BLOCKS = 16  # beyond those, from which on one scan of all is cheaper
+FREQUENT = 256
+TOGETHER = 64
 NEAREST = 32
 PRIOR_WEIGHT = 0.5
 EVIDENCE = 3
 _LETTERS = re.compile(r"[^\W\d_]+").findall
+_SIGMA = "\u03a3".encode()
+# Of ASCII, letters in lower case; all else between words is a space. Other bytes stay.
+_ASCII = bytes(x if x > 127 else ord(chr(x).lower()) if chr(x).isalpha() else 32 for x in range(256))
 _SLACK = 1e-8  # bounds and cosines add the same numbers in another order
 
 
@@ -66,18 +76,73 @@ def leaning(other: np.ndarray, toxic: np.ndarray, examples: Sequence[int]) -> np
     return FLOOR + np.where(toxic > 0, np.maximum(z, 0) / SURE_LEAN, 0.0) ** 2
 
 
+@lru_cache(100_000)
+def _parts(stretch: bytes) -> tuple[bytes, ...]:
+    """Words in a stretch without ASCII other than small letters."""
+    return tuple(w.encode() for w in _LETTERS(stretch.decode().lower()))
+
+
+def _stretches(text: bytes) -> list[bytes]:
+    if _SIGMA in text:
+        # Its small form depends on the letters around it.
+        return [w.encode() for w in _LETTERS(text.decode().lower())]
+    return text.translate(_ASCII).split()
+
+
+def word_counts(texts: Sequence[bytes], number: Mapping[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Place of the text, number of the word and times, ascending, of the words in some texts.
+
+    Words are runs of letters in lower case. Those that ``number``, whose keys are such words, has not got are numbered on
+    from it, in the order of the list returned. Stretches between ASCII other than letters are counted first; most are words.
+    """
+    words, times, sizes, odd = array("q"), array("q"), [], []
+    rest: dict[bytes, int] = {}
+    for place, text in enumerate(texts):
+        found = Counter(_stretches(text))
+        begin = len(words)
+        words.extend(map(number.get, found, repeat(-1)))
+        times.extend(found.values())
+        sizes.append(len(found))
+        for at, stretch in enumerate(found):
+            if words[begin + at] < 0:
+                if stretch.isascii():
+                    words[begin + at] = len(number) + rest.setdefault(stretch, len(rest))
+                else:
+                    odd.extend((place, w, times[begin + at]) for w in _parts(stretch))
+    place, word, n = np.repeat(np.arange(len(texts)), sizes), np.asarray(words), np.asarray(times)
+    if odd:
+        whole = word >= 0
+        more = [number[w] if w in number else len(number) + rest.setdefault(w, len(rest)) for _, w, _ in odd]
+        place = np.append(place[whole], [p for p, _, _ in odd])
+        word, n = np.append(word[whole], more), np.append(n[whole], [k for _, _, k in odd])
+    width = max(1, len(number) + len(rest))
+    pairs = place * width + word
+    order = np.argsort(pairs)
+    pairs = pairs[order]
+    first = np.flatnonzero(np.diff(pairs, prepend=-1))
+    n = np.add.reduceat(n[order], first) if len(first) else n
+    return pairs[first] // width, pairs[first] % width, n, list(rest)
+
+
 class Vectors:
-    """Counts of a text's words: by number where an example has the word, else by the word itself."""
+    """Counts of each text's words: by ascending number where an example has the word, else by the word itself."""
 
     def __init__(self, terms: list[str]):
-        self.number = {t: i for i, t in enumerate(terms)}
-
-    def counts(self, text: str) -> tuple[list[int], list[int], list[str], list[int]]:
-        words = Counter(_LETTERS(text.lower()))
-        number = self.number
-        known = sorted((number[w], n) for w, n in words.items() if w in number)
-        rest = [w for w in words if w not in number]
-        return [t for t, _ in known], [n for _, n in known], rest, [words[w] for w in rest]
+        self.number = {t.encode(): i for i, t in enumerate(terms)}
+
+    def counts(self, texts: Sequence[bytes]) -> list[pa.Array]:
+        """Lists per text: numbers, their counts, other words, and theirs."""
+        text, word, times, rest = word_counts(texts, self.number)
+        times = pa.array(times, pa.int32())
+        known = word < len(self.number)
+        lists = []
+        for picked in (known, ~known):
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(text[picked], minlength=len(texts)))), pa.int32())
+            values = pa.array(word[picked], pa.int32())
+            if picked is not known:
+                values = pa.array(rest, pa.binary()).cast(pa.string()).take(pa.array(word[picked] - len(self.number)))
+            lists += [pa.ListArray.from_arrays(ends, x) for x in (values, times.filter(pa.array(picked)))]
+        return lists
 
 
 def weighted(terms: np.ndarray, times: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
@@ -90,7 +155,7 @@ def weighted(terms: np.ndarray, times: np.ndarray, weight: np.ndarray) -> tuple[
 def spans(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """begin[0], begin[0] + 1, ... for sizes[0] numbers, then on from begin[1], and so forth."""
     upto = np.cumsum(sizes)
-    return np.repeat(begin - upto + sizes, sizes) + np.arange(upto[-1])
+    return np.repeat(begin - upto + sizes, sizes) + np.arange(sizes.sum())
 
 
 @dataclass
@@ -102,6 +167,8 @@ class Index:
     weights: np.ndarray
     first: np.ndarray  # terms x (blocks + 1): where the postings of a term in a block begin
     most: np.ndarray  # terms x blocks
+    column: np.ndarray  # row of ``dense`` that a frequent term has, else -1
+    dense: np.ndarray  # frequent terms x examples: weights
     labels: np.ndarray
     votes: np.ndarray  # weight of each example's vote
     ids: np.ndarray
@@ -138,66 +205,98 @@ class Index:
         starts = np.flatnonzero(np.diff(cell, prepend=-1))
         if len(starts):
             most[cell[starts]] = np.nextafter(np.maximum.reduceat(weight, starts).astype(np.float32), np.float32(np.inf))
-        return Index((example % BLOCK).astype(np.uint8), example, weight, first, most.reshape(n_terms, n_blocks), *rest)
+        sizes = np.diff(upto)
+        frequent = np.argsort(-sizes, kind="stable")[:FREQUENT]
+        frequent = frequent[sizes[frequent] > 0]
+        column = np.full(n_terms, -1)
+        column[frequent] = np.arange(len(frequent))
+        dense = np.zeros((len(frequent), len(rest[0])))
+        mine = column[term] >= 0
+        dense[column[term[mine]], example[mine]] = weight[mine]
+        return Index((example % BLOCK).astype(np.uint8), example, weight, first, most.reshape(n_terms, n_blocks), column, dense, *rest)
 
     def __reduce__(self):
-        # What is kept per block follows from the postings and is far larger, so it is not sent.
+        # What is kept per block and of frequent words follows from the postings and is far larger, so it is not sent.
         upto = np.append(self.first[:, 0], len(self.places)).astype(np.int32)
         return Index.blocked, (upto, self.places, self.weights, self.labels, self.votes, self.ids, self.prior)
 
-    def _cosines(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the examples in some blocks that share a term with the query."""
+    def _add(self, cosines: np.ndarray, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Places of the examples in some blocks, and the cosines with what the terms add there."""
         begin, end = self.first[terms[:, None], blocks].ravel(), self.first[terms[:, None], blocks + 1].ravel()
         sizes = end - begin
         at = spans(begin, sizes)
         block = np.repeat(np.tile(np.arange(len(blocks)), len(terms)), sizes)
         parts = np.repeat(np.repeat(weights, len(blocks)), sizes) * self.weights[at]
         sums = np.bincount(block * BLOCK + self.postings[at], parts, len(blocks) * BLOCK)
-        hit = np.flatnonzero(sums)
-        return blocks[hit // BLOCK] * BLOCK + hit % BLOCK, sums[hit]
+        places = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        inside = places < len(cosines)
+        return places[inside], cosines[places[inside]] + sums[inside]
 
-    def _all_cosines(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of all examples that share a term with the query."""
+    def _add_all(self, cosines: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The cosines with what the terms add."""
         begin = self.first[terms, 0].astype(np.int64)
         sizes = self.first[terms, -1] - begin
         at = spans(begin, sizes)
-        sums = np.bincount(self.places[at], np.repeat(weights, sizes) * self.weights[at], len(self.labels))
-        hit = np.flatnonzero(sums)
-        return hit, sums[hit]
+        return cosines + np.bincount(self.places[at], np.repeat(weights, sizes) * self.weights[at], len(cosines))
+
+    def by_frequent(self, queries: Sequence[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Queries x examples: what frequent words add to the cosines."""
+        terms = np.concatenate([t for t, _ in queries])
+        weights = np.concatenate([w for _, w in queries])
+        query = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
+        column = self.column[terms]
+        mine = column >= 0
+        wanted = np.zeros((len(queries), len(self.dense)))
+        wanted[query[mine], column[mine]] = weights[mine]
+        return wanted @ self.dense
+
+    def nearest_each(self, queries: Sequence[tuple[np.ndarray, np.ndarray]], k: int, without: Sequence[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of every query, each with terms."""
+        for start in range(0, len(queries), TOGETHER):
+            some = queries[start : start + TOGETHER]
+            for i, ((terms, weights), cosines) in enumerate(zip(some, self.by_frequent(some))):
+                yield self._nearest(terms, weights, cosines, k, -1 if without is None else without[start + i])
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k examples with the largest cosine above 0; ties by doc_id.
+        """Places and cosines of the k examples with the largest cosine above 0; ties by doc_id."""
+        return next(self.nearest_each([(terms, weights)], k, [without]))
 
-        The blocks of the largest bounds are opened first, then those whose bound reaches the k-th
-        cosine found there. No other can hold a nearer example.
+    def _nearest(self, terms: np.ndarray, weights: np.ndarray, cosines: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """``cosines`` are those by frequent words.
+
+        k examples have the k-th largest of them at least, so a block whose bound is below holds no nearer example.
         """
-        bounds = weights @ self.most[terms]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        found, cosines = np.empty(0, np.int64), np.empty(0)
-        for step in range(2):
-            if step == 0:
-                opened = order[:FIRST_BLOCKS]
-            else:
-                opened = order[FIRST_BLOCKS:]
-                if len(found) == k:
-                    opened = opened[bounds[opened] + _SLACK >= cosines[-1]]
-            if not len(opened):
-                break
-            if len(opened) > MANY_BLOCKS:
-                # Those opened before are scanned again.
-                found, cosines = np.empty(0, np.int64), np.empty(0)
-                at, more = self._all_cosines(terms, weights)
+
+        def reached(cosines: np.ndarray) -> float:
+            return np.partition(cosines, -k)[-k] - _SLACK if len(cosines) > k else 0.0
+
+        places = np.arange(len(cosines))
+        rare = self.column[terms] < 0
+        terms, weights = terms[rare], weights[rare]
+        if without >= 0:
+            cosines[without] = 0.0
+        reach = reached(cosines)
+        if len(terms):
+            bounds = np.maximum.reduceat(cosines, places[::BLOCK]) + weights @ self.most[terms]
+            opened = np.flatnonzero((bounds >= reach) & (bounds > 0))
+            if len(opened) > FIRST_BLOCKS + MANY_BLOCKS:
+                cosines = self._add_all(cosines, terms, weights)
             else:
-                at, more = self._cosines(terms, weights, opened)
-            at, more = at[at != without], more[at != without]
-            found, cosines = np.concatenate([found, at]), np.concatenate([cosines, more])
-            if len(found) > k:
-                near = cosines + _SLACK >= np.partition(cosines, -k)[-k]
-                found, cosines = found[near], cosines[near]
-            keep = np.lexsort((self.ids[found], -cosines.round(9)))[:k]
-            found, cosines = found[keep], cosines[keep]
-        return found, cosines
+                by_frequent, opened = cosines, opened[np.argsort(-bounds[opened], kind="stable")]
+                places, cosines = self._add(by_frequent, terms, weights, opened[:FIRST_BLOCKS])
+                cosines[places == without] = 0.0
+                reach = max(reach, reached(cosines))
+                more = opened[FIRST_BLOCKS:]
+                more = more[bounds[more] >= reach]
+                if len(more):
+                    places, cosines = (np.concatenate(x) for x in zip((places, cosines), self._add(by_frequent, terms, weights, more)))
+        near = (cosines > max(reach, 0.0)) & (places != without)
+        found, cosines = places[near], cosines[near]
+        if len(found) > k:
+            near = cosines + _SLACK >= np.partition(cosines, -k)[-k]
+            found, cosines = found[near], cosines[near]
+        keep = np.lexsort((self.ids[found], -cosines.round(9)))[:k]
+        return found[keep], cosines[keep]
 
     def forces(self, found: np.ndarray, cosines: np.ndarray) -> tuple[float, float]:
         """Of the toxic neighbours, and of all."""
@@ -244,13 +343,12 @@ def example_words(examples: DataFrame, sizes: dict[int, int]) -> tuple[list[str]
     """All words of a bounded sample with rows ``text``, ``label``, and their ``leaning``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: tuple[Counter, Counter] = (Counter(), Counter())
         for block in blocks(batches):
-            for text, label in zip(texts_of(block.column(0)), block.column(1).to_pylist()):
-                total[label].update(set(_LETTERS(text.lower())))
-        names = list(total[0].keys() | total[1].keys())
-        columns = [pa.array(names, pa.string()), *(pa.array([c[t] for t in names], pa.int64()) for c in total)]
-        yield pa.RecordBatch.from_arrays(columns, names=["term", "other", "toxic"])
+            text, word, _, names = word_counts(bytes_of(block.column(0)), {})
+            label = block.column(1).to_numpy()[text]
+            counts = (np.bincount(word[label == k], minlength=len(names)) for k in range(2))
+            columns = [pa.array(names, pa.binary()).cast(pa.string()), *(pa.array(c, pa.int64()) for c in counts)]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "other", "toxic"])
 
     found = examples.select("text", "label").mapInArrow(count, "term string, other long, toxic long")
     totals = found.groupBy("term").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
@@ -262,13 +360,11 @@ def example_words(examples: DataFrame, sizes: dict[int, int]) -> tuple[list[str]
 def vectors(docs: DataFrame, terms: list[str], *more: str) -> DataFrame:
     """Per row: doc_id, ``more``, a number, the counts of example words, and the other words with theirs."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
-    kinds = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Vectors(shared.value)
         for block in blocks(batches):
-            found = [counter.counts(x) for x in texts_of(block.column(1))]
-            lists = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
+            lists = counter.counts(bytes_of(block.column(1)))
             yield pa.RecordBatch.from_arrays([block.column(0), *block.columns[2:], *lists], names=["doc_id", *more, "terms", "times", "rest", "rest_times"])
 
     rows = ids_and_texts(docs, *more)
@@ -300,7 +396,10 @@ def learn(counted: DataFrame, examples: DataFrame, counts: dict[int, int], terms
     shares = {k: n / sum(counts.values()) for k, n in counts.items()}
     index = Index.build(own, labels, table["doc_id"].to_numpy(), shares, len(terms))
     where = {int(d): i for i, d in enumerate(index.ids)}
-    votes = np.array([index.vote(*index.nearest(t, w, NEAREST, where[int(d)])) if len(t) else index.prior for d, (t, w) in zip(table["doc_id"].to_numpy(), own)])
+    votes = np.full(len(own), index.prior)
+    worded = [i for i, (t, _) in enumerate(own) if len(t)]
+    mine = [where[int(d)] for d in table["doc_id"].to_numpy()[worded]]
+    votes[worded] = [index.vote(*found) for found in index.nearest_each([own[i] for i in worded], NEAREST, mine)]
     each = np.array([shares[int(x)] / (labels == x).sum() for x in labels]) * len(labels)
     return Model(weight, n_docs, index, *calibration(votes, labels, each))
 
@@ -329,20 +428,18 @@ def score(counted: DataFrame, model: Model, *more: str) -> DataFrame:
             if len(known) > 50_000:
                 known = {}
             k = len(more) + 2
-            rows = []
+            keys, new = [], {}
             for t, n in zip(lists_of(batch.column(k), np.int64), lists_of(batch.column(k + 1), float)):
-                if not len(t):
-                    rows.append((0.0, 0.0, 0.0, []))
-                    continue
-                key = hashlib.blake2b(t.tobytes() + n.tobytes(), digest_size=16).digest()
-                found = known.get(key)
-                if found is None:
-                    w, square = weighted(t, n, m.weight)
-                    at, cosines = m.index.nearest(t, w, NEAREST)
-                    # Forces at the length the text would have by these words alone.
-                    toxic, total = m.index.forces(at, cosines)
-                    found = known[key] = (toxic * square, total * square, square, m.index.ids[at[:EVIDENCE]].tolist())
-                rows.append(found)
+                keys.append(hashlib.blake2b(t.tobytes() + n.tobytes(), digest_size=16).digest() if len(t) else b"")
+                if len(t) and keys[-1] not in known:
+                    new[keys[-1]] = (t, n)
+            queries = [weighted(t, n, m.weight) for t, n in new.values()]
+            search = m.index.nearest_each([(t, w) for (t, _), (w, _) in zip(new.values(), queries)], NEAREST)
+            for key, (_, square), (at, cosines) in zip(new, queries, search):
+                # Forces at the length the text would have by these words alone.
+                toxic, total = m.index.forces(at, cosines)
+                known[key] = (toxic * square, total * square, square, m.index.ids[at[:EVIDENCE]].tolist())
+            rows = [known[key] if key else (0.0, 0.0, 0.0, []) for key in keys]
             made = [pa.array([r[i] for r in rows], pa.float64()) for i in range(3)]
             columns = [*batch.columns[:k], *made, pa.array([r[3] for r in rows], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *more, "row", "toxic_force", "force", "known_square", "evidence"])

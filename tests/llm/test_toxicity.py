@@ -1,5 +1,7 @@
 import pickle
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -169,3 +171,37 @@ def test_copies_of_labelled_rows_are_one_example(spark, toxic):
     if toxic > 1:
         assert all((s > 0.7) == (i % 10 == 0) for i, s in held.items())
     assert all(0 <= s < 0.5 for i, s in held.items() if i % 10)
+
+
+@pytest.mark.parametrize("frequent", [0, 10, 25])
+@pytest.mark.parametrize("many", [0, 2, 1000])
+def test_frequent_words_by_one_product_as_brute_force(monkeypatch, frequent, many):
+    """Cosines of many queries at once, whichever words are in the product and however the blocks are opened."""
+    monkeypatch.setattr(X, "FREQUENT", frequent)
+    monkeypatch.setattr(X, "MANY_BLOCKS", many)
+    monkeypatch.setattr(X, "FIRST_BLOCKS", min(many, 2))
+    index, vectors, _ = random_index(11)
+    assert index.dense.shape == (frequent, len(vectors)) and (index.column >= 0).sum() == frequent
+    dense = np.zeros((len(vectors), 40))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    picked = [q for q in range(0, 600, 4) if len(vectors[q][0])]
+    where = {int(d): i for i, d in enumerate(index.ids)}
+    for mine in (None, [where[q] for q in picked]):
+        found = list(index.nearest_each([vectors[q] for q in picked], X.NEAREST, mine))
+        assert len(found) == len(picked) > X.TOGETHER
+        for q, (at, cosines) in zip(picked, found):
+            want = sorted((-c, i) for i, c in enumerate((dense @ dense[q]).round(9)) if c > 0 and (mine is None or i != q))[: X.NEAREST]
+            assert index.ids[at].tolist() == [i for _, i in want]
+            assert cosines == pytest.approx([-c for c, _ in want])
+
+
+def test_words_are_runs_of_letters_in_lower_case():
+    texts = ["", "a\x00b A1b_c", "ΟΔΟΣ ΣΑΣ'Α", "É é État l'ÉTAT naïve—Œuvre’s À\u00a0B", "İstanbul ẞ ß ﬁ ǅ 中文字 １２ ａＢ Ⅷ ²a x½y", "e\u0301a caf\u00e9 caf\u00e9s"]
+    known = ["a", "b", "état", "œuvre", "中文字"]
+    place, word, times, rest = X.word_counts([t.encode() for t in texts], {w.encode(): i for i, w in enumerate(known)})
+    names = known + [w.decode() for w in rest]
+    got = [{names[w]: n for p, w, n in zip(place, word, times) if p == i} for i in range(len(texts))]
+    assert got == [dict(Counter(re.findall(r"[^\W\d_]+", t.lower()))) for t in texts]
+    assert len(set(names)) == len(names) and (np.diff(place * 1000 + word) > 0).all()
+    assert X.word_counts([], {})[3] == []
